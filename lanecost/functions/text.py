@@ -50,28 +50,33 @@ def route_text(origin: Column | str, destination: Column | str) -> Column:
     return F.concat(col(origin), F.lit(ARROW), col(destination))
 
 
+def snapped(c: Column | str) -> Column:
+    """The number without the noise of summation order, so that a half always rounds the same way."""
+    return F.round(col(c), 6)
+
+
+def fixed_text(c: Column | str, decimals: int) -> Column:
+    """Rounded half-even, with thousands separators and a fixed number of decimals."""
+    return F.format_number(F.bround(snapped(c), decimals), decimals)
+
+
 def comma_text(c: Column | str) -> Column:
-    return F.format_number(col(c), 0)
+    return fixed_text(c, 0)
 
 
 def dollar_text(c: Column | str, decimals: int = 2) -> Column:
     c = col(c)
     sign = F.when(c < 0, F.lit("-$")).otherwise(F.lit("$"))
-    return F.concat(sign, F.format_number(F.abs(c), decimals))
+    return F.concat(sign, fixed_text(F.abs(c), decimals))
 
 
 def dollar_text_auto(c: Column | str) -> Column:
     """Dollars with cents only for fractional amounts below 100,000."""
-    c = col(c)
+    c = snapped(c)
     cents = (F.abs(c) < 100000) & (c != F.floor(c))
     return F.when(cents, dollar_text(c, 2)).otherwise(dollar_text(c, 0))
 
 
 def percent_text(c: Column | str) -> Column:
     """A percentage rounded half-even to one decimal, e.g. '33.3%' or '50%'."""
-    return F.concat(number_text(F.bround(col(c), 1)), F.lit("%"))
-
-
-def percent_text_fixed(share: Column | str) -> Column:
-    """A share of 1 as a percentage that always shows one decimal."""
-    return F.concat(F.format_number(col(share) * 100, 1), F.lit("%"))
+    return F.concat(number_text(F.bround(snapped(c), 1)), F.lit("%"))

@@ -118,7 +118,7 @@ def weight_band_use(shipping: DataFrame) -> DataFrame:
 
 def weight_band_detail(shipping: DataFrame) -> DataFrame:
     """Mart rows with order and weight labels; only rows above 10,000 kg show theirs."""
-    weight = comma_text(F.bround("total_weight", 0))
+    weight = comma_text("total_weight")
     label = F.concat(comma_text("n_orders"), F.lit(" orders\n"), weight, F.lit(" kg"))
     heavy = F.col("significant")
     return (
