@@ -2,17 +2,33 @@
 
 One order-list row per order that has line items. The dimension joins are left joins on primary keys,
 so leaving one out changes no row; each caller names the columns it reads and only the joins that
-serve them are made.
+serve them are made. Catalyst and AQE choose how each join runs, from sizes and with skew handling.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .sources.schemas import FREIGHT_RATES, ORDER_LIST, WH_CAPACITIES, WH_COSTS
 from .sources.tables import SupplyTables
 
+# The columns read here. A declared schema spares Spark a job per file to find it out.
+COLUMNS = {
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_quantity double, "
+        "l_shipdate timestamp_ntz"
+    ),
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderdate timestamp_ntz, "
+        "o_orderpriority string"
+    ),
+    "supplier": "s_suppkey bigint, s_nationkey int",
+    "part": "p_partkey bigint, p_size int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int",
+    "nation": "n_nationkey int",
+}
+
 # Carrier, mode, band and base rate of the made rate card. They include a nested band,
 # ties, gaps and one exact duplicate; carrier V44_3 has no rates.
 BANDS = (
@@ -30,16 +46,45 @@ BANDS = (
     ("V44_5", "AIR", 70.51, 99.99, 6.0),
     ("V44_5", "AIR", 70.51, 99.99, 6.0),
 )
-DESTINATIONS = 5
-RATED_LEVELS = ("DTD", "DTP")
 
 
-def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+def _code(prefix: str, nation_key: str) -> str:
+    return f"concat('{prefix}', lpad(cast({nation_key} + 1 as string), 2, '0'))"
+
+
+_CARRIER = "concat('V44_', substr(o_orderpriority, 1, 1))"
+_DELAY = "datediff(cast(sd as date), cast(o_orderdate as date))"
+
+ORDER_EXPRESSIONS = {
+    "order_id": "o_orderkey + 1",
+    "order_date": "cast(o_orderdate as date)",
+    "origin_port": _code("PORT", "s_nationkey"),
+    "carrier": _CARRIER,
+    "tpt": "p_size % 3 + 1",
+    "service_level": (
+        f"CASE WHEN {_CARRIER} = 'V44_3' THEN 'CRF' WHEN o_orderstatus = 'F' THEN 'DTD' "
+        "WHEN o_orderstatus = 'O' THEN 'DTP' WHEN o_orderstatus = 'P' THEN 'CRF' END"
+    ),
+    "ship_ahead_day_count": f"greatest(-{_DELAY}, 0)",
+    "ship_late_day_count": f"greatest({_DELAY}, 0)",
+    "customer": "c_name",
+    "product_id": "pk + 1",
+    "plant_code": _code("PLANT", "s_nationkey"),
+    "destination_port": _code("PORT", "c_nationkey % 5"),
+    "unit_quantity": "q",
+    "weight": "q * p_size / 10",
+}
+
+# Dimension table: its join condition and the order columns that need it.
+DIMENSIONS = {
+    "supplier": ("sk = s_suppkey", {"origin_port", "plant_code"}),
+    "part": ("pk = p_partkey", {"weight", "tpt"}),
+    "customer": ("o_custkey = c_custkey", {"customer", "destination_port"}),
+}
 
 
-def _code(prefix: str, nation_key: Column) -> Column:
-    return F.concat(F.lit(prefix), F.lpad((nation_key + 1).cast("string"), 2, "0"))
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.schema(COLUMNS[table]).parquet(f"{sf_dir}/{table}.parquet")
 
 
 def order_list(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
@@ -48,117 +93,68 @@ def order_list(spark: SparkSession, sf_dir: str, columns: list[str] | None = Non
         _read(spark, sf_dir, "lineitem")
         .groupBy("l_orderkey")
         .agg(
-            F.sum("l_quantity").alias("q"),
-            F.min("l_suppkey").alias("sk"),
-            F.min("l_partkey").alias("pk"),
-            F.min("l_shipdate").alias("sd"),
+            F.expr("sum(l_quantity) AS q"),
+            F.expr("min(l_suppkey) AS sk"),
+            F.expr("min(l_partkey) AS pk"),
+            F.expr("min(l_shipdate) AS sd"),
         )
     )
-    orders = _read(spark, sf_dir, "orders")
-    df = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
-    wanted = set(columns)
-    if wanted & {"origin_port", "plant_code"}:
-        supplier = _read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-        df = df.join(supplier, F.col("sk") == F.col("s_suppkey"), "left")
-    if wanted & {"weight", "tpt"}:
-        part = _read(spark, sf_dir, "part").select("p_partkey", "p_size")
-        df = df.join(part, F.col("pk") == F.col("p_partkey"), "left")
-    if wanted & {"customer", "destination_port"}:
-        customer = _read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
-        df = df.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
-
-    carrier = F.concat(F.lit("V44_"), F.substring("o_orderpriority", 1, 1))
-    status = F.col("o_orderstatus")
-    level = (
-        F.when(carrier == "V44_3", F.lit("CRF"))
-        .when(status == "F", F.lit("DTD"))
-        .when(status == "O", F.lit("DTP"))
-        .when(status == "P", F.lit("CRF"))
+    df = _read(spark, sf_dir, "orders").join(lines, F.expr("o_orderkey = l_orderkey"))
+    for table, (condition, serves) in DIMENSIONS.items():
+        if serves & set(columns):
+            df = df.join(_read(spark, sf_dir, table), F.expr(condition), "left")
+    return df.selectExpr(
+        *[
+            f"cast({ORDER_EXPRESSIONS[c]} as {ORDER_LIST[c].dataType.simpleString()}) AS {c}"
+            for c in columns
+        ]
     )
-    delay = F.date_diff(F.col("sd").cast("date"), F.col("o_orderdate").cast("date"))
-    made = {
-        "order_id": F.col("o_orderkey") + 1,
-        "order_date": F.col("o_orderdate").cast("date"),
-        "origin_port": _code("PORT", F.col("s_nationkey")),
-        "carrier": carrier,
-        "tpt": F.col("p_size") % 3 + 1,
-        "service_level": level,
-        "ship_ahead_day_count": F.greatest(-delay, F.lit(0)),
-        "ship_late_day_count": F.greatest(delay, F.lit(0)),
-        "customer": F.col("c_name"),
-        "product_id": F.col("pk") + 1,
-        "plant_code": _code("PLANT", F.col("s_nationkey")),
-        "destination_port": _code("PORT", F.col("c_nationkey") % DESTINATIONS),
-        "unit_quantity": F.col("q"),
-        "weight": F.col("q") * F.col("p_size") / 10,
-    }
-    return df.select([made[c].cast(ORDER_LIST[c].dataType).alias(c) for c in columns])
 
 
 def freight_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every band row for every origin nation, destination and rated service level."""
-    bands = F.array(
-        *[
-            F.struct(
-                F.lit(carrier).alias("carrier"),
-                F.lit(mode).alias("mode_dsc"),
-                F.lit(low).alias("minm_wgh_qty"),
-                F.lit(high).alias("max_wgh_qty"),
-                F.lit(base).alias("base"),
-            )
-            for carrier, mode, low, high, base in BANDS
-        ]
+    """Every band row for every origin nation, five destinations and both rated service levels."""
+    bands = ", ".join(
+        f"named_struct('carrier', '{carrier}', 'mode_dsc', '{mode}', 'minm_wgh_qty', {low}D, "
+        f"'max_wgh_qty', {high}D, 'base', {base}D)"
+        for carrier, mode, low, high, base in BANDS
     )
-    levels = F.explode(F.array(*[F.lit(s) for s in RATED_LEVELS]))
+    made = {
+        "orig_port_cd": _code("PORT", "n_nationkey"),
+        "dest_port_cd": _code("PORT", "dest"),
+        "rate": "base * (1 + n_nationkey % 4) / 10",
+        "minimum_cost": "cast(dest + 20 as double)",
+    }
     return (
         _read(spark, sf_dir, "nation")
-        .select("n_nationkey", F.explode(F.sequence(F.lit(0), F.lit(DESTINATIONS - 1))).alias("dest"))
-        .select("n_nationkey", "dest", levels.alias("svc_cd"))
-        .select("n_nationkey", "dest", "svc_cd", F.inline(bands))
-        .select(
-            _code("PORT", F.col("n_nationkey")).alias("orig_port_cd"),
-            _code("PORT", F.col("dest")).alias("dest_port_cd"),
-            "carrier",
-            "svc_cd",
-            "mode_dsc",
-            "minm_wgh_qty",
-            "max_wgh_qty",
-            (F.col("base") * (1 + F.col("n_nationkey") % 4) / 10).alias("rate"),
-            (F.col("dest") + 20).cast("double").alias("minimum_cost"),
-        )
-        .select(*FREIGHT_RATES.names)
+        .selectExpr("n_nationkey", "explode(sequence(0, 4)) AS dest")
+        .selectExpr("n_nationkey", "dest", "explode(array('DTD', 'DTP')) AS svc_cd")
+        .selectExpr("n_nationkey", "dest", "svc_cd", f"inline(array({bands}))")
+        .selectExpr(*[f"{made.get(c, c)} AS {c}" for c in FREIGHT_RATES.names])
     )
 
 
 def wh_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Storage cost per unit of every plant but PLANT25."""
-    key = F.col("n_nationkey")
-    return (
-        _read(spark, sf_dir, "nation")
-        .where(key < 24)
-        .select(
-            _code("PLANT", key).alias("wh"),
-            (F.lit(0.4) + F.lit(0.05) * key).alias("cost_unit"),
-            F.lit(2013).alias("year"),
-            F.lit(5).alias("month"),
-        )
-        .select(*WH_COSTS.names)
-    )
+    made = {
+        "wh": _code("PLANT", "n_nationkey"),
+        "cost_unit": "0.4D + 0.05D * n_nationkey",
+        "year": "2013",
+        "month": "5",
+    }
+    nations = _read(spark, sf_dir, "nation").where("n_nationkey < 24")
+    return nations.selectExpr(*[f"{made[c]} AS {c}" for c in WH_COSTS.names])
 
 
 def wh_capacities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("n_nationkey")
-    return (
-        _read(spark, sf_dir, "nation")
-        .select(
-            _code("PLANT", key).alias("plant_id"),
-            (200 + 50 * key).cast("double").alias("daily_capacity"),
-            F.lit("ALL").alias("region"),
-            F.lit("MAIN").alias("type"),
-            F.lit("ACTIVE").alias("status"),
-        )
-        .select(*WH_CAPACITIES.names)
-    )
+    made = {
+        "plant_id": _code("PLANT", "n_nationkey"),
+        "daily_capacity": "cast(200 + 50 * n_nationkey as double)",
+        "region": "'ALL'",
+        "type": "'MAIN'",
+        "status": "'ACTIVE'",
+    }
+    nations = _read(spark, sf_dir, "nation")
+    return nations.selectExpr(*[f"{made[c]} AS {c}" for c in WH_CAPACITIES.names])
 
 
 def supply_tables(spark: SparkSession, sf_dir: str, order_columns: list[str] | None = None) -> SupplyTables:
