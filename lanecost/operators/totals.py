@@ -13,10 +13,18 @@ from ..functions.missing import col, ratio
 
 
 def totals(df: DataFrame, **aggregates: Column) -> Column:
-    """Aggregates over the whole frame as one struct column, e.g. totals(df, cost=sum(...))["cost"]."""
+    """Aggregates over the whole frame as one struct column; meant to be used once per plan."""
     return df.agg(F.struct(*[a.alias(n) for n, a in aggregates.items()]).alias("totals")).scalar()
 
 
+def with_totals(df: DataFrame, source: DataFrame | None = None, **aggregates: Column) -> DataFrame:
+    """Add the aggregates of `source` (df itself by default) to every row as the struct `totals`.
+
+    The struct is one column, so however often its fields are read there is one subquery to plan.
+    """
+    return df.withColumn("totals", totals(df if source is None else source, **aggregates))
+
+
 # Relative width below which a range counts as constant: 1000 times the double precision step.
 FLAT = 1000 * 2.0**-52
 
@@ -40,11 +48,7 @@ def top_n(df: DataFrame, measure: str, n: int) -> DataFrame:
     The n-th value comes from a distributed top-n, so no window over the whole frame is needed.
     """
     best = df.select(measure).orderBy(F.desc_nulls_last(measure)).limit(n)
-    cut = totals(
-        best,
-        rows=F.count(F.lit(1)),
-        known=F.count(measure),
-        value=F.min(measure),
-    )
-    reaches_nulls = (cut["rows"] < n) | (cut["known"] < cut["rows"])
-    return df.where(reaches_nulls | (F.col(measure) >= cut["value"]))
+    everything = F.lit(float("-inf"))
+    reaches_nulls = (F.count(F.lit(1)) < n) | (F.count(measure) < F.count(F.lit(1)))
+    cut = best.agg(F.when(reaches_nulls, everything).otherwise(F.min(measure))).scalar()
+    return df.where(F.coalesce(col(measure), everything) >= cut)

@@ -16,32 +16,70 @@ def _shown(text: Column) -> Column:
     return F.coalesce(text, F.lit(NO_DATA))
 
 
-def _kpi(df: DataFrame, name: str, text) -> DataFrame:
-    """Add the display text beside the number."""
-    return df.withColumn(f"{name}_text", _shown(text(name)))
+def _total_cost() -> Column:
+    return lenient_sum("total_shipping_cost").alias("total_cost")
+
+
+def _cost_per_kg() -> Column:
+    cost, weight = lenient_sum("total_shipping_cost"), lenient_sum("total_weight")
+    return ratio(cost, weight).alias("avg_cost_kg")
+
+
+def _utilisation() -> Column:
+    return (F.avg("capacity_utilization") * 100).alias("warehouse_util")
+
+
+def _on_time() -> Column:
+    n = F.count(F.lit(1))
+    return (ratio(F.bround(n * F.lit(ON_TIME_SHARE), 0), n) * 100).alias("otd_rate")
+
+
+def _storage_cost() -> Column:
+    return F.nullif(lenient_sum("storage_cost"), F.lit(0.0)).alias("total_storage_cost")
+
+
+def _unit_cost() -> Column:
+    return F.nullif(F.avg("cost_per_unit"), F.lit(0.0)).alias("avg_cost_unit")
+
+
+def _ground_share() -> Column:
+    ground = F.col("mode_dsc") == "GROUND"
+    cost = F.when(F.count_if(ground) > 0, lenient_sum(F.when(ground, F.col("total_shipping_cost"))))
+    return percent(cost, lenient_sum("total_shipping_cost")).alias("ground_pct")
+
+
+TEXTS = {
+    "total_cost": dollar_text,
+    "avg_cost_kg": dollar_text,
+    "warehouse_util": percent_text,
+    "otd_rate": percent_text,
+    "total_storage_cost": dollar_text_auto,
+    "avg_cost_unit": dollar_text_auto,
+    "ground_pct": percent_text,
+}
+
+
+def _with_texts(df: DataFrame) -> DataFrame:
+    """Add the display text beside each number."""
+    return df.withColumns({f"{c}_text": _shown(TEXTS[c](c)) for c in df.columns if c in TEXTS})
 
 
 def total_shipping_cost(shipping: DataFrame) -> DataFrame:
-    df = shipping.agg(lenient_sum("total_shipping_cost").alias("total_cost"))
-    return _kpi(df, "total_cost", dollar_text)
+    return _with_texts(shipping.agg(_total_cost()))
 
 
 def cost_per_kg(shipping: DataFrame) -> DataFrame:
-    cost, weight = lenient_sum("total_shipping_cost"), lenient_sum("total_weight")
-    return _kpi(shipping.agg(ratio(cost, weight).alias("avg_cost_kg")), "avg_cost_kg", dollar_text)
+    return _with_texts(shipping.agg(_cost_per_kg()))
 
 
 def warehouse_utilisation(capacity: DataFrame) -> DataFrame:
     """Mean utilisation in percent."""
-    df = capacity.agg((F.avg("capacity_utilization") * 100).alias("warehouse_util"))
-    return _kpi(df, "warehouse_util", percent_text)
+    return _with_texts(capacity.agg(_utilisation()))
 
 
 def on_time_share(orders: DataFrame) -> DataFrame:
     """The on-time key figure: a fixed share of the orders, rounded to whole orders, in percent."""
-    n = F.count(F.lit(1))
-    rate = ratio(F.bround(n * F.lit(ON_TIME_SHARE), 0), n) * 100
-    return _kpi(orders.agg(rate.alias("otd_rate")), "otd_rate", percent_text)
+    return _with_texts(orders.agg(_on_time()))
 
 
 def measured_on_time_share(orders: DataFrame) -> DataFrame:
@@ -51,21 +89,16 @@ def measured_on_time_share(orders: DataFrame) -> DataFrame:
 
 
 def total_storage_cost(costs: DataFrame) -> DataFrame:
-    df = costs.agg(F.nullif(lenient_sum("storage_cost"), F.lit(0.0)).alias("total_storage_cost"))
-    return _kpi(df, "total_storage_cost", dollar_text_auto)
+    return _with_texts(costs.agg(_storage_cost()))
 
 
 def mean_cost_per_unit(costs: DataFrame) -> DataFrame:
-    df = costs.agg(F.nullif(F.avg("cost_per_unit"), F.lit(0.0)).alias("avg_cost_unit"))
-    return _kpi(df, "avg_cost_unit", dollar_text_auto)
+    return _with_texts(costs.agg(_unit_cost()))
 
 
 def ground_share(shipping: DataFrame) -> DataFrame:
     """Ground transport's share of the cost in percent; none without any ground row."""
-    ground = F.col("mode_dsc") == "GROUND"
-    cost = F.when(F.count_if(ground) > 0, lenient_sum(F.when(ground, F.col("total_shipping_cost"))))
-    df = shipping.agg(percent(cost, lenient_sum("total_shipping_cost")).alias("ground_pct"))
-    return _kpi(df, "ground_pct", percent_text)
+    return _with_texts(shipping.agg(_ground_share()))
 
 
 def costliest_route(shipping: DataFrame) -> DataFrame:
@@ -98,30 +131,21 @@ def script_figures(shipping: DataFrame, costs: DataFrame) -> DataFrame:
     )
 
 
-def _side_by_side(base: DataFrame, *others: DataFrame) -> DataFrame:
-    """One-row frames as one row; each further frame is a scalar subquery."""
-    extra = []
-    for df in others:
-        row = df.agg(F.first(F.struct(*df.columns)).alias("row")).scalar()
-        extra += [row[c].alias(c) for c in df.columns]
-    return base.select("*", *extra)
+def _beside(base: DataFrame, other: DataFrame) -> DataFrame:
+    """Two one-row frames as one row; the second is a scalar subquery."""
+    row = other.agg(F.first(F.struct(*other.columns)).alias("row")).scalar()
+    wide = base.withColumn("_row", row)
+    return wide.select(*base.columns, *[F.col(f"_row.{c}").alias(c) for c in other.columns])
 
 
 def overview_kpis(shipping: DataFrame, capacity: DataFrame, orders: DataFrame) -> DataFrame:
-    return _side_by_side(
-        total_shipping_cost(shipping),
-        cost_per_kg(shipping),
-        warehouse_utilisation(capacity),
-        on_time_share(orders),
-    )
+    df = shipping.agg(_total_cost(), _cost_per_kg())
+    df = _beside(df, capacity.agg(_utilisation()))
+    return _with_texts(_beside(df, orders.agg(_on_time())))
 
 
 def cost_kpis(shipping: DataFrame, costs: DataFrame) -> DataFrame:
-    route = costliest_route(shipping).select("top_route")
-    df = _side_by_side(
-        total_storage_cost(costs),
-        mean_cost_per_unit(costs),
-        ground_share(shipping),
-        route,
-    )
-    return df.withColumn("top_route", _shown(F.col("top_route")))
+    df = costs.agg(_storage_cost(), _unit_cost())
+    df = _beside(df, shipping.agg(_ground_share()))
+    df = _beside(df, costliest_route(shipping).select("top_route"))
+    return _with_texts(df).withColumn("top_route", _shown(F.col("top_route")))

@@ -17,7 +17,7 @@ from ..operators.rating import (
     first_rates,
     freight_cost,
 )
-from ..operators.totals import totals
+from ..operators.totals import with_totals
 from .marts import require_columns
 from .shipping import strict_sum_over
 
@@ -92,7 +92,7 @@ def _billed_cost() -> Column:
     return F.when(level == CRF, F.lit(0.0)).when(level != CRF, F.col("total_cost"))
 
 
-def _cost_share(base: Column) -> Column:
+def _cost_share(base: Column | str) -> Column:
     level = F.col("service_level")
     share = percent("total_cost", base)
     return F.when(level == CRF, F.lit(0.0)).when(level != CRF, share)
@@ -100,9 +100,8 @@ def _cost_share(base: Column) -> Column:
 
 def service_summary(lanes: DataFrame) -> DataFrame:
     """Orders, weight and cost per service level with unit costs and shares."""
-    df = _roll_up(lanes, "service_level")
-    total = totals(
-        df,
+    df = with_totals(
+        _roll_up(lanes, "service_level"),
         orders=F.sum("orders"),
         weight=strict_sum("total_weight"),
         billed=strict_sum(_billed_cost()),
@@ -115,9 +114,9 @@ def service_summary(lanes: DataFrame) -> DataFrame:
         ratio("total_weight", "orders").alias("avg_weight_per_order"),
         _billed(ratio("total_cost", "orders")).alias("avg_cost_per_order"),
         _billed(ratio("total_cost", "total_weight")).alias("avg_cost_per_kg"),
-        percent("orders", total["orders"]).alias("pct_orders"),
-        percent("total_weight", total["weight"]).alias("pct_weight"),
-        _cost_share(total["billed"]).alias("pct_cost"),
+        percent("orders", "totals.orders").alias("pct_orders"),
+        percent("total_weight", "totals.weight").alias("pct_weight"),
+        _cost_share("totals.billed").alias("pct_cost"),
     )
 
 
@@ -140,9 +139,8 @@ def carrier_service(lanes: DataFrame) -> DataFrame:
 
 def route_service(lanes: DataFrame) -> DataFrame:
     """Service levels of each route with the share of all billed cost."""
-    df = _roll_up(lanes, "origin_port", "destination_port", "service_level")
-    total = totals(
-        df,
+    df = with_totals(
+        _roll_up(lanes, "origin_port", "destination_port", "service_level"),
         billed=strict_sum(_billed_cost()),
         orders=F.sum("orders"),
         weight=strict_sum("total_weight"),
@@ -156,7 +154,7 @@ def route_service(lanes: DataFrame) -> DataFrame:
         "total_cost",
         _billed(ratio("total_cost", "total_weight")).alias("avg_cost_per_kg"),
         route_text("origin_port", "destination_port").alias("route"),
-        _cost_share(total["billed"]).alias("pct_cost"),
+        _cost_share("totals.billed").alias("pct_cost"),
     )
 
 
@@ -182,5 +180,7 @@ def analyze_service_levels(rows: DataFrame, *, one_row_per_order: bool = False)
 
 def service_distribution(orders: DataFrame) -> DataFrame:
     """Orders per service level and their share of all orders."""
-    df = orders.groupBy("service_level").agg(F.count(F.lit(1)).alias("n"))
-    return df.withColumn("percentage", percent("n", totals(df, n=F.sum("n"))["n"]))
+    df = with_totals(
+        orders.groupBy("service_level").agg(F.count(F.lit(1)).alias("n")), n=F.sum("n")
+    )
+    return df.withColumn("percentage", percent("n", "totals.n")).drop("totals")

@@ -11,7 +11,7 @@ from ..functions.text import ARROW, band_label, band_text, comma_text, dollar_te
 from ..operators.bands import band_position
 from ..operators.lookup import fits, lookup
 from ..operators.rating import LANE, clean_rates
-from ..operators.totals import totals
+from ..operators.totals import with_totals
 
 
 def routes(shipping: DataFrame) -> DataFrame:
@@ -24,14 +24,15 @@ def routes(shipping: DataFrame) -> DataFrame:
 
 def route_summary(shipping: DataFrame) -> DataFrame:
     """Routes with their share of the total cost and the cost per order."""
-    df = routes(shipping)
-    total = totals(df, cost=strict_sum("total_shipping_cost"), orders=F.sum("n_orders"))
+    df = with_totals(
+        routes(shipping), cost=strict_sum("total_shipping_cost"), orders=F.sum("n_orders")
+    )
     return df.withColumns(
         {
-            "pct_of_total": percent("total_shipping_cost", total["cost"]),
+            "pct_of_total": percent("total_shipping_cost", "totals.cost"),
             "avg_cost_per_order": ratio("total_shipping_cost", "n_orders"),
         }
-    )
+    ).drop("totals")
 
 
 def route_labels(shipping: DataFrame) -> DataFrame:
@@ -70,25 +71,24 @@ def transport_modes(shipping: DataFrame) -> DataFrame:
 
 def transport_mode_summary(shipping: DataFrame) -> DataFrame:
     """Transport modes with their share of the total cost and the cost per kg."""
-    df = transport_modes(shipping)
-    total = totals(
-        df,
+    df = with_totals(
+        transport_modes(shipping),
         cost=strict_sum("total_cost"),
         orders=F.sum("total_orders"),
         weight=strict_sum("total_weight"),
     )
     return df.withColumns(
         {
-            "pct_of_total": percent("total_cost", total["cost"]),
+            "pct_of_total": percent("total_cost", "totals.cost"),
             "avg_cost_per_kg": ratio("total_cost", "total_weight"),
         }
-    )
+    ).drop("totals")
 
 
 def shipping_shares(shipping: DataFrame) -> DataFrame:
     """Each mart row's share of the total cost and of all orders."""
-    total = totals(shipping, cost=strict_sum("total_shipping_cost"), orders=F.sum("n_orders"))
-    return shipping.select(
+    df = with_totals(shipping, cost=strict_sum("total_shipping_cost"), orders=F.sum("n_orders"))
+    return df.select(
         "origin_port",
         "destination_port",
         "carrier",
@@ -96,8 +96,8 @@ def shipping_shares(shipping: DataFrame) -> DataFrame:
         "mode_dsc",
         "total_shipping_cost",
         "n_orders",
-        percent("total_shipping_cost", total["cost"]).alias("pct_total_cost"),
-        percent("n_orders", total["orders"]).alias("pct_total_orders"),
+        percent("total_shipping_cost", "totals.cost").alias("pct_total_cost"),
+        percent("n_orders", "totals.orders").alias("pct_total_orders"),
     )
 
 

@@ -7,27 +7,26 @@ from pyspark.sql import functions as F
 
 from ..functions.missing import col, lenient_sum, percent, ratio, strict, strict_sum
 from ..functions.text import port_to_plant, replace_first, title
-from ..operators.totals import rescale, standardise, top_n, totals
+from ..operators.totals import rescale, standardise, top_n, with_totals
 
 
 def storage_ranking(costs: DataFrame, n: int = 10) -> DataFrame:
     """The n plants with the largest storage cost, ties kept; shares are of the plants shown."""
     shown = top_n(costs, "storage_cost", n)
-    total = totals(shown, cost=strict_sum("storage_cost"))
-    return shown.withColumn("pct_of_total", percent("storage_cost", total["cost"]))
+    df = with_totals(shown, cost=strict_sum("storage_cost"))
+    return df.withColumn("pct_of_total", percent("storage_cost", "totals.cost")).drop("totals")
 
 
 def storage_ranking_of_all(costs: DataFrame, n: int = 10) -> DataFrame:
     """The same ranking with shares of all plants, cost per unit and units per unit of cost."""
-    total = totals(costs, cost=strict_sum("storage_cost"))
-    full = costs.withColumns(
+    full = with_totals(costs, cost=strict_sum("storage_cost")).withColumns(
         {
             "cost_per_unit": ratio("storage_cost", "total_units"),
             "efficiency_score": ratio("total_units", "storage_cost"),
-            "pct_of_total": percent("storage_cost", total["cost"]),
+            "pct_of_total": percent("storage_cost", "totals.cost"),
         }
     )
-    return top_n(full, "storage_cost", n)
+    return top_n(full.drop("totals"), "storage_cost", n)
 
 
 def storage_export(costs: DataFrame) -> DataFrame:
@@ -81,13 +80,12 @@ def cost_breakdown_chart(shipping: DataFrame, costs: DataFrame) -> DataFrame:
     long = wide.unpivot(
         ["plant_code", "total_cost"], ["transport_cost", "storage_cost"], "cost_type", "amount"
     )
-    total = totals(long, amount=strict_sum("amount"))
-    return long.select(
+    return with_totals(long, amount=strict_sum("amount")).select(
         "plant_code",
         "total_cost",
         title("cost_type").alias("cost_type"),
         "amount",
-        percent("amount", total["amount"]).alias("pct_of_total"),
+        percent("amount", "totals.amount").alias("pct_of_total"),
     )
 
 
@@ -140,16 +138,16 @@ def unit_cost_quadrants(costs: DataFrame, base: DataFrame | None = None) -> Data
     the plant mart, one row per plant, never the orders.
     """
     base = costs if base is None else base
-    medians = totals(
-        base, unit=strict(F.median, "cost_per_unit"), kg=strict(F.median, "cost_per_kg")
+    df = with_totals(
+        costs, base, unit=strict(F.median, "cost_per_unit"), kg=strict(F.median, "cost_per_kg")
     )
-    return costs.select(
+    return df.select(
         "plant_code",
         "cost_per_unit",
         "cost_per_kg",
         "total_units",
         "total_orders",
-        _quadrant(medians["unit"], medians["kg"]).alias("quadrant"),
+        _quadrant(F.col("totals.unit"), F.col("totals.kg")).alias("quadrant"),
     )
 
 
@@ -160,19 +158,23 @@ SCORES = {
 }
 
 
+def _total(name: str) -> Column:
+    return F.col(f"totals.{name}")
+
+
 def efficiency_matrix_export(costs: DataFrame) -> DataFrame:
     """Scores from 0 to 1 per plant, wide: low costs and high volume score high."""
-    bounds = totals(
+    df = with_totals(
         costs,
         **{f"low_{c}": F.min(c) for c in (*SCORES.values(), "total_units")},
         **{f"high_{c}": F.max(c) for c in (*SCORES.values(), "total_units")},
     )
     scores = [
-        rescale(-col(c), -bounds[f"high_{c}"], -bounds[f"low_{c}"]).alias(score)
+        rescale(-col(c), -_total(f"high_{c}"), -_total(f"low_{c}")).alias(score)
         for score, c in SCORES.items()
     ]
-    volume = rescale("total_units", bounds["low_total_units"], bounds["high_total_units"])
-    return costs.select("plant_code", *scores, volume.alias("volume_efficiency"))
+    volume = rescale("total_units", _total("low_total_units"), _total("high_total_units"))
+    return df.select("plant_code", *scores, volume.alias("volume_efficiency"))
 
 
 def performance(score: Column | str) -> Column:
@@ -187,7 +189,7 @@ def performance(score: Column | str) -> Column:
 
 def efficiency_matrix_chart(costs: DataFrame) -> DataFrame:
     """Scores in long form with a class; one missing cost makes that whole metric missing."""
-    bounds = totals(
+    df = with_totals(
         costs,
         **{f"low_{c}": strict(F.min, c) for c in SCORES.values()},
         **{f"high_{c}": strict(F.max, c) for c in SCORES.values()},
@@ -196,14 +198,14 @@ def efficiency_matrix_chart(costs: DataFrame) -> DataFrame:
     )
     scores = [
         rescale(
-            bounds[f"high_{c}"] - col(c),
+            _total(f"high_{c}") - col(c),
             F.lit(0.0),
-            bounds[f"high_{c}"] - bounds[f"low_{c}"],
+            _total(f"high_{c}") - _total(f"low_{c}"),
         ).alias(score)
         for score, c in SCORES.items()
     ]
-    volume = rescale("total_units", bounds["low_units"], bounds["high_units"])
-    wide = costs.select("plant_code", *scores, volume.alias("volume_efficiency"))
+    volume = rescale("total_units", _total("low_units"), _total("high_units"))
+    wide = df.select("plant_code", *scores, volume.alias("volume_efficiency"))
     metric = title(replace_first("metric", "_efficiency", ""))
     return (
         wide.unpivot(["plant_code"], [*SCORES, "volume_efficiency"], "metric", "score")
@@ -219,16 +221,16 @@ def standardised_costs(costs: DataFrame) -> DataFrame:
         "unit_efficiency": "cost_per_unit",
         "kg_efficiency": "cost_per_kg",
     }
-    stats = totals(
+    df = with_totals(
         costs,
         **{f"mean_{c}": F.avg(c) for c in scores.values()},
         **{f"sd_{c}": F.stddev_samp(c) for c in scores.values()},
     )
     keep = ["plant_code", *scores.values()]
-    wide = costs.select(
+    wide = df.select(
         *keep,
         *[
-            standardise(c, stats[f"mean_{c}"], stats[f"sd_{c}"]).alias(score)
+            standardise(c, _total(f"mean_{c}"), _total(f"sd_{c}")).alias(score)
             for score, c in scores.items()
         ],
     )
