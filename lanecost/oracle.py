@@ -679,7 +679,7 @@ def statements() -> dict[str, str]:
 
     # warehouse summaries
     s["storage_ranking"] = _select(
-        """SELECT *, storage_cost / sum(storage_cost) OVER () * 100 AS pct_of_total FROM (
+        f"""SELECT *, storage_cost / {_strict_over('storage_cost', '')} * 100 AS pct_of_total FROM (
              SELECT * FROM costs QUALIFY rank() OVER (ORDER BY storage_cost DESC NULLS LAST) <= 10)""",
         COST_KEYS,
         COST_DOUBLES + ", pct_of_total",
