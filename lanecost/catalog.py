@@ -31,7 +31,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 # Engines add doubles in different orders, so results are rounded: sums of amounts with at most three
-# decimals to four, everything else (unit costs, shares, scores) to eight.
+# decimals to four, everything else (unit costs, shares, scores) to eight. A quotient can lie exactly
+# halfway between two results; the nudge sends it up whatever the last bit says.
+NUDGE = 1e-10
 AMOUNTS = {
     "amount",
     "sort_value",
@@ -54,7 +56,7 @@ def decimals(column: str) -> int:
 def rounded(df: DataFrame) -> DataFrame:
     return df.select(
         [
-            F.round(f.name, decimals(f.name)).alias(f.name)
+            F.round(F.col(f.name) + (0 if f.name in AMOUNTS else NUDGE), decimals(f.name)).alias(f.name)
             if isinstance(f.dataType, DoubleType)
             else F.col(f.name)
             for f in df.schema

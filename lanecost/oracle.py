@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .catalog import decimals
+from .catalog import AMOUNTS, NUDGE, decimals
 from .tpch import BANDS
 
 _BAND_ROWS = ", ".join(
@@ -165,7 +165,10 @@ WITH lines AS (
 def _select(sql: str, keys: str = "", doubles: str = "") -> str:
     """Statement over `sql` that keeps `keys` and rounds `doubles`."""
     columns = [k.strip() for k in keys.split(",") if k.strip()]
-    columns += [f"round({c}, {decimals(c)}) AS {c}" for c in (d.strip() for d in doubles.split(",")) if c]
+    for c in (d.strip() for d in doubles.split(",")):
+        if c:
+            nudge = 0 if c in AMOUNTS else NUDGE
+            columns.append(f"round({c} + {nudge}::DOUBLE, {decimals(c)}) AS {c}")
     return f"{BASE}\nSELECT {', '.join(columns)} FROM ({sql}) AS answer"
 
 
