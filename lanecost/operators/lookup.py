@@ -21,6 +21,13 @@ def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def short_groups(df: DataFrame, keys: Sequence[str], max_group: int, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Whether df fits and no key has more than max_group rows, so that a key's rows may be listed."""
+    groups = df.limit(max_rows + 1).groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+    size = groups.agg(F.sum("rows").alias("all"), F.max("rows").alias("largest")).first()
+    return size["all"] is None or (size["all"] <= max_rows and size["largest"] <= max_group)
+
+
 def spread(*columns: str, salts: int = SALTS) -> Column:
     """A salt that is the same when a task is run again and that also splits identical rows."""
     return F.pmod(F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in columns]), F.lit(salts))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.missing import both_greatest
 from ..functions.text import band_label, band_text
-from .lookup import fits, lookup, spread
+from .lookup import fits, lookup, short_groups, spread
 
 LANE = [
     ("carrier", "rate_carrier"),
@@ -23,10 +23,13 @@ LANE = [
 ]
 RATE_ORDER = ("minm_wgh_qty", "max_wgh_qty", "mode_dsc", "rate", "minimum_cost")
 
-# An order id with more candidate rows than this is handled apart. There can be at most
-# (all rows) / HOT_ROWS such ids, which bounds the broadcast below.
+# An order id with more rows than this is handled apart. There can be at most (all orders) / HOT_ROWS
+# such ids, which bounds the broadcasts below.
 HOT_ROWS = 1_000_000
 
+# A lane with more rates than this is not listed in one row.
+LANE_RATES = 1_000
+
 
 def clean_rates(rates: DataFrame) -> DataFrame:
     """The rate card without exact duplicates."""
@@ -41,11 +44,73 @@ def _lane_keys() -> list[str]:
     return [right for _, right in LANE]
 
 
-def lane_bands(rates: DataFrame) -> DataFrame:
-    """One row per lane with its distinct rates in RATE_ORDER; the band text is made once per rate."""
+SEGMENT = "struct<start: double, start_in: boolean, stop: double, stop_in: boolean>"
+
+
+def _segment(start: Column, start_in: Column, stop: Column, stop_in: Column) -> Column:
+    parts = {"start": start, "start_in": start_in, "stop": stop, "stop_in": stop_in}
+    return F.array(F.struct(*[c.alias(n) for n, c in parts.items()]))
+
+
+def winning_rates(rates: DataFrame, ties: str) -> DataFrame:
+    """The distinct rates, cut into the weight segments in which each is the best of its lane.
+
+    The smallest distance to the lower bound is the largest lower bound, so a rate loses where a band
+    of its lane that starts later holds the weight; for ties="first" also to rates with the same start
+    that sort before it. This depends on the rate card alone, so orders then find their best rate by a
+    plain range condition. A segment says for each end whether the end itself belongs to it.
+    """
+    entry = F.struct(*[F.col(c) for c in RATE_ORDER])
+    lanes = _rate_side(rates).groupBy(*_lane_keys()).agg(F.collect_set(entry).alias("lane"))
+    own = F.col("own")
+    low, high = own["minm_wgh_qty"], own["max_wgh_qty"]
+
+    def beats(other: Column) -> Column:
+        real = other["max_wgh_qty"] >= other["minm_wgh_qty"]
+        later = (other["minm_wgh_qty"] > low) & (other["minm_wgh_qty"] <= high)
+        if ties == "first":
+            later = later | ((other["minm_wgh_qty"] == low) & (other < own))
+        return real & later
+
+    def span(other: Column) -> Column:
+        return F.struct(other["minm_wgh_qty"].alias("low"), other["max_wgh_qty"].alias("high"))
+
+    def cut(seen: Column, taken: Column) -> Column:
+        """Close the free stretch before a taken span and go on behind it."""
+        free = _segment(seen["at"], seen["at_in"], taken["low"], F.lit(False))
+        segments = F.when(seen["at"] < taken["low"], F.concat(seen["segments"], free))
+        return F.struct(
+            F.greatest(seen["at"], taken["high"]).alias("at"),
+            F.lit(False).alias("at_in"),
+            F.coalesce(segments, seen["segments"]).alias("segments"),
+        )
+
+    def close(seen: Column) -> Column:
+        """Add the stretch up to the rate's own upper bound."""
+        free = _segment(seen["at"], seen["at_in"], high, F.lit(True))
+        left = seen["at_in"] | (seen["at"] < high)
+        return F.when(left, F.concat(seen["segments"], free)).otherwise(seen["segments"])
+
+    whole = F.struct(
+        low.alias("at"),
+        F.lit(True).alias("at_in"),
+        F.array().cast(f"array<{SEGMENT}>").alias("segments"),
+    )
+    taken = F.array_sort(F.array_distinct(F.transform(F.filter("lane", beats), span)))
     band = band_label(band_text("minm_wgh_qty", "max_wgh_qty"))
-    entry = F.struct(*RATE_ORDER, band.alias("weight_band"))
-    return _rate_side(rates).groupBy(*_lane_keys()).agg(F.sort_array(F.collect_set(entry)).alias("bands"))
+    return (
+        lanes.select(*_lane_keys(), "lane", F.explode("lane").alias("own"))
+        .select(*_lane_keys(), "own.*", F.aggregate(taken, whole, cut, close).alias("segments"))
+        .withColumn("weight_band", band)
+        .select(*_lane_keys(), *RATE_ORDER, "weight_band", F.inline("segments"))
+    )
+
+
+def _segment_holds_weight(orders: DataFrame, card: DataFrame) -> Column:
+    weight = orders["weight"]
+    after = (weight > card["start"]) | ((weight == card["start"]) & card["start_in"])
+    before = (weight < card["stop"]) | ((weight == card["stop"]) & card["stop_in"])
+    return after & before
 
 
 def first_rates(rates: DataFrame, order: tuple[str, ...] = RATE_ORDER) -> DataFrame:
@@ -66,6 +131,10 @@ def candidates(orders: DataFrame, rates: DataFrame, how: str = "left") -> DataFr
     return lookup(orders, card, LANE, small=fits(rates), how=how, spread_by=["order_id"])
 
 
+def _band_holds_weight(orders: DataFrame, card: DataFrame) -> Column:
+    return orders["weight"].between(card["minm_wgh_qty"], card["max_wgh_qty"])
+
+
 def in_band(orders: DataFrame, rates: DataFrame) -> DataFrame:
     """Every order with every rate whose band holds its weight."""
     card = _rate_side(clean_rates(rates))
@@ -75,7 +144,7 @@ def in_band(orders: DataFrame, rates: DataFrame) -> DataFrame:
         card,
         LANE,
         small=fits(rates),
-        also=lambda o, r: o["weight"].between(r["minm_wgh_qty"], r["max_wgh_qty"]),
+        also=_band_holds_weight,
         spread_by=["order_id"],
     )
     return joined.withColumn("gap", F.abs(F.col("weight") - F.col("minm_wgh_qty")))
@@ -96,50 +165,61 @@ def rate_orders(
     """
     if ties not in ("all", "first"):
         raise ValueError("ties must be 'all' or 'first'")
-    if fits(rates):
+    if short_groups(_rate_side(rates), _lane_keys(), LANE_RATES):
         rated = _best_per_row(orders, rates, ties)
         settled = unique_ids
     else:
         rated = in_band(orders, rates)
         settled = False
     if not settled:
-        rated = first_per_order(rated) if ties == "first" else smallest_gap_per_order(rated)
+        if ties == "first":
+            rated = first_per_order(rated)
+        else:
+            rated = smallest_gap_per_order(rated, orders)
     return rated.withColumn("shipping_cost", freight_cost())
 
 
 def _best_per_row(orders: DataFrame, rates: DataFrame, ties: str) -> DataFrame:
-    """Best rates of each row out of its lane's short list, without moving the orders."""
-    weight = F.col("weight")
-    fitting = F.filter("bands", lambda b: weight.between(b["minm_wgh_qty"], b["max_wgh_qty"]))
-    gap = F.array_min(F.transform("fitting", lambda b: F.abs(weight - b["minm_wgh_qty"])))
-    best = F.filter("fitting", lambda b: F.abs(weight - b["minm_wgh_qty"]) == F.col("gap"))
-    if ties == "first":
-        best = F.slice(best, 1, 1)
+    """Best rates of each row by a broadcast join alone: the orders stay where they are."""
+    card = winning_rates(rates, ties)
     return (
-        lookup(orders, lane_bands(rates), LANE, small=True)
-        .withColumn("fitting", fitting)
-        .withColumn("gap", gap)
-        .where(F.col("gap").isNotNull())
-        .select(*orders.columns, "gap", F.inline(best))
+        lookup(orders, card, LANE, small=True, also=_segment_holds_weight)
+        .drop("start", "start_in", "stop", "stop_in")
+        .withColumn("gap", F.abs(F.col("weight") - F.col("minm_wgh_qty")))
     )
 
 
-def smallest_gap_per_order(rated: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def smallest_gap_per_order(rated: DataFrame, orders: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Rows with the smallest gap of their order id, ties kept.
 
-    An id with more than hot_rows rows gets its smallest gap from a plain aggregate and keeps the
+    An id with more than hot_rows orders gets its smallest gap from a plain aggregate and keeps the
     rows that equal it, spread over many tasks; all other ids are ranked in windows of bounded size.
+    Hot ids are found from the id column alone. Without any, AQE drops the branch that prices them.
     """
     hot = (
-        rated.groupBy(F.col("order_id").alias("hot_id"))
-        .agg(F.count(F.lit(1)).alias("hot_n"), F.min("gap").alias("hot_gap"))
+        orders.groupBy(F.col("order_id").alias("hot_id"))
+        .agg(F.count(F.lit(1)).alias("hot_n"))
         .where(F.col("hot_n") > hot_rows)
+        .select("hot_id")
     )
-    marked = rated.join(F.broadcast(hot), F.col("order_id").eqNullSafe(F.col("hot_id")), "left")
-    kept = marked.where(F.col("hot_n").isNull() | (F.col("gap") == F.col("hot_gap")))
-    part = F.when(F.col("hot_n").isNotNull(), spread("order_id")).otherwise(F.lit(0))
+    is_hot = F.col("order_id").eqNullSafe(F.col("hot_id"))
+    hot_gaps = (
+        rated.select("order_id", "gap")
+        .join(F.broadcast(hot), is_hot)
+        .groupBy("hot_id")
+        .agg(F.min("gap").alias("hot_gap"))
+    )
+    marked = rated.join(F.broadcast(hot_gaps), is_hot, "left")
+    cool = F.col("hot_gap").isNull()
+    part = F.when(cool, F.lit(0)).otherwise(spread("order_id"))
     rank = F.rank().over(W.partitionBy("order_id", "_part").orderBy("gap"))
-    return kept.withColumn("_part", part).withColumn("_rank", rank).where("_rank = 1").select(*rated.columns)
+    return (
+        marked.where(cool | (F.col("gap") == F.col("hot_gap")))
+        .withColumn("_part", part)
+        .withColumn("_rank", rank)
+        .where("_rank = 1")
+        .select(*rated.columns)
+    )
 
 
 def first_per_order(rows: DataFrame, lead: tuple[str, ...] = ("gap", *RATE_ORDER)) -> DataFrame:
@@ -155,10 +235,12 @@ def first_per_order(rows: DataFrame, lead: tuple[str, ...] = ("gap", *RATE_ORDER
 
 def unrated_orders(orders: DataFrame, rates: DataFrame) -> DataFrame:
     """Orders without any rate for their lane and weight."""
-    if not fits(rates):
-        rated_ids = in_band(orders, rates).select(F.col("order_id").alias("rated_id")).distinct()
-        return orders.join(rated_ids, F.col("order_id").eqNullSafe(F.col("rated_id")), "left_anti")
-    weight = F.col("weight")
-    inside = F.exists("bands", lambda b: weight.between(b["minm_wgh_qty"], b["max_wgh_qty"]))
-    joined = lookup(orders, lane_bands(rates), LANE, small=True, how="left")
-    return joined.where(~F.coalesce(inside, F.lit(False))).select(*orders.columns)
+    return lookup(
+        orders,
+        _rate_side(rates),
+        LANE,
+        small=fits(rates),
+        how="left_anti",
+        also=_band_holds_weight,
+        spread_by=["order_id"],
+    ).select(*orders.columns)

@@ -76,6 +76,8 @@ def path(request, monkeypatch):
     """Both ways to join the rate card, whatever its size."""
     for module in (rating, shipping, service):
         monkeypatch.setattr(module, "fits", lambda df: request.param == "broadcast")
+    if request.param == "shuffle":
+        monkeypatch.setattr(rating, "short_groups", lambda *args: False)
     return request.param
 
 
@@ -93,13 +95,12 @@ def test_repeated_ids(spark, rates, path):
     assert result(rating.rate_orders(spark.createDataFrame(rows, ORDER), rates)) == want
 
 
-def test_one_id_holding_a_third_of_all_rows(spark, rates, monkeypatch):
-    monkeypatch.setattr(rating, "HOT_ROWS", 5)
+def test_one_id_holding_a_third_of_all_rows(spark, rates):
     rows = made_orders(300) + [(7, "A", "PORT01", "PORT09", "DTD", 120.0)] * 150
     orders = spark.createDataFrame(rows, ORDER).repartition(6)
     found = rating.in_band(orders, rates)
     want = brute_force(rows, made_rates())
-    kept = rating.smallest_gap_per_order(found, hot_rows=5)
+    kept = rating.smallest_gap_per_order(found, orders, hot_rows=5)
     kept = kept.withColumn("shipping_cost", rating.freight_cost())
     assert result(kept) == want
 
@@ -191,3 +192,34 @@ def test_missing_minimum_cost_makes_the_total_missing(spark):
 def test_missing_columns_are_named(spark, rates):
     with pytest.raises(Exception, match="weight"):
         marts.shipping_costs(spark.range(1), rates)
+
+
+def test_a_long_lane_is_not_listed(spark, rates):
+    card = rating._rate_side(rates)
+    keys = rating._lane_keys()
+    assert rating.short_groups(card, keys, 1000)
+    assert not rating.short_groups(card, keys, 2)
+    assert not rating.short_groups(card, keys, 1000, max_rows=3)
+    assert rating.short_groups(card.limit(0), keys, 1)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_any_mix_of_overlapping_touching_and_empty_bands(spark, seed):
+    rnd = random.Random(seed)
+    card = []
+    for lane in ("PORT01", "PORT02"):
+        for _ in range(12):
+            low = float(rnd.randrange(12))
+            high = rnd.choice([None, low - 1, low, low + rnd.randrange(1, 9)])
+            rate = (lane, "PORT09", "A", "DTD", rnd.choice(["AIR", "GROUND"]), low, high, 1.0 + rnd.randrange(3), 0.0)
+            card.append(rate)
+    weights = [w / 4 for w in range(-4, 90)]
+    rows = [(i, "A", rnd.choice(["PORT01", "PORT02"]), "PORT09", "DTD", w) for i, w in enumerate(weights)]
+    orders = spark.createDataFrame(rows, ORDER)
+    rates = spark.createDataFrame(card, FREIGHT_RATES)
+    want = brute_force(rows, [r for r in card if r[6] is not None])
+    assert result(rating.rate_orders(orders, rates, unique_ids=True)) == want
+    first = result(rating.rate_orders(orders, rates, ties="first", unique_ids=True))
+    assert set(first) <= set(want)
+    assert {k[0] for k in first} == {k[0] for k in want} and len(first) == sum(first.values())
+    assert len(first) == len({k[0] for k in first})
