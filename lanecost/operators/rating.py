@@ -44,12 +44,32 @@ def _lane_keys() -> list[str]:
     return [right for _, right in LANE]
 
 
-SEGMENT = "struct<start: double, start_in: boolean, stop: double, stop_in: boolean>"
-
-
-def _segment(start: Column, start_in: Column, stop: Column, stop_in: Column) -> Column:
-    parts = {"start": start, "start_in": start_in, "stop": stop, "stop_in": stop_in}
-    return F.array(F.struct(*[c.alias(n) for n, c in parts.items()]))
+# Spark SQL over one rate `own` and the list `lane` of all rates of its lane. `better` are the bands that
+# beat it, `cut` walks over them in order and collects the stretches of weight they leave free.
+_LATER = "o.minm_wgh_qty > own.minm_wgh_qty AND o.minm_wgh_qty <= own.max_wgh_qty"
+_EARLIER_TIE = "o.minm_wgh_qty = own.minm_wgh_qty AND o < own"
+_BETTER = """
+    array_sort(array_distinct(transform(
+      filter(lane, o -> o.max_wgh_qty >= o.minm_wgh_qty AND ({beats})),
+      o -> struct(o.minm_wgh_qty AS low, o.max_wgh_qty AS high))))
+"""
+_FREE = "struct(cut.at AS start, cut.at_in AS start_in, {stop} AS stop, {stop_in} AS stop_in)"
+_SEGMENTS = """
+    aggregate(
+      better,
+      struct(own.minm_wgh_qty AS at, true AS at_in, cast(array() AS
+        array<struct<start: double, start_in: boolean, stop: double, stop_in: boolean>>) AS free),
+      (cut, b) -> struct(
+        greatest(cut.at, b.high) AS at,
+        false AS at_in,
+        if(cut.at < b.low, concat(cut.free, array({free})), cut.free)
+          AS free),
+      cut -> if(cut.at_in OR cut.at < own.max_wgh_qty,
+        concat(cut.free, array({last})), cut.free))
+""".format(
+    free=_FREE.format(stop="b.low", stop_in="false"),
+    last=_FREE.format(stop="own.max_wgh_qty", stop_in="true"),
+)
 
 
 def winning_rates(rates: DataFrame, ties: str) -> DataFrame:
@@ -60,49 +80,19 @@ def winning_rates(rates: DataFrame, ties: str) -> DataFrame:
     that sort before it. This depends on the rate card alone, so orders then find their best rate by a
     plain range condition. A segment says for each end whether the end itself belongs to it.
     """
-    entry = F.struct(*[F.col(c) for c in RATE_ORDER])
-    lanes = _rate_side(rates).groupBy(*_lane_keys()).agg(F.collect_set(entry).alias("lane"))
-    own = F.col("own")
-    low, high = own["minm_wgh_qty"], own["max_wgh_qty"]
-
-    def beats(other: Column) -> Column:
-        real = other["max_wgh_qty"] >= other["minm_wgh_qty"]
-        later = (other["minm_wgh_qty"] > low) & (other["minm_wgh_qty"] <= high)
-        if ties == "first":
-            later = later | ((other["minm_wgh_qty"] == low) & (other < own))
-        return real & later
-
-    def span(other: Column) -> Column:
-        return F.struct(other["minm_wgh_qty"].alias("low"), other["max_wgh_qty"].alias("high"))
-
-    def cut(seen: Column, taken: Column) -> Column:
-        """Close the free stretch before a taken span and go on behind it."""
-        free = _segment(seen["at"], seen["at_in"], taken["low"], F.lit(False))
-        segments = F.when(seen["at"] < taken["low"], F.concat(seen["segments"], free))
-        return F.struct(
-            F.greatest(seen["at"], taken["high"]).alias("at"),
-            F.lit(False).alias("at_in"),
-            F.coalesce(segments, seen["segments"]).alias("segments"),
-        )
-
-    def close(seen: Column) -> Column:
-        """Add the stretch up to the rate's own upper bound."""
-        free = _segment(seen["at"], seen["at_in"], high, F.lit(True))
-        left = seen["at_in"] | (seen["at"] < high)
-        return F.when(left, F.concat(seen["segments"], free)).otherwise(seen["segments"])
-
-    whole = F.struct(
-        low.alias("at"),
-        F.lit(True).alias("at_in"),
-        F.array().cast(f"array<{SEGMENT}>").alias("segments"),
-    )
-    taken = F.array_sort(F.array_distinct(F.transform(F.filter("lane", beats), span)))
+    beats = _LATER if ties == "all" else f"({_LATER}) OR ({_EARLIER_TIE})"
+    keys = _lane_keys()
+    entry = F.expr(f"collect_set(struct({', '.join(RATE_ORDER)})) AS lane")
     band = band_label(band_text("minm_wgh_qty", "max_wgh_qty"))
     return (
-        lanes.select(*_lane_keys(), "lane", F.explode("lane").alias("own"))
-        .select(*_lane_keys(), "own.*", F.aggregate(taken, whole, cut, close).alias("segments"))
+        _rate_side(rates)
+        .groupBy(*keys)
+        .agg(entry)
+        .selectExpr(*keys, "lane", "explode(lane) AS own")
+        .selectExpr(*keys, "own", _BETTER.format(beats=beats) + " AS better")
+        .selectExpr(*keys, "own.*", _SEGMENTS + " AS segments")
         .withColumn("weight_band", band)
-        .select(*_lane_keys(), *RATE_ORDER, "weight_band", F.inline("segments"))
+        .selectExpr(*keys, *RATE_ORDER, "weight_band", "inline(segments)")
     )
 
 
