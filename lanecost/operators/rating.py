@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.missing import both_greatest
 from ..functions.text import band_label, band_text
-from .lookup import fits, lookup, short_groups, spread
+from .lookup import fits, lookup, short_groups
 
 LANE = [
     ("carrier", "rate_carrier"),
@@ -182,9 +182,9 @@ def _best_per_row(orders: DataFrame, rates: DataFrame, ties: str) -> DataFrame:
 def smallest_gap_per_order(rated: DataFrame, orders: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Rows with the smallest gap of their order id, ties kept.
 
-    An id with more than hot_rows orders gets its smallest gap from a plain aggregate and keeps the
-    rows that equal it, spread over many tasks; all other ids are ranked in windows of bounded size.
-    Hot ids are found from the id column alone. Without any, AQE drops the branch that prices them.
+    Ids with at most hot_rows orders are ranked in windows, whose size is thereby bounded. The other
+    ids are found from the id column alone; a plain aggregate gives their smallest gap and their rows
+    are kept by comparison, without a shuffle. Without such ids AQE drops that branch.
     """
     hot = (
         orders.groupBy(F.col("order_id").alias("hot_id"))
@@ -199,17 +199,10 @@ def smallest_gap_per_order(rated: DataFrame, orders: DataFrame, hot_rows: int =
         .groupBy("hot_id")
         .agg(F.min("gap").alias("hot_gap"))
     )
-    marked = rated.join(F.broadcast(hot_gaps), is_hot, "left")
-    cool = F.col("hot_gap").isNull()
-    part = F.when(cool, F.lit(0)).otherwise(spread("order_id"))
-    rank = F.rank().over(W.partitionBy("order_id", "_part").orderBy("gap"))
-    return (
-        marked.where(cool | (F.col("gap") == F.col("hot_gap")))
-        .withColumn("_part", part)
-        .withColumn("_rank", rank)
-        .where("_rank = 1")
-        .select(*rated.columns)
-    )
+    nearest = rated.join(F.broadcast(hot_gaps), is_hot & (F.col("gap") == F.col("hot_gap")))
+    rank = F.rank().over(W.partitionBy("order_id").orderBy("gap"))
+    ranked = rated.join(F.broadcast(hot), is_hot, "left_anti").withColumn("_rank", rank)
+    return ranked.where("_rank = 1").select(*rated.columns).union(nearest.select(*rated.columns))
 
 
 def first_per_order(rows: DataFrame, lead: tuple[str, ...] = ("gap", *RATE_ORDER)) -> DataFrame:

@@ -66,3 +66,10 @@ def test_a_filter_reaches_the_rows_below_the_mart(spark):
     text = plan(entry.queries()["shipping_of_plant"](spark, SF))
     below = text[text.rindex("HashAggregate(keys=[origin_port") :]
     assert "PORT03" in below
+
+
+def test_the_branch_for_hot_ids_is_dropped_when_there_are_none(spark):
+    df = entry.queries()["best_rates_repeated_ids"](spark, SF)
+    df.collect()
+    final = plan(df).split("== Initial Plan ==")[0]
+    assert "Window" in final and "Union" not in final
