@@ -37,10 +37,6 @@ def port_to_plant(c: Column | str) -> Column:
     return replace_first(c, "PORT", "PLANT")
 
 
-def plant_to_port(c: Column | str) -> Column:
-    return replace_first(c, "PLANT", "PORT")
-
-
 def title(c: Column | str) -> Column:
     """'unit_cost' as 'Unit Cost'; only the first underscore becomes a blank."""
     return F.initcap(replace_first(c, "_", " "))
@@ -80,3 +76,8 @@ def dollar_text_auto(c: Column | str) -> Column:
 def percent_text(c: Column | str) -> Column:
     """A percentage rounded half-even to one decimal, e.g. '33.3%' or '50%'."""
     return F.concat(number_text(F.bround(snapped(c), 1)), F.lit("%"))
+
+
+def share_text(c: Column | str) -> Column:
+    """A share of 1 as a percentage with one decimal, e.g. '75.0%'."""
+    return F.concat(fixed_text(col(c) * 100, 1), F.lit("%"))

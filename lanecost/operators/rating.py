@@ -150,8 +150,8 @@ def rate_orders(
     """Orders with their best rate, its band and the shipping cost; unrated orders drop out.
 
     Rates compete within an order id. With `unique_ids` the caller states that order_id is a key, so
-    each row decides alone and the orders are not shuffled. Otherwise rows that share an id compete
-    with each other, however many they are.
+    each row decides alone and, unless the rate card is too large to broadcast, the orders are not
+    shuffled. Otherwise rows that share an id compete with each other, however many they are.
     """
     if ties not in ("all", "first"):
         raise ValueError("ties must be 'all' or 'first'")

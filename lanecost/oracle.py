@@ -478,11 +478,14 @@ def statements() -> dict[str, str]:
         "total_weight, total_units, cost_unit, storage_cost, cost_per_order, cost_per_kg",
     )
     s["warehouse_capacity"] = _select("SELECT * FROM capacity", CAPACITY_KEYS, CAPACITY_DOUBLES)
+    share = "format('{:,.1f}', round_even(round(capacity_utilization * 100, 6), 1)) || '%'"
     s["capacity_status"] = _select(
-        """SELECT * REPLACE (CASE WHEN capacity_utilization >= 1 THEN 'Over Capacity'
+        f"""SELECT * REPLACE (CASE WHEN capacity_utilization >= 1 THEN 'Over Capacity'
                                   ELSE 'Under Capacity' END AS status),
-                  capacity_utilization * 100 AS utilization_pct FROM capacity""",
-        CAPACITY_KEYS,
+                  capacity_utilization * 100 AS utilization_pct, {share} AS util_label,
+                  {share} || chr(10) || {_COMMA.format('n')} || ' orders' AS detail_label
+            FROM capacity""",
+        CAPACITY_KEYS + ", util_label, detail_label",
         CAPACITY_DOUBLES + ", utilization_pct",
     )
 

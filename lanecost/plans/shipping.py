@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.missing import percent, ratio, strict_mean, strict_sum
+from ..functions.missing import choose, percent, ratio, strict_mean, strict_sum
 from ..functions.text import ARROW, band_label, band_text, comma_text, dollar_text, route_text
 from ..operators.bands import band_position
 from ..operators.lookup import fits, lookup
@@ -120,12 +120,11 @@ def weight_band_detail(shipping: DataFrame) -> DataFrame:
     """Mart rows with order and weight labels; only rows above 10,000 kg show theirs."""
     weight = comma_text("total_weight")
     label = F.concat(comma_text("n_orders"), F.lit(" orders\n"), weight, F.lit(" kg"))
-    heavy = F.col("significant")
     return (
         shipping.withColumn("weight_band", band_label("weight_band"))
         .withColumn("order_label", label)
         .withColumn("significant", F.col("total_weight") > 10000)
-        .withColumn("label_text", F.when(heavy, F.col("order_label")).when(~heavy, F.lit("")))
+        .withColumn("label_text", choose(F.col("significant"), F.col("order_label"), F.lit("")))
     )
 
 

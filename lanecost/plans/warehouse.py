@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.missing import col, lenient_sum, percent, ratio, strict, strict_sum
-from ..functions.text import port_to_plant, replace_first, title
+from ..functions.text import comma_text, port_to_plant, replace_first, share_text, title
 from ..operators.totals import rescale, standardise, top_n, with_totals
 
 
@@ -39,10 +39,13 @@ def storage_export(costs: DataFrame) -> DataFrame:
 def capacity_status(capacity: DataFrame) -> DataFrame:
     """Utilisation in percent; at or above capacity counts as over, an unknown one as under."""
     over = F.col("capacity_utilization") >= 1
+    share = share_text("capacity_utilization")
     return capacity.withColumns(
         {
             "utilization_pct": F.col("capacity_utilization") * 100,
             "status": F.when(over, F.lit("Over Capacity")).otherwise(F.lit("Under Capacity")),
+            "util_label": share,
+            "detail_label": F.concat(share, F.lit("\n"), comma_text("n"), F.lit(" orders")),
         }
     )
 

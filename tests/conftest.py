@@ -12,11 +12,8 @@ from session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
-    session = local_session()
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoint")))
-    yield session
+def spark():
+    return local_session()
 
 
 SHIPPING = (

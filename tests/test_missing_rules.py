@@ -65,7 +65,7 @@ def test_only_the_first_occurrence_is_replaced(spark):
     assert value(spark, text.replace_first(F.lit("a_b_c"), "_", " ")) == "a b_c"
     assert value(spark, text.port_to_plant(F.lit("PORT09"))) == "PLANT09"
     assert value(spark, text.port_to_plant(F.lit("PORTPORT"))) == "PLANTPORT"
-    assert value(spark, text.plant_to_port(F.lit("PLANT16"))) == "PORT16"
+    assert value(spark, text.share_text(F.lit(0.75))) == "75.0%"
 
 
 def test_titles(spark):
