@@ -14,6 +14,11 @@ from ..operators.rating import LANE, clean_rates
 from ..operators.totals import with_totals
 
 
+# What counts as large enough for a label.
+LABEL_ORDERS, LABEL_WEIGHT = 10000, 100000
+DETAIL_WEIGHT = 10000
+
+
 def routes(shipping: DataFrame) -> DataFrame:
     """Cost and orders per lane, carrier and mode (the export form)."""
     return shipping.groupBy("origin_port", "destination_port", "carrier", "mode_dsc").agg(
@@ -103,7 +108,7 @@ def shipping_shares(shipping: DataFrame) -> DataFrame:
 
 def weight_band_use(shipping: DataFrame) -> DataFrame:
     """Orders and weight per carrier and band, with the label of the large ones."""
-    large = (F.col("total_orders") > 10000) | (F.col("total_weight") > 100000)
+    large = (F.col("total_orders") > LABEL_ORDERS) | (F.col("total_weight") > LABEL_WEIGHT)
     label = F.concat("carrier", F.lit("\n"), comma_text("total_orders"), F.lit(" orders"))
     return (
         shipping.groupBy("carrier", "weight_band")
@@ -123,7 +128,7 @@ def weight_band_detail(shipping: DataFrame) -> DataFrame:
     return (
         shipping.withColumn("weight_band", band_label("weight_band"))
         .withColumn("order_label", label)
-        .withColumn("significant", F.col("total_weight") > 10000)
+        .withColumn("significant", F.col("total_weight") > DETAIL_WEIGHT)
         .withColumn("label_text", choose(F.col("significant"), F.col("order_label"), F.lit("")))
     )
 

@@ -180,14 +180,13 @@ def efficiency_matrix_export(costs: DataFrame) -> DataFrame:
     return df.select("plant_code", *scores, volume.alias("volume_efficiency"))
 
 
+# The score from which a class applies; a lower or missing score needs improvement.
+CLASSES = {"Excellent": 0.75, "Good": 0.50, "Fair": 0.25}
+
+
 def performance(score: Column | str) -> Column:
-    score = col(score)
-    return (
-        F.when(score >= 0.75, F.lit("Excellent"))
-        .when(score >= 0.50, F.lit("Good"))
-        .when(score >= 0.25, F.lit("Fair"))
-        .otherwise(F.lit("Needs Improvement"))
-    )
+    names = [F.when(col(score) >= least, F.lit(name)) for name, least in CLASSES.items()]
+    return F.coalesce(*names, F.lit("Needs Improvement"))
 
 
 def efficiency_matrix_chart(costs: DataFrame) -> DataFrame:

@@ -22,7 +22,8 @@ def export_name(name: str, now: datetime, *, with_time: bool = False) -> str:
 def export_csv(df: DataFrame | None, path: str) -> None:
     """Write a non-empty frame as CSV with a header; missing values become empty fields.
 
-    The path becomes a directory with one file per partition, as Spark writes it.
+    The path becomes a directory with one file per partition, as Spark writes it, and replaces an
+    earlier export of the same name.
     """
     if df is None:
         raise ExportError("Export failed: No data available for export. Please ensure data is loaded.")
@@ -39,7 +40,7 @@ def export_csv_plain(df: DataFrame, path: str) -> None:
 
 
 def _write(df: DataFrame, path: str, missing: str) -> None:
-    df.write.mode("error").option("header", True).option("nullValue", missing).csv(path)
+    df.write.mode("overwrite").option("header", True).option("nullValue", missing).csv(path)
 
 
 def validate_export_data(df: DataFrame, required_cols: list[str]) -> bool | str:
