@@ -96,6 +96,25 @@ def _capacity(spark, d):
     return marts.warehouse_capacity(_orders(spark, d, ["plant_code"]), tpch.wh_capacities(spark, d))
 
 
+def _rates_in_use(spark, d):
+    """The rate card of the lanes that have orders."""
+    card = tpch.freight_rates(spark, d)
+    lane = ["carrier", "origin_port", "destination_port", "service_level"]
+    lanes = _orders(spark, d, lane).distinct().toDF("c", "o", "d", "s")
+    served = F.expr("carrier = c AND orig_port_cd = o AND dest_port_cd = d AND svc_cd = s")
+    return card.join(lanes, served, "left_semi")
+
+
+def _plants_in_use(df, key, spark, d):
+    """Rows of the plants that have orders."""
+    plants = _orders(spark, d, ["plant_code"]).distinct()
+    return df.join(plants, df[key] == plants["plant_code"], "left_semi")
+
+
+def _costs_in_use(spark, d):
+    return _plants_in_use(tpch.wh_costs(spark, d), "wh", spark, d)
+
+
 def _mix(spark, d):
     orders = _orders(spark, d, RATING)
     return shipping.weight_band_service_mix(orders, tpch.freight_rates(spark, d))
@@ -242,9 +261,11 @@ LANE_KEY = ["origin_port", "destination_port", "carrier"]
 QUERIES: dict[str, Query] = {
     # sources
     "order_list": _orders,
-    "freight_rate_card": lambda spark, d: rating.clean_rates(tpch.freight_rates(spark, d)),
-    "warehouse_cost_table": tpch.wh_costs,
-    "warehouse_capacity_table": tpch.wh_capacities,
+    "freight_rate_card": lambda spark, d: rating.clean_rates(_rates_in_use(spark, d)),
+    "warehouse_cost_table": _costs_in_use,
+    "warehouse_capacity_table": lambda spark, d: _plants_in_use(
+        tpch.wh_capacities(spark, d), "plant_id", spark, d
+    ),
     # rating
     "rates_in_band": _in_band,
     "best_rates": lambda spark, d: _rated(spark, d, unique_ids=UNIQUE_IDS),
@@ -348,7 +369,7 @@ QUERIES: dict[str, Query] = {
     "cost_kpis_without_rates": _cost_kpis(UNRATED_CARRIER),
     # quality checks
     "check_order_list": lambda spark, d: quality.check_order_list(_orders(spark, d)),
-    "check_freight_rates": lambda spark, d: quality.check_freight_rates(tpch.freight_rates(spark, d)),
+    "check_freight_rates": lambda spark, d: quality.check_freight_rates(_rates_in_use(spark, d)),
     "check_shipping_metrics": _check_mart(quality.check_shipping_metrics),
     "check_duplicate_lanes": _check_mart(quality.check_duplicates, LANE_KEY),
     "check_weight_bands": _check_mart(quality.check_weight_bands),
@@ -363,7 +384,7 @@ QUERIES: dict[str, Query] = {
     "order_id_duplicates": lambda spark, d: quality.check_unique_order_ids(
         _orders(spark, d, ["order_id"])
     ),
-    "warehouse_duplicates": lambda spark, d: quality.check_unique_warehouses(tpch.wh_costs(spark, d)),
+    "warehouse_duplicates": lambda spark, d: quality.check_unique_warehouses(_costs_in_use(spark, d)),
 }
 
 

@@ -64,6 +64,11 @@ WITH lines AS (
          base * (1 + n_nationkey % 4) / 10 AS rate,
          CAST(20 + dest AS DOUBLE) AS minimum_cost
   FROM nation, range(0, 5) AS d(dest), (VALUES ('DTD'), ('DTP')) AS s(svc_cd), bands
+), rates_in_use AS (
+  SELECT * FROM freight_rates r WHERE EXISTS (
+    SELECT 1 FROM order_list o
+    WHERE o.carrier = r.carrier AND o.origin_port = r.orig_port_cd
+      AND o.destination_port = r.dest_port_cd AND o.service_level = r.svc_cd)
 ), clean_rates AS (
   SELECT DISTINCT * FROM freight_rates
 ), wh_costs AS (
@@ -430,19 +435,24 @@ def _nulls(check: str, columns: tuple[str, ...], source: str) -> list[str]:
     return [_check(check, "WARN", c, f"count(*) FILTER ({c} IS NULL)", source) for c in columns]
 
 
+_COSTS_IN_USE = "(SELECT * FROM wh_costs WHERE wh IN (SELECT plant_code FROM order_list))"
+
+
 def statements() -> dict[str, str]:
     s: dict[str, str] = {}
 
     # sources
     s["order_list"] = _select("SELECT * FROM order_list", ORDER_KEYS, ORDER_DOUBLES)
     s["freight_rate_card"] = _select(
-        "SELECT * FROM clean_rates",
+        "SELECT DISTINCT * FROM rates_in_use",
         "orig_port_cd, dest_port_cd, carrier, svc_cd, mode_dsc",
         "minm_wgh_qty, max_wgh_qty, rate, minimum_cost",
     )
-    s["warehouse_cost_table"] = _select("SELECT * FROM wh_costs", "wh, year, month", "cost_unit")
+    s["warehouse_cost_table"] = _select(f"SELECT * FROM {_COSTS_IN_USE}", "wh, year, month", "cost_unit")
     s["warehouse_capacity_table"] = _select(
-        "SELECT * FROM wh_capacities", "plant_id, region, type, status", "daily_capacity"
+        "SELECT * FROM wh_capacities WHERE plant_id IN (SELECT plant_code FROM order_list)",
+        "plant_id, region, type, status",
+        "daily_capacity",
     )
 
     # rating
@@ -792,7 +802,7 @@ def statements() -> dict[str, str]:
     s["check_freight_rates"] = _select(
         _rules(
             "freight_rates",
-            "freight_rates",
+            "rates_in_use",
             {
                 "rate": "rate > 0",
                 "minimum_cost": "minimum_cost >= 0",
@@ -893,5 +903,5 @@ def statements() -> dict[str, str]:
         CHECK_KEYS,
     )
     s["order_id_duplicates"] = _select(_duplicates("order_id", "order_list"), CHECK_KEYS)
-    s["warehouse_duplicates"] = _select(_duplicates("wh", "wh_costs"), CHECK_KEYS)
+    s["warehouse_duplicates"] = _select(_duplicates("wh", _COSTS_IN_USE), CHECK_KEYS)
     return s
