@@ -6,6 +6,7 @@ import pytest
 from compare import difference, duck, duck_table, spark_table
 
 import __spark_entry__ as entry
+from lanecost import catalog, oracle
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,10 +17,10 @@ def con():
 
 
 def test_every_query_has_a_statement():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalog.queries()) == set(oracle.statements())
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(catalog.queries()))
 def test_query_matches_its_statement(spark, con, name):
     got = spark_table(entry.queries()[name](spark, SF))
     assert difference(got, duck_table(con, entry.oracle_sql()[name])) is None
@@ -33,7 +34,7 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(catalog.queries()))
 def test_no_query_uses_a_cross_join_or_a_window_over_everything(spark, name):
     text = plan(entry.queries()[name](spark, SF))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
