@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanecost.llm import quality
+from lanecost.llm import quality, secrets, token_counts, token_files
+from lanecost.llm.scratch import folder
+
+TOKENIZER = "byte_bpe_50k.json"
+END_ID = 0
+TOKEN_LIMIT = 512
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +21,47 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    counted = token_counts.counted(docs, vocabulary(TOKENIZER), TOKEN_LIMIT, keep=("n_bytes",), table=False)
+    return counted.select(
+        "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), "cut_chars"
+    )
+
+
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = secrets.scanned(_documents(spark, sf_dir))
+    base = len(secrets.KINDS) - 1
+
+    def count(test: Callable[[Column], Column]) -> Column:
+        return F.size(F.filter("secrets", test)).cast("long")
+
+    def of_kind(rank: int) -> Column:
+        return count(lambda s: s["rank"] == rank)
+
+    return scanned.select(
+        F.col("_id").alias("doc_id"),
+        *[of_kind(r).alias(f"n_{secrets.KINDS[r]}") for r in range(base)],
+        F.sha2(secrets.listing(F.col("secrets"), base), 256).alias("base_sha256"),
+        secrets.listing(F.col("secrets")).alias("spans"),
+        count(lambda s: s["live"]).alias("n_live"),
+        count(lambda s: ~s["live"]).alias("n_example"),
+    )
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = folder(spark)
+    token_files.write(_documents(spark, sf_dir), path, vocabulary(TOKENIZER), END_ID)
+    return token_files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judged(_documents(spark, sf_dir))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed"]
@@ -25,4 +71,4 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op8_quality_rules,)}
+    return {f.__name__: f for f in (op3_token_counts, op7_secret_scans, op8_quality_rules, op9_token_files)}

@@ -8,7 +8,7 @@ STATEMENTS["op8_quality_rules"] = r"""
 WITH t AS (
     SELECT doc_id, coalesce(text, '') AS body,
         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
-        list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
     FROM documents
 ),
 m AS (
@@ -17,8 +17,8 @@ m AS (
         len(regexp_extract_all(body, '[#*$%&|<>]'))::BIGINT AS n_symbols,
         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
         len(regexp_extract_all(body, '[^\pL\x20\x09-\x0D]')) AS not_letters,
-        len(list_filter(words, w -> list_contains([{stops}], w))) AS stops,
-        len(list_filter(lines, x -> ends_with(rtrim(x, ' '), '...'))) AS dotted
+        len(list_filter(words, lambda w: list_contains([{stops}], w))) AS stops,
+        len(list_filter(lines, lambda x: ends_with(rtrim(x, ' '), '...'))) AS dotted
     FROM t
 ),
 w AS (
@@ -42,7 +42,7 @@ v AS (
             CASE WHEN coalesce((word_chars - not_letters) / nullif(word_chars, 0), 0) < 0.4 THEN 'letter_ratio' END,
             CASE WHEN coalesce(n_dup_lines / nullif(len(lines), 0), 0) > 0.5 THEN 'dup_line_ratio' END,
             CASE WHEN coalesce(dotted / nullif(len(lines), 0), 0) > 0.7 THEN 'ellipsis_line_ratio' END
-        ], x -> x IS NOT NULL) AS failed
+        ], lambda x: x IS NOT NULL) AS failed
     FROM j
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
@@ -62,5 +62,69 @@ FROM v
 )
 
 
+# Matches of a kind with their places: the text is cut by the pattern, and lengths add up.
+SPANS = """
+{kind}_m AS (
+    SELECT doc_id, rid, source, lang, string_split_regex(body, '{pattern}') AS gaps,
+        regexp_extract_all(body, '{pattern}') AS hits, regexp_extract_all(body, '{pattern}', {group}) AS vals
+    FROM t WHERE regexp_matches(body, '{pattern}')
+),
+{kind}_s AS (
+    SELECT doc_id, rid, source, lang, {rank} AS rank, '{kind}' AS kind, vals[g.i] AS val,
+        list_sum([length(x) for x in gaps[1 : g.i]])::BIGINT
+            + coalesce(list_sum([length(x) for x in hits[1 : g.i - 1]]), 0)::BIGINT AS begin,
+        length(hits[g.i]) AS size
+    FROM {kind}_m, unnest(range(1, len(hits) + 1)) AS g(i)
+    WHERE length(vals[g.i]) >= {shortest}
+)"""
+
+STATEMENTS["op7_secret_scans"] = (
+    "WITH t AS (SELECT *, coalesce(text, '') AS body, row_number() OVER () AS rid FROM documents),"
+    + ",".join(
+        SPANS.format(kind=kind, pattern=pattern, group=group, rank=rank, shortest=shortest)
+        for rank, (kind, pattern, group, shortest) in enumerate(
+            [
+                (
+                    "assign",
+                    """(?i)(password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)""",
+                    2,
+                    6,
+                ),
+                ("access", "AKIA[A-Z0-9]+", 0, 20),
+                ("hex", "[0-9a-f]+", 0, 24),
+                ("runs", "[A-Za-z0-9+/_=-]+", 0, 20),
+            ]
+        )
+    )
+    + r"""
+,
+base AS (SELECT * FROM assign_s UNION ALL SELECT * FROM access_s UNION ALL SELECT * FROM hex_s),
+mixed AS (
+    SELECT * REPLACE ('owned' AS kind) FROM runs_s
+    WHERE regexp_matches(val, '[0-9]') AND regexp_matches(val, '[A-Z]') AND regexp_matches(val, '[a-z]')
+),
+alone AS (
+    SELECT * FROM mixed AS m WHERE NOT EXISTS (
+        SELECT 1 FROM base AS b WHERE b.rid = m.rid AND b.begin < m.begin + m.size AND m.begin < b.begin + b.size)
+),
+found AS (SELECT * FROM base UNION ALL SELECT * FROM alone),
+held AS (SELECT val, count(DISTINCT coalesce(source, chr(0))) < 3 AS live FROM found GROUP BY val),
+kept AS (SELECT * FROM found JOIN held USING (val) WHERE rank < 3 OR live),
+agg AS (
+    SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+        count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (live) AS n_live,
+        count(*) FILTER (NOT live) AS n_example,
+        string_agg(kind || ':' || begin || ':' || (begin + size), ',' ORDER BY begin, rank) FILTER (rank < 3) AS base,
+        string_agg(kind || ':' || begin || ':' || (begin + size), ',' ORDER BY begin, rank) AS spans
+    FROM kept GROUP BY rid
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+    sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live,
+    coalesce(n_example, 0) AS n_example
+FROM t LEFT JOIN agg USING (rid)
+"""
+)
+
+
 def statements() -> dict[str, str]:
     return dict(STATEMENTS)
