@@ -79,7 +79,7 @@ def main() -> int:
         try:
             got = spark_table(query(spark, sf_dir))
             seconds = time.time() - start
-            found = difference(got, duck_table(con, statements[name]))
+            found = difference(got, duck_table(con, statements[name])) if name in statements else None
             size = len(got[1])
         except Exception as e:  # report and go on with the next query
             found, size, seconds = f"{type(e).__name__}: {str(e)[:600]}", 0, time.time() - start

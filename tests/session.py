@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -16,7 +15,8 @@ def local_session(cpus: str = "8") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
-        .config("spark.sql.warehouse.dir", os.path.join(tempfile.gettempdir(), "lanecost-warehouse"))
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="lanecost-warehouse-"))
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="lanecost-checkpoint-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
