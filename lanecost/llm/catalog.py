@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanecost.llm import quality, secrets, token_counts, token_files
+from lanecost.llm import quality, secrets, substring_dedup, token_counts, token_files, topk
 from lanecost.llm.scratch import folder
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -36,6 +36,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.top_k(rows, F.col("vec_id") % 50 == 0)
+
+
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = secrets.scanned(_documents(spark, sf_dir))
     base = len(secrets.KINDS) - 1
@@ -70,5 +75,17 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.deduplicated(_documents(spark, sf_dir))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_token_counts, op7_secret_scans, op8_quality_rules, op9_token_files)}
+    return {f.__name__: f for f in (
+            op3_token_counts,
+            op6_exact_top_k,
+            op7_secret_scans,
+            op8_quality_rules,
+            op9_token_files,
+            op10_substring_dedup,
+        )}

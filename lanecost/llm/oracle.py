@@ -126,5 +126,43 @@ FROM t LEFT JOIN agg USING (rid)
 )
 
 
+STATEMENTS["op6_exact_top_k"] = """
+WITH v AS (
+    SELECT vec_id, [floor(256 * x::DOUBLE) for x in embedding] AS e
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+    FROM v AS q JOIN v AS c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, row_number() OVER w::INTEGER AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER w <= 5 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+"""
+
+STATEMENTS["op10_substring_dedup"] = r"""
+WITH t AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+),
+w AS (
+    SELECT doc_id, g.i AS i, sha256(array_to_string(t.words[g.i : g.i + 19], ' ')) AS seq
+    FROM t, unnest(range(1, greatest(len(t.words) - 18, 1))) AS g(i)
+),
+late AS (
+    SELECT doc_id, i FROM w
+    QUALIFY (doc_id, i) > (
+        first_value(doc_id) OVER (PARTITION BY seq ORDER BY doc_id, i),
+        first_value(i) OVER (PARTITION BY seq ORDER BY doc_id, i))
+),
+gone AS (SELECT DISTINCT doc_id, i + g.k AS i FROM late, unnest(range(20)) AS g(k)),
+cut AS (SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id)
+SELECT t.doc_id, len(words)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+    sha256(coalesce(array_to_string(
+        list_filter(words, lambda x, i: NOT coalesce(list_contains(gone, i), false)), ' '), '')) AS kept_sha256
+FROM t LEFT JOIN cut USING (doc_id)
+"""
+
+
 def statements() -> dict[str, str]:
     return dict(STATEMENTS)
