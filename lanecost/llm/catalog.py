@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanecost.llm import quality, secrets, substring_dedup, token_counts, token_files, topk
+from lanecost.llm import mixing, near_dedup, quality, secrets, substring_dedup, token_counts, token_files, topk
 from lanecost.llm.scratch import folder
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 TOKEN_LIMIT = 512
+MIX_FRACTION = 0.5
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +37,25 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mixed(_documents(spark, sf_dir), MIX_FRACTION)
+    return mix.select(
+        "doc_id",
+        "mix.source",
+        "mix.lang",
+        "mix.topic",
+        F.col("mix.tokens").alias("n_tokens"),
+        F.round("mix.weight", 9).alias("cell_weight"),
+        F.round("mix.prob", 9).alias("prob"),
+        "mix.sampled",
+    )
+
+
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.classes(_documents(spark, sf_dir))
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return topk.top_k(rows, F.col("vec_id") % 50 == 0)
@@ -83,6 +103,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
             op3_token_counts,
+            op4_mixing,
+            op5_minhash_near_dedup,
             op6_exact_top_k,
             op7_secret_scans,
             op8_quality_rules,

@@ -137,8 +137,9 @@ s AS (
     SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
     FROM v AS q JOIN v AS c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
 )
-SELECT query_id, row_number() OVER w::INTEGER AS rank, vec_id, score FROM s
-QUALIFY row_number() OVER w <= 5 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+SELECT query_id, rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+WHERE rank <= 5
 """
 
 STATEMENTS["op10_substring_dedup"] = r"""
@@ -164,5 +165,61 @@ FROM t LEFT JOIN cut USING (doc_id)
 """
 
 
+def _mixing(rounds: int = 30, fraction: float = 0.5) -> str:
+    """Every scaling step is a CTE of its own."""
+    parts = [
+        r"""d AS (
+    SELECT doc_id, coalesce(source, chr(0)) AS source, coalesce(lang, chr(0)) AS lang,
+        CASE WHEN coalesce(length(text), 0) = 0 THEN 'empty'
+            WHEN (length(text) - length(replace(text, '|', ''))) * 50 > length(text) THEN 'table'
+            WHEN (length(text) - length(replace(text, '!!', ''))) * 50 > length(text) THEN 'shouted'
+            WHEN length(text) < 800 THEN 'short' WHEN length(text) < 4000 THEN 'plain' ELSE 'long' END AS topic,
+        greatest(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')), 1)::BIGINT AS n_tokens
+    FROM documents
+)""".replace("\\\\", "\\"),
+        "c AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM d GROUP BY ALL)",
+        "f0 AS MATERIALIZED (SELECT *, tokens / (SELECT sum(tokens) FROM c) AS weight FROM c)",
+    ]
+    for m in ("source", "lang", "topic"):
+        share = f"SELECT {m}, sqrt(sum(tokens)) AS p FROM c GROUP BY {m}"
+        parts.append(f"t_{m} AS MATERIALIZED (SELECT {m}, p / sum(p) OVER () AS target FROM ({share}))")
+    step = 0
+    for _ in range(rounds):
+        for m in ("source", "lang", "topic"):
+            scaled = f"weight * target / sum(weight) OVER (PARTITION BY {m})"
+            parts.append(
+                f"f{step + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, {scaled} AS weight"
+                f" FROM f{step} JOIN t_{m} USING ({m}))"
+            )
+            step += 1
+    parts.append(
+        f"""o AS (
+    SELECT *, weight / tokens AS r, row_number() OVER b AS pos,
+        sum(tokens) OVER b - tokens AS given, sum(weight) OVER a AS rest, sum(tokens) OVER () AS total
+    FROM f{step}
+    WINDOW b AS (ORDER BY weight / tokens DESC, source, lang, topic ROWS UNBOUNDED PRECEDING),
+        a AS (ORDER BY weight / tokens DESC, source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+)"""
+    )
+    parts.append(
+        f"k AS (SELECT arg_min(({fraction} * total - given) / rest, pos) AS scale FROM o"
+        f" WHERE ({fraction} * total - given) / rest * r < 1)"
+    )
+    return (
+        "WITH "
+        + ",\n".join(parts)
+        + """
+SELECT doc_id, source, lang, topic, n_tokens, round(weight, 9) AS cell_weight,
+    round(least(1.0, weight / tokens * scale), 9) AS prob,
+    ('0x' || substr(md5('0:' || doc_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0
+        < least(1.0, weight / tokens * scale) AS sampled
+FROM d JOIN f{step} USING (source, lang, topic), k
+""".replace("{step}", str(step))
+    )
+
+
+STATEMENTS["op4_mixing"] = _mixing()
+
+
 def statements() -> dict[str, str]:
     return dict(STATEMENTS)
