@@ -7,11 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanecost.llm import mixing, near_dedup, quality, secrets, substring_dedup, token_counts, token_files, topk
+from lanecost.llm import (
+    language_id,
+    mixing,
+    near_dedup,
+    quality,
+    secrets,
+    sentence_pieces,
+    substring_dedup,
+    token_counts,
+    token_files,
+    topk,
+)
 from lanecost.llm.scratch import folder
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
+PIECES = "piece_bpe_32k.model"
 TOKEN_LIMIT = 512
 MIX_FRACTION = 0.5
 
@@ -29,6 +41,19 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    labelled = docs.where(~held_out & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    model = language_id.fitted(labelled.select(F.col("doc_id").alias("id"), "lang", "text"))
+    return language_id.predicted(docs, model, keep=(held_out.alias("held_out"),))
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sentence_pieces.segmented(_documents(spark, sf_dir), vocabulary(PIECES), keep=("doc_id",))
+    return out.select("doc_id", F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long").alias("n_pieces"), "lossless", "piece_ids")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
     counted = token_counts.counted(docs, vocabulary(TOKENIZER), TOKEN_LIMIT, keep=("n_bytes",), table=False)
@@ -102,6 +127,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
+            op1_language_id,
+            op2_sentencepiece,
             op3_token_counts,
             op4_mixing,
             op5_minhash_near_dedup,
