@@ -2,8 +2,8 @@
 
 The tokenizer's pattern always begins a piece at a space that stands between two characters that are not white
 space. A text is cut at these spaces into chunks; a chunk is tokenized when a worker first meets it, and a text
-is put together from its chunks' results by array operations. The cache of a worker is bounded and starts anew
-when full.
+is put together from its chunks' results by array operations. The cache of a worker is bounded; when it is full,
+the chunks that were used again stay.
 """
 
 from __future__ import annotations
@@ -16,6 +16,9 @@ from collections.abc import Iterator
 import numpy as np
 
 BOUNDARY = re.compile(r"(?<=\S)(?= \S)")
+# A space, Latin letters and perhaps one mark.
+PLAIN = re.compile(r" [A-Za-zÀ-ÖØ-öø-ɏ]+[.,!?:;]?")
+MARKS = ".,!?:;"
 MOST_CHUNKS = 600_000
 MOST_VALUES = 12_000_000
 UNKNOWN, RAGGED = -1, -2
@@ -47,17 +50,37 @@ class Chunks:
     """
 
     def __init__(self) -> None:
-        self._start()
-
-    def _start(self) -> None:
         # parts after a space, first parts, and chunks of texts that the cheap cut does not fit
         self.index: tuple[dict[str, int], dict[str, int], dict[str, int]] = ({}, {}, {})
         self.values = np.empty(1 << 16, np.int32)
         self.used = 0
         self.starts: list[np.ndarray] = []
         self.sizes: list[np.ndarray] = []
+        self.uses = np.zeros(1 << 16, np.int32)
         self.n = 0
 
+    def _shrink(self) -> None:
+        """Keep the chunks that were used most since the last time, at most half of what fits."""
+        uses = self.uses[: self.n]
+        kept = np.flatnonzero(uses >= 2)
+        if len(kept) > MOST_CHUNKS // 2:
+            kept = kept[np.argsort(uses[kept])[-MOST_CHUNKS // 2 :]]
+        starts, sizes = np.concatenate(self.starts)[kept], np.concatenate(self.sizes)[kept]
+        if sizes.sum() > MOST_VALUES // 2:
+            kept, starts, sizes = kept[:0], starts[:0], sizes[:0]
+        ends = np.cumsum(sizes)
+        where = np.repeat(starts - (ends - sizes), sizes) + np.arange(int(sizes.sum()))
+        row = np.full(self.n, UNKNOWN)
+        row[kept] = np.arange(len(kept))
+        row = row.tolist()
+        self.values[: len(where)] = self.values[where]
+        self.used, self.n = len(where), len(kept)
+        self.starts, self.sizes = [ends - sizes], [sizes]
+        self.uses = np.zeros(1 << 16, np.int32)
+        self.index = tuple(
+            {k: row[r] for k, r in index.items() if r >= 0 and row[r] >= 0} for index in self.index
+        )
+
     def found(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         raise NotImplementedError
 
@@ -81,7 +104,7 @@ class Chunks:
         """All texts' chunks in order: where their values start, how many there are, and how many chunks a text has."""
         later, bare, whole = self.index
         if len(later) + len(bare) + len(whole) > MOST_CHUNKS or self.used > MOST_VALUES:
-            self._start()
+            self._shrink()
             later, bare, whole = self.index
         flat: list[str] = []
         cuts = []
@@ -111,6 +134,10 @@ class Chunks:
                 by_text[k] = np.array(self._rows(whole, BOUNDARY.split(texts[k])), np.int64)
             counts = np.fromiter(map(len, by_text), np.int64, len(by_text))
             rows = np.concatenate(by_text)
+        if self.n > len(self.uses):
+            self.uses = np.concatenate([self.uses, np.zeros(self.n, np.int32)])
+        used = np.bincount(rows)
+        self.uses[: len(used)] += used.astype(np.int32)
         if len(self.starts) > 1:
             self.starts, self.sizes = [np.concatenate(self.starts)], [np.concatenate(self.sizes)]
         return self.starts[0][rows], self.sizes[0][rows], counts
@@ -147,10 +174,40 @@ class Encoder(Chunks):
         self.specials = special_strings(self.tokenizer)
         self.mark = self.specials[0]
         self.mark_id = self.tokenizer.token_to_id(self.mark)
+        alone = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in MARKS}
+        self.marks = {m: ids[0] for m, ids in alone.items() if len(ids) == 1}
 
     def found(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        # joined by a special string, chunks are tokenized apart, in one call
-        out, sizes = [], []
+        # a mark after plain letters is a piece of its own, so such chunks share the tokens of their letters
+        later = self.index[0]
+        new: dict[str, int] = {}
+        source, tails = [], []
+        for chunk in chunks:
+            tail = self.marks.get(chunk[-1:], UNKNOWN) if PLAIN.fullmatch(chunk) else UNKNOWN
+            stem = chunk if tail == UNKNOWN else chunk[:-1]
+            row = later.get(stem[1:], UNKNOWN) if tail != UNKNOWN else UNKNOWN
+            source.append(row if row >= 0 else ~new.setdefault(stem, len(new)) + RAGGED)
+            tails.append(tail)
+        values, sizes = self.together(list(new))
+        rows, tails = np.array(source), np.array(tails, np.int32)
+        known_starts = np.concatenate([*self.starts, np.empty(0, np.int64)])
+        known_sizes = np.concatenate([*self.sizes, np.empty(0, np.int64)])
+        starts = np.concatenate([known_starts, self.used + np.cumsum(sizes) - sizes])
+        sizes = np.concatenate([known_sizes, sizes])
+        rows = np.where(rows >= 0, rows, len(known_starts) + ~(rows - RAGGED))
+        starts, sizes = starts[rows], sizes[rows]
+        wholes = sizes + (tails >= 0)
+        ends = np.cumsum(wholes)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
+        at = np.repeat(starts - (ends - wholes), wholes) + np.arange(len(out))
+        pool = np.concatenate([self.values[: self.used], values, np.zeros(1, np.int32)])
+        out[:] = pool[np.minimum(at, len(pool) - 1)]
+        out[ends[tails >= 0] - 1] = tails[tails >= 0]
+        return out, wholes
+
+    def together(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of chunks, which it tokenizes apart, in one call, when a special string joins them."""
+        out, sizes = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
         for k in range(0, len(chunks), 2000):
             joined = self.mark.join(chunks[k : k + 2000])
             ids = np.array(self.tokenizer.encode(joined, add_special_tokens=False).ids, np.int32)

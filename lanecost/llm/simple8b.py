@@ -16,21 +16,36 @@ LAYOUT = (
 )
 COUNTS = np.array([c for c, _ in LAYOUT], np.int64)
 ESCAPE_BYTES = 4
+FEW_WIDE = 1 << 20  # escapes pay only beside values of more than 20 bits
 
 
-def packed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words (uint64) and escaped values (uint32) of an array."""
-    values = np.ascontiguousarray(values, dtype=np.uint64)
+def _without_escapes(values: np.ndarray) -> np.ndarray:
+    """For each position, the selector that takes the most values from there on, none of them escaped."""
     n = len(values)
-    if not n:
-        return np.empty(0, np.uint64), np.empty(0, np.uint32)
+    need = np.zeros(n + 60, np.uint8)  # the first selector, counted from the narrowest, whose width holds the value
+    for _, bits in LAYOUT[:-1]:
+        need[:n] += values >= np.uint64((1 << bits) - 1)
     best = np.full(n, len(LAYOUT) - 1, np.int8)
-    cost = np.full(n, 8.0, np.float32)
+    most, have = need.copy(), 1  # the largest need among the `have` values from a position on
+    for s in range(len(LAYOUT) - 2, -1, -1):
+        count = LAYOUT[s][0]
+        while have < count:
+            step = min(have, count - have)
+            most[: len(most) - step] = np.maximum(most[: len(most) - step], most[step:])
+            have += step
+        fits = most[:n] <= s
+        if not fits.any():
+            break  # nor will more values fit in fewer bits
+        best[fits] = s
+    return best
+
+
+def _with_escapes(values: np.ndarray, best: np.ndarray) -> None:
+    """Change selectors to those with fewer bytes per value, where escapes pay."""
+    n = len(values)
+    cost = (8.0 / COUNTS[best]).astype(np.float32)
     for s, (count, bits) in enumerate(LAYOUT[:-1]):
-        wide = values >= (1 << bits) - 1
-        share = wide.mean()
-        if share > 0.1 and (1 - share) ** count < 1e-3:
-            continue  # hardly a word of this width would do without escapes
+        wide = values >= np.uint64((1 << bits) - 1)
         total = np.zeros(n + count + 1, np.int32)
         np.cumsum(wide, out=total[1 : n + 1])
         total[n + 1 :] = total[n]
@@ -39,6 +54,17 @@ def packed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         better = mine < cost
         best[better] = s
         cost[better] = mine[better]
+
+
+def packed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words (uint64) and escaped values (uint32) of an array."""
+    values = np.ascontiguousarray(values, dtype=np.uint64)
+    n = len(values)
+    if not n:
+        return np.empty(0, np.uint64), np.empty(0, np.uint32)
+    best = _without_escapes(values)
+    if int(values.max()) >= FEW_WIDE:
+        _with_escapes(values, best)
     step = COUNTS[best].tolist()
     at, starts = 0, []
     while at < n:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lanecost.llm.bpe import Chunks, library, slices, special_strings
+from lanecost.llm.bpe import MARKS, PLAIN, Chunks, library, slices, special_strings
 
 # The pattern that cuts a text before merging, with white space as Unicode has it.
 PATTERN = regex.compile(
@@ -28,7 +28,6 @@ PATTERN = regex.compile(
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 SPACES = regex.compile(r"\p{White_Space}+")
-MARKS = (".", ",", "!", "?", ":", ";")
 MOST_PAIRS = 1_000_000
 
 
@@ -160,8 +159,7 @@ class PrefixCounts(Chunks):
 
     def found(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         # most chunks are a space, letters and perhaps a mark: one or two pieces
-        stems = [c if c[1:].isalpha() else c[:-1] if c[-1:] in MARKS and c[1:-1].isalpha() else "" for c in chunks]
-        stems = [s if s[:1] == " " else "" for s in stems]
+        stems = [(c[:-1] if c[-1] in MARKS else c) if PLAIN.fullmatch(c) else "" for c in chunks]
         known = self.sorted_words(list({s.encode() for s in stems if s}))
         lists = []
         for chunk, stem in zip(chunks, stems, strict=True):

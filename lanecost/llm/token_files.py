@@ -89,7 +89,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """The documents of a written table: doc_id, start (ids of all documents before), n_tokens, ids (little-endian
     unsigned 32-bit integers)."""
     blocks = spark.read.schema(BLOCKS).parquet(path)
-    placed = blocks.join(part_starts(blocks.select("part", "n_ids")), "part").select(
+    # one row for each task of the write: a few bytes each, whatever the corpus
+    starts = F.broadcast(part_starts(blocks.select("part", "n_ids")))
+    placed = blocks.join(starts, "part").select(
         (F.col("before") + F.col("part_start")).alias("start"), "n_ids", "doc_ids", "n_tokens", "words", "escapes"
     )
 
