@@ -133,13 +133,13 @@ def mixed(
 
     Without `targets` each margin's token shares are tempered. Null sources and languages are a class of their own;
     null texts have the topic `empty` and one token. Repeated rows share a draw. Other columns pass through, but for
-    columns called mix, _cell or _tokens.
+    columns called mix, _cell, _tokens or _fit.
     """
     marked = keyed(docs, **columns)
     cells = stored(cells_of(marked))
     targets = targets or {m: tempered(cells, m, temper) for m in MARGINS}
     fitted = stored(probabilities(raked(cells, targets), fraction)).select(
-        F.struct(*MARGINS).alias("_cell"), "weight", "prob"
+        F.struct(*MARGINS).alias("_cell"), F.struct("weight", "prob").alias("_fit")
     )
     if fitted.count() <= BROADCAST_CELLS:
         fitted = F.broadcast(fitted)  # of checked size; else the join shuffles, and adaptive execution splits hot cells
@@ -147,8 +147,7 @@ def mixed(
     mix = F.struct(
         "_cell.*",
         F.col("_tokens").alias("tokens"),
-        "weight",
-        "prob",
-        (draw(F.col(doc_id), seed) < F.col("prob")).alias("sampled"),
+        "_fit.*",
+        (draw(F.col(doc_id), seed) < F.col("_fit.prob")).alias("sampled"),
     )
     return joined.withColumn("mix", mix).select(*[c for c in docs.columns if c != "mix"], "mix")

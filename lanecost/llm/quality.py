@@ -75,18 +75,18 @@ def _kept_lines(lines: Column) -> Column:
     return F.filter(lines, lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0)
 
 
-def measured(frame: DataFrame, text: str = "text") -> DataFrame:
-    """Add a struct column `quality` with the counts and ratios of every whole text.
+def measured(frame: DataFrame, text: str = "text", out: str = "quality") -> DataFrame:
+    """Add a struct column `out` with the counts and ratios of every whole text.
 
     A null text counts as empty; ratios of an empty text are 0. Other columns, whatever their names, pass
-    through, but for a column called `quality`, which is replaced.
+    through, but for a column called as `out`, which is replaced.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     steps = frame.withColumn(
-        "quality", F.struct(body.alias("text"), words(body).alias("words"), _kept_lines(F.split(body, "\n")).alias("lines"))
+        out, F.struct(body.alias("text"), words(body).alias("words"), _kept_lines(F.split(body, "\n")).alias("lines"))
     )
-    q = F.col("quality")
-    steps = steps.withColumn("quality", q.withField("joined", F.array_join(q["words"], " ")))
+    q = F.col(out)
+    steps = steps.withColumn(out, q.withField("joined", F.array_join(q["words"], " ")))
     last = F.size(q["words"]) - WINDOW
     windows = F.when(
         last >= 0,
@@ -95,7 +95,7 @@ def measured(frame: DataFrame, text: str = "text") -> DataFrame:
             lambda i: F.xxhash64(*[F.get(q["words"], i + k) for k in range(WINDOW)]),
         ),
     ).otherwise(F.array().cast("array<bigint>"))
-    steps = steps.withColumn("quality", q.withField("windows", windows))
+    steps = steps.withColumn(out, q.withField("windows", windows))
     body = q["text"]
     total = F.size(q["words"]).cast("long")
     chars = (F.length(q["joined"]) - F.greatest(total - 1, F.lit(0))).cast("long")
@@ -110,7 +110,7 @@ def measured(frame: DataFrame, text: str = "text") -> DataFrame:
         return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
 
     return steps.withColumn(
-        "quality",
+        out,
         F.struct(
             total.alias("n_words"),
             chars.alias("word_chars"),
@@ -146,11 +146,25 @@ def failed_rules(quality: Column, thresholds: tuple[Threshold, ...] = THRESHOLDS
     return F.array_compact(F.array(*broken)).cast("array<string>")
 
 
-def judged(frame: DataFrame, text: str = "text", thresholds: tuple[Threshold, ...] = THRESHOLDS) -> DataFrame:
-    """`measured` with three more fields in `quality`: base_failed, failed (rule names) and kept."""
-    q = F.col("quality")
-    out = measured(frame, text)
-    out = out.withColumn(
-        "quality", q.withField("base_failed", base_failed(q)).withField("failed", failed_rules(q, thresholds))
+def judged(
+    frame: DataFrame, text: str = "text", thresholds: tuple[Threshold, ...] = THRESHOLDS, out: str = "quality"
+) -> DataFrame:
+    """`measured` with three more fields: base_failed, failed (rule names) and kept."""
+    q = F.col(out)
+    rows = measured(frame, text, out)
+    rows = rows.withColumn(
+        out, q.withField("base_failed", base_failed(q)).withField("failed", failed_rules(q, thresholds))
     )
-    return out.withColumn("quality", q.withField("kept", ~q["base_failed"] & (F.size(q["failed"]) == 0)))
+    return rows.withColumn(out, q.withField("kept", ~q["base_failed"] & (F.size(q["failed"]) == 0)))
+
+
+def passing(frame: DataFrame, text: str = "text", thresholds: tuple[Threshold, ...] = THRESHOLDS) -> DataFrame:
+    """The rows of `frame` that are kept, with their own columns.
+
+    The row number in the condition holds the filter above the measures. Without it Spark would put the whole
+    expression of every measure into the filter, once for each use.
+    """
+    free = "_" * (1 + max(map(len, frame.columns)))  # longer than any name of the frame
+    row, out = f"{free}row", f"{free}quality"
+    numbered = judged(frame, text, thresholds, out).withColumn(row, F.monotonically_increasing_id())
+    return numbered.where(F.col(f"{out}.kept") & (F.col(row) >= 0)).select(*[F.col(f"`{c}`") for c in frame.columns])

@@ -281,6 +281,8 @@ def encoded(vocabulary: Pieces, texts: list[str], seeds: list[str]) -> tuple[np.
     place = (np.arange(len(words)) - np.repeat(first, counts)).astype(np.uint64)
     keys = mixed(np.repeat(seed, counts) ^ mixed(place + np.uint64(1)))
     out, sizes = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+    if not words:
+        return np.empty(0, np.int32), counts
     # a long text in several steps
     chars = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
     cuts = np.searchsorted(chars, np.arange(SLICE_CHARS, int(chars[-1]) + SLICE_CHARS, SLICE_CHARS)) + 1
