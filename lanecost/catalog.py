@@ -73,7 +73,7 @@ def _orders(spark, d, columns=None):
 
 def _repeated(spark, d):
     """The order list under an id that many orders share."""
-    orders = _orders(spark, d, [*RATING, "product_id"])
+    orders = _orders(spark, d, [*RATING, "order_date", "product_id"])
     return orders.withColumn("order_id", F.col("product_id")).drop("product_id")
 
 
@@ -87,32 +87,55 @@ def _costs(spark, d):
     return marts.warehouse_costs(_orders(spark, d, STORAGE), tpch.wh_costs(spark, d))
 
 
-def _known_costs(spark, d):
-    """Plants with a storage cost, so that strict statistics have a value."""
-    return _costs(spark, d).where(F.col("storage_cost").isNotNull())
+def _missing_costs(spark, d):
+    """The plants' costs with a cost table that lacks a plant."""
+    known = tpch.wh_costs(spark, d).where("wh <> 'PLANT25'")
+    return marts.warehouse_costs(_orders(spark, d, STORAGE), known)
 
 
-def _capacity(spark, d):
-    return marts.warehouse_capacity(_orders(spark, d, ["plant_code"]), tpch.wh_capacities(spark, d))
+def _two_periods(spark, d):
+    """The cost table with a second, dearer period."""
+    first = tpch.wh_costs(spark, d)
+    second = first.withColumns({"cost_unit": F.col("cost_unit") * 1.5, "year": F.lit(2014), "month": F.lit(1)})
+    return first.unionByName(second)
+
+
+def _seeded_orders(spark, d):
+    """The order list with bad and missing values by a fixed rule on its ids."""
 
+    def bad(column, every, value):
+        return F.when(F.col("order_id") % every == 0, F.lit(value)).otherwise(F.col(column))
 
-def _rates_in_use(spark, d):
-    """The rate card of the lanes that have orders."""
-    card = tpch.freight_rates(spark, d)
-    lane = ["carrier", "origin_port", "destination_port", "service_level"]
-    lanes = _orders(spark, d, lane).distinct().toDF("c", "o", "d", "s")
-    served = F.expr("carrier = c AND orig_port_cd = o AND dest_port_cd = d AND svc_cd = s")
-    return card.join(lanes, served, "left_semi")
+    return _orders(spark, d).withColumns(
+        {
+            "order_id": F.when(F.col("order_id") % 61 == 0, -F.col("order_id")).otherwise(F.col("order_id")),
+            "weight": bad("weight", 97, 0.0),
+            "unit_quantity": bad("unit_quantity", 89, -1.0),
+            "ship_ahead_day_count": bad("ship_ahead_day_count", 83, -2),
+            "ship_late_day_count": bad("ship_late_day_count", 79, -1),
+            "service_level": bad("service_level", 73, None),
+            "origin_port": bad("origin_port", 71, None),
+            "order_date": bad("order_date", 67, None),
+        }
+    )
 
 
-def _plants_in_use(df, key, spark, d):
-    """Rows of the plants that have orders."""
-    plants = _orders(spark, d, ["plant_code"]).distinct()
-    return df.join(plants, df[key] == plants["plant_code"], "left_semi")
+def _seeded_rates(spark, d):
+    """The rate card with bad values by a fixed rule."""
+    low, port = F.col("minm_wgh_qty"), F.col("orig_port_cd")
+    return tpch.freight_rates(spark, d).withColumns(
+        {
+            "rate": F.when(port == "PORT02", -F.col("rate")).otherwise(F.col("rate")),
+            "minimum_cost": F.when(port == "PORT03", -1.0).otherwise(F.col("minimum_cost")),
+            "max_wgh_qty": F.when(port == "PORT04", low - 1).otherwise(F.col("max_wgh_qty")),
+            "mode_dsc": F.when(port == "PORT05", F.lit("RAIL")).otherwise(F.col("mode_dsc")),
+            "svc_cd": F.when(port == "PORT06", F.lit(None)).otherwise(F.col("svc_cd")),
+        }
+    )
 
 
-def _costs_in_use(spark, d):
-    return _plants_in_use(tpch.wh_costs(spark, d), "wh", spark, d)
+def _capacity(spark, d):
+    return marts.warehouse_capacity(_orders(spark, d, ["plant_code"]), tpch.wh_capacities(spark, d))
 
 
 def _mix(spark, d):
@@ -203,15 +226,9 @@ def _breakdown(plan, **options) -> Query:
     return lambda spark, d: plan(_shipping(spark, d), _costs(spark, d), **options)
 
 
-def _breakdown_known(spark, d):
-    """The chart form over plants with a storage cost: no share is missing."""
-    ports = F.col("origin_port") != "PORT25"
-    return warehouse.cost_breakdown_chart(_shipping(spark, d).where(ports), _costs(spark, d))
-
-
 def _quadrants_chart(spark, d):
     shown = filters.filter_plants(_costs(spark, d), PLANT)
-    return warehouse.unit_cost_quadrants(shown, base=_known_costs(spark, d))
+    return warehouse.unit_cost_quadrants(shown, base=_costs(spark, d))
 
 
 def _overview_kpis(spec) -> Query:
@@ -261,11 +278,9 @@ LANE_KEY = ["origin_port", "destination_port", "carrier"]
 QUERIES: dict[str, Query] = {
     # sources
     "order_list": _orders,
-    "freight_rate_card": lambda spark, d: rating.clean_rates(_rates_in_use(spark, d)),
-    "warehouse_cost_table": _costs_in_use,
-    "warehouse_capacity_table": lambda spark, d: _plants_in_use(
-        tpch.wh_capacities(spark, d), "plant_id", spark, d
-    ),
+    "freight_rate_card": lambda spark, d: rating.clean_rates(tpch.freight_rates(spark, d)),
+    "warehouse_cost_table": tpch.wh_costs,
+    "warehouse_capacity_table": tpch.wh_capacities,
     # rating
     "rates_in_band": _in_band,
     "best_rates": lambda spark, d: _rated(spark, d, unique_ids=UNIQUE_IDS),
@@ -284,7 +299,7 @@ QUERIES: dict[str, Query] = {
     ),
     "warehouse_costs": _costs,
     "warehouse_costs_in_period": lambda spark, d: marts.warehouse_costs(
-        _orders(spark, d, STORAGE), tpch.wh_costs(spark, d), period=(2013, 5)
+        _orders(spark, d, STORAGE), _two_periods(spark, d), period=(2014, 1)
     ),
     "warehouse_costs_per_order": _on_costs(marts.warehouse_costs_per_order),
     "warehouse_capacity": _capacity,
@@ -330,23 +345,28 @@ QUERIES: dict[str, Query] = {
     "service_summary_repeated_ids": lambda spark, d: service.service_summary(
         _repeated_service_lanes(spark, d)
     ),
+    "carrier_service_repeated_ids": lambda spark, d: service.carrier_service(
+        _repeated_service_lanes(spark, d)
+    ),
+    "route_service_repeated_ids": lambda spark, d: service.route_service(_repeated_service_lanes(spark, d)),
     # warehouse summaries
     "storage_ranking": _on_costs(warehouse.storage_ranking),
-    "storage_ranking_of_all": lambda spark, d: warehouse.storage_ranking_of_all(_known_costs(spark, d)),
+    "storage_ranking_of_all": _on_costs(warehouse.storage_ranking_of_all),
     "storage_export": _on_costs(warehouse.storage_export),
     "cost_breakdown_chart": _breakdown(warehouse.cost_breakdown_chart),
-    "cost_breakdown_chart_known": _breakdown_known,
+    "cost_breakdown_chart_known": _breakdown(warehouse.cost_breakdown_chart),
+    "cost_breakdown_chart_missing": lambda spark, d: warehouse.cost_breakdown_chart(
+        _shipping(spark, d), _missing_costs(spark, d)
+    ),
     "cost_breakdown_export": _breakdown(warehouse.cost_breakdown_export),
     "cost_breakdown_export_raw_keys": _breakdown(warehouse.cost_breakdown_export, map_keys=False),
     "unit_cost_quadrants_chart": _quadrants_chart,
-    "unit_cost_quadrants_export": lambda spark, d: warehouse.unit_cost_quadrants(
-        _known_costs(spark, d)
-    ),
-    "unit_cost_quadrants_missing": _on_costs(warehouse.unit_cost_quadrants),
-    "efficiency_matrix_chart": lambda spark, d: warehouse.efficiency_matrix_chart(
-        _known_costs(spark, d)
+    "unit_cost_quadrants_export": _on_costs(warehouse.unit_cost_quadrants),
+    "unit_cost_quadrants_missing": lambda spark, d: warehouse.unit_cost_quadrants(_missing_costs(spark, d)),
+    "efficiency_matrix_chart": _on_costs(warehouse.efficiency_matrix_chart),
+    "efficiency_matrix_chart_missing": lambda spark, d: warehouse.efficiency_matrix_chart(
+        _missing_costs(spark, d)
     ),
-    "efficiency_matrix_chart_missing": _on_costs(warehouse.efficiency_matrix_chart),
     "efficiency_matrix_export": _on_costs(warehouse.efficiency_matrix_export),
     "standardised_costs": _on_costs(warehouse.standardised_costs),
     # key figures
@@ -361,7 +381,7 @@ QUERIES: dict[str, Query] = {
     "mean_cost_per_unit": _on_costs(kpis.mean_cost_per_unit),
     "ground_share": _on_shipping(kpis.ground_share),
     "costliest_route": _on_shipping(kpis.costliest_route),
-    "script_figures": lambda spark, d: kpis.script_figures(_shipping(spark, d), _known_costs(spark, d)),
+    "script_figures": lambda spark, d: kpis.script_figures(_shipping(spark, d), _costs(spark, d)),
     "overview_kpis": _overview_kpis(FilterSpec()),
     "overview_kpis_of_plant": _overview_kpis(PLANT_AND_CARRIER),
     "overview_kpis_without_rates": _overview_kpis(UNRATED_CARRIER),
@@ -369,7 +389,11 @@ QUERIES: dict[str, Query] = {
     "cost_kpis_without_rates": _cost_kpis(UNRATED_CARRIER),
     # quality checks
     "check_order_list": lambda spark, d: quality.check_order_list(_orders(spark, d)),
-    "check_freight_rates": lambda spark, d: quality.check_freight_rates(_rates_in_use(spark, d)),
+    "check_freight_rates": lambda spark, d: quality.check_freight_rates(tpch.freight_rates(spark, d)),
+    "check_order_list_seeded": lambda spark, d: quality.check_order_list(_seeded_orders(spark, d)),
+    "check_freight_rates_seeded": lambda spark, d: quality.check_freight_rates(_seeded_rates(spark, d)),
+    "check_service_levels_seeded": lambda spark, d: quality.check_service_levels(_seeded_orders(spark, d)),
+    "mart_checks": _check_mart(quality.check_mart),
     "check_shipping_metrics": _check_mart(quality.check_shipping_metrics),
     "check_duplicate_lanes": _check_mart(quality.check_duplicates, LANE_KEY),
     "check_weight_bands": _check_mart(quality.check_weight_bands),
@@ -384,7 +408,7 @@ QUERIES: dict[str, Query] = {
     "order_id_duplicates": lambda spark, d: quality.check_unique_order_ids(
         _orders(spark, d, ["order_id"])
     ),
-    "warehouse_duplicates": lambda spark, d: quality.check_unique_warehouses(_costs_in_use(spark, d)),
+    "warehouse_duplicates": lambda spark, d: quality.check_unique_warehouses(tpch.wh_costs(spark, d)),
 }
 
 

@@ -74,8 +74,9 @@ def dollar_text_auto(c: Column | str) -> Column:
 
 
 def percent_text(c: Column | str) -> Column:
-    """A percentage rounded half-even to one decimal, e.g. '33.3%' or '50%'."""
-    return F.concat(number_text(F.bround(snapped(c), 1)), F.lit("%"))
+    """A percentage rounded half-even to one decimal, e.g. '33.3%' or '50%', never with an exponent."""
+    digits = F.bround(snapped(c), 1).cast("decimal(38,1)").cast("string")
+    return F.concat(F.regexp_replace(digits, r"\.0$", ""), F.lit("%"))
 
 
 def share_text(c: Column | str) -> Column:

@@ -1,7 +1,7 @@
 """Joins of the big order table with reference tables.
 
-A reference table is broadcast only after a count has shown that it stays under a row bound. Above the
-bound the join is a shuffle join with salted keys, so that one hot key is spread over many tasks.
+Spark chooses how each join runs from the size of the table that is joined: a small one is broadcast, a large one
+is shuffled, and adaptive execution then splits the partitions of hot keys. No job runs while a query is built.
 """
 
 from __future__ import annotations
@@ -10,27 +10,6 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-BROADCAST_ROWS = 500_000
-SALTS = 32
-
-
-def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most max_rows rows; reads no more than max_rows + 1 of them."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def short_groups(df: DataFrame, keys: Sequence[str], max_group: int, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether df fits and no key has more than max_group rows, so that a key's rows may be listed."""
-    groups = df.limit(max_rows + 1).groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
-    size = groups.agg(F.sum("rows").alias("all"), F.max("rows").alias("largest")).first()
-    return size["all"] is None or (size["all"] <= max_rows and size["largest"] <= max_group)
-
-
-def spread(*columns: str, salts: int = SALTS) -> Column:
-    """A salt that is the same when a task is run again and that also splits identical rows."""
-    return F.pmod(F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in columns]), F.lit(salts))
 
 
 def match(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
@@ -43,27 +22,14 @@ def lookup(
     reference: DataFrame,
     pairs: Sequence[tuple[str, str]],
     *,
-    small: bool,
     how: str = "inner",
     also=None,
-    spread_by: Sequence[str] = (),
 ) -> DataFrame:
     """Join big with a reference table and drop the reference's key columns.
 
-    `small` says that the reference is known to stay under the broadcast bound (see `fits`); `also`
-    builds a further condition from the two frames.
+    `also` builds a further condition from the two frames.
     """
-    if small:
-        left, right = big, F.broadcast(reference)
-        on = match(left, right, pairs)
-    else:
-        left = big.withColumn("_salt", spread(*spread_by))
-        right = reference.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        on = match(left, right, pairs) & (left["_salt"] == right["_copy"])
+    on = match(big, reference, pairs)
     if also is not None:
-        on = on & also(left, right)
-    joined = left.join(right, on, how)
-    keys = [right[b] for _, b in pairs]
-    if small:
-        return joined.drop(*keys)
-    return joined.drop(*keys).drop("_salt", "_copy")
+        on = on & also(big, reference)
+    return big.join(reference, on, how).drop(*[reference[b] for _, b in pairs])

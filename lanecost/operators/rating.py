@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.missing import both_greatest
 from ..functions.text import band_label, band_text
-from .lookup import fits, lookup, short_groups
+from .lookup import lookup
 
 LANE = [
     ("carrier", "rate_carrier"),
@@ -23,14 +23,6 @@ LANE = [
 ]
 RATE_ORDER = ("minm_wgh_qty", "max_wgh_qty", "mode_dsc", "rate", "minimum_cost")
 
-# An order id with more rows than this is handled apart. There can be at most (all orders) / HOT_ROWS
-# such ids, which bounds the broadcasts below.
-HOT_ROWS = 1_000_000
-
-# A lane with more rates than this is not listed in one row.
-LANE_RATES = 1_000
-
-
 def clean_rates(rates: DataFrame) -> DataFrame:
     """The rate card without exact duplicates."""
     return rates.distinct()
@@ -44,56 +36,44 @@ def _lane_keys() -> list[str]:
     return [right for _, right in LANE]
 
 
-# Spark SQL over one rate `own` and the list `lane` of all rates of its lane. `better` are the bands that
-# beat it, `cut` walks over them in order and collects the stretches of weight they leave free.
-_LATER = "o.minm_wgh_qty > own.minm_wgh_qty AND o.minm_wgh_qty <= own.max_wgh_qty"
-_EARLIER_TIE = "o.minm_wgh_qty = own.minm_wgh_qty AND o < own"
-_BETTER = """
-    array_sort(array_distinct(transform(
-      filter(lane, o -> o.max_wgh_qty >= o.minm_wgh_qty AND ({beats})),
-      o -> struct(o.minm_wgh_qty AS low, o.max_wgh_qty AS high))))
-"""
-_FREE = "struct(cut.at AS start, cut.at_in AS start_in, {stop} AS stop, {stop_in} AS stop_in)"
+# Spark SQL over the bands of a lane, one for each distinct lower bound, in their order. For each band `own`, `cut`
+# walks over the bands that start within it and collects the stretches of weight they leave free.
+_FREE = "struct(own.low AS low, cut.at AS start, cut.at_in AS start_in, {stop} AS stop, {stop_in} AS stop_in)"
 _SEGMENTS = """
-    aggregate(
-      better,
-      struct(own.minm_wgh_qty AS at, true AS at_in, cast(array() AS
-        array<struct<start: double, start_in: boolean, stop: double, stop_in: boolean>>) AS free),
+    flatten(transform(bands, own -> aggregate(
+      filter(bands, b -> b.low > own.low AND b.low <= own.high),
+      struct(own.low AS at, true AS at_in, cast(array() AS
+        array<struct<low: double, start: double, start_in: boolean, stop: double, stop_in: boolean>>) AS free),
       (cut, b) -> struct(
         greatest(cut.at, b.high) AS at,
         false AS at_in,
         if(cut.at < b.low, concat(cut.free, array({free})), cut.free)
           AS free),
-      cut -> if(cut.at_in OR cut.at < own.max_wgh_qty,
-        concat(cut.free, array({last})), cut.free))
+      cut -> if(cut.at_in OR cut.at < own.high,
+        concat(cut.free, array({last})), cut.free))))
 """.format(
     free=_FREE.format(stop="b.low", stop_in="false"),
-    last=_FREE.format(stop="own.max_wgh_qty", stop_in="true"),
+    last=_FREE.format(stop="own.high", stop_in="true"),
 )
 
 
-def winning_rates(rates: DataFrame, ties: str) -> DataFrame:
-    """The distinct rates, cut into the weight segments in which each is the best of its lane.
+def winning_bounds(rates: DataFrame) -> DataFrame:
+    """The lower bound that wins at each weight of a lane, as segments of weight.
 
-    The smallest distance to the lower bound is the largest lower bound, so a rate loses where a band
-    of its lane that starts later holds the weight; for ties="first" also to rates with the same start
-    that sort before it. This depends on the rate card alone, so orders then find their best rate by a
-    plain range condition. A segment says for each end whether the end itself belongs to it.
+    The smallest distance to the lower bound is the largest lower bound whose bands hold the weight, so it depends
+    on the rate card alone. Rates with one lower bound are one band here, as far as their largest upper bound; a lane
+    with n lower bounds has less than 2 * n segments. A segment says for each end whether the end itself belongs
+    to it.
     """
-    beats = _LATER if ties == "all" else f"({_LATER}) OR ({_EARLIER_TIE})"
     keys = _lane_keys()
-    entry = F.expr(f"collect_set(struct({', '.join(RATE_ORDER)})) AS lane")
-    band = band_label(band_text("minm_wgh_qty", "max_wgh_qty"))
-    return (
+    bands = (
         _rate_side(rates)
-        .groupBy(*keys)
-        .agg(entry)
-        .selectExpr(*keys, "lane", "explode(lane) AS own")
-        .selectExpr(*keys, "own", _BETTER.format(beats=beats) + " AS better")
-        .selectExpr(*keys, "own.*", _SEGMENTS + " AS segments")
-        .withColumn("weight_band", band)
-        .selectExpr(*keys, *RATE_ORDER, "weight_band", "inline(segments)")
+        .where("max_wgh_qty >= minm_wgh_qty")
+        .groupBy(*keys, F.col("minm_wgh_qty").alias("low"))
+        .agg(F.max("max_wgh_qty").alias("high"))
     )
+    lanes = bands.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("bands"))
+    return lanes.selectExpr(*keys, f"inline({_SEGMENTS})")
 
 
 def _segment_holds_weight(orders: DataFrame, card: DataFrame) -> Column:
@@ -103,11 +83,26 @@ def _segment_holds_weight(orders: DataFrame, card: DataFrame) -> Column:
     return after & before
 
 
+def _rates_by_bound(rates: DataFrame, ties: str) -> DataFrame:
+    """Rates with `above`, the upper bound under which another rate takes their place.
+
+    With ties="all" that is none. With "first" the rate with the least upper bound that holds the weight comes
+    first, then the least mode, rate and minimum cost, so one rate is left for each pair of bounds.
+    """
+    card = _rate_side(clean_rates(rates)).where("max_wgh_qty >= minm_wgh_qty")
+    if ties == "all":
+        return card.withColumn("above", F.lit(None).cast("double"))
+    bounds = [*_lane_keys(), "minm_wgh_qty", "max_wgh_qty"]
+    first = card.groupBy(*bounds).agg(F.min(F.struct("mode_dsc", "rate", "minimum_cost")).alias("first"))
+    same = W.partitionBy(*bounds[:-1]).orderBy("max_wgh_qty")
+    return first.select(*bounds, "first.*", F.lag("max_wgh_qty").over(same).alias("above"))
+
+
 def first_rates(rates: DataFrame, order: tuple[str, ...] = RATE_ORDER) -> DataFrame:
     """One row per lane with the first rate in the given column order, no band test."""
-    entry = F.struct(*order, *[c for c in ("rate", "minimum_cost") if c not in order])
+    entry = F.struct(*order, *[c for c in RATE_ORDER if c not in order])
     first = _rate_side(rates).groupBy(*_lane_keys()).agg(F.min(entry).alias("first"))
-    return first.select(*_lane_keys(), "first.rate", "first.minimum_cost")
+    return first.select(*_lane_keys(), "first.*")
 
 
 def freight_cost() -> Column:
@@ -118,7 +113,7 @@ def freight_cost() -> Column:
 def candidates(orders: DataFrame, rates: DataFrame, how: str = "left") -> DataFrame:
     """Every order with every rate of its lane, no band test."""
     card = _rate_side(clean_rates(rates))
-    return lookup(orders, card, LANE, small=fits(rates), how=how, spread_by=["order_id"])
+    return lookup(orders, card, LANE, how=how)
 
 
 def _band_holds_weight(orders: DataFrame, card: DataFrame) -> Column:
@@ -129,14 +124,7 @@ def in_band(orders: DataFrame, rates: DataFrame) -> DataFrame:
     """Every order with every rate whose band holds its weight."""
     card = _rate_side(clean_rates(rates))
     card = card.withColumn("weight_band", band_label(band_text("minm_wgh_qty", "max_wgh_qty")))
-    joined = lookup(
-        orders,
-        card,
-        LANE,
-        small=fits(rates),
-        also=_band_holds_weight,
-        spread_by=["order_id"],
-    )
+    joined = lookup(orders, card, LANE, also=_band_holds_weight)
     return joined.withColumn("gap", F.abs(F.col("weight") - F.col("minm_wgh_qty")))
 
 
@@ -149,66 +137,53 @@ def rate_orders(
 ) -> DataFrame:
     """Orders with their best rate, its band and the shipping cost; unrated orders drop out.
 
-    Rates compete within an order id. With `unique_ids` the caller states that order_id is a key, so
-    each row decides alone and, unless the rate card is too large to broadcast, the orders are not
-    shuffled. Otherwise rows that share an id compete with each other, however many they are.
+    Rates compete within an order id. With `unique_ids` the caller states that order_id is a key, so each row
+    decides alone and the orders are not shuffled by their ids. Otherwise rows that share an id compete with each
+    other, however many they are. The size of the rate card changes the way of its joins, never the result.
     """
     if ties not in ("all", "first"):
         raise ValueError("ties must be 'all' or 'first'")
-    if short_groups(_rate_side(rates), _lane_keys(), LANE_RATES):
-        rated = _best_per_row(orders, rates, ties)
-        settled = unique_ids
-    else:
-        rated = in_band(orders, rates)
-        settled = False
-    if not settled:
-        if ties == "first":
-            rated = first_per_order(rated)
-        else:
-            rated = smallest_gap_per_order(rated, orders)
+    rated = _best_per_row(orders, rates, ties)
+    if not unique_ids:
+        rated = first_per_order(rated) if ties == "first" else smallest_gap_per_order(rated)
     return rated.withColumn("shipping_cost", freight_cost())
 
 
 def _best_per_row(orders: DataFrame, rates: DataFrame, ties: str) -> DataFrame:
-    """Best rates of each row by a broadcast join alone: the orders stay where they are."""
-    card = winning_rates(rates, ties)
-    return (
-        lookup(orders, card, LANE, small=True, also=_segment_holds_weight)
-        .drop("start", "start_in", "stop", "stop_in")
-        .withColumn("gap", F.abs(F.col("weight") - F.col("minm_wgh_qty")))
-    )
+    """Best rates of each row: first the lower bound that wins at its weight, then the rates with this bound.
+
+    Both tables are as long as the rate card, and tied rates meet only the orders that they win.
+    """
+    bounded = lookup(orders, winning_bounds(rates), LANE, also=_segment_holds_weight)
+    bounded = bounded.drop("start", "start_in", "stop", "stop_in")
+    card = _rates_by_bound(rates, ties)
+
+    def holds(left: DataFrame, right: DataFrame) -> Column:
+        under = left["weight"] <= right["max_wgh_qty"]
+        return under & (right["above"].isNull() | (left["weight"] > right["above"]))
+
+    card = card.withColumn("weight_band", band_label(band_text("minm_wgh_qty", "max_wgh_qty")))
+    pairs = [*LANE, ("low", "rate_low")]
+    rated = lookup(bounded, card.withColumn("rate_low", F.col("minm_wgh_qty")), pairs, also=holds)
+    return rated.withColumn("gap", F.abs(F.col("weight") - F.col("low"))).drop("low", "above")
 
 
-def smallest_gap_per_order(rated: DataFrame, orders: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def smallest_gap_per_order(rated: DataFrame) -> DataFrame:
     """Rows with the smallest gap of their order id, ties kept.
 
-    Ids with at most hot_rows orders are ranked in windows, whose size is thereby bounded. The other
-    ids are found from the id column alone; a plain aggregate gives their smallest gap and their rows
-    are kept by comparison, without a shuffle. Without such ids AQE drops that branch.
+    The smallest gap of an id is an aggregate with partial sums. Rows meet it by id and gap, so the rows of a hot id
+    are spread over its gaps, and adaptive execution splits what is still large.
     """
-    hot = (
-        orders.groupBy(F.col("order_id").alias("hot_id"))
-        .agg(F.count(F.lit(1)).alias("hot_n"))
-        .where(F.col("hot_n") > hot_rows)
-        .select("hot_id")
-    )
-    is_hot = F.col("order_id").eqNullSafe(F.col("hot_id"))
-    hot_gaps = (
-        rated.select("order_id", "gap")
-        .join(F.broadcast(hot), is_hot)
-        .groupBy("hot_id")
-        .agg(F.min("gap").alias("hot_gap"))
-    )
-    nearest = rated.join(F.broadcast(hot_gaps), is_hot & (F.col("gap") == F.col("hot_gap")))
-    rank = F.rank().over(W.partitionBy("order_id").orderBy("gap"))
-    ranked = rated.join(F.broadcast(hot), is_hot, "left_anti").withColumn("_rank", rank)
-    return ranked.where("_rank = 1").select(*rated.columns).union(nearest.select(*rated.columns))
+    least = rated.groupBy(F.col("order_id").alias("least_id")).agg(F.min("gap").alias("least_gap"))
+    same = F.col("order_id").eqNullSafe(F.col("least_id")) & (F.col("gap") == F.col("least_gap"))
+    return rated.join(least, same).select(*rated.columns)
 
 
 def first_per_order(rows: DataFrame, lead: tuple[str, ...] = ("gap", *RATE_ORDER)) -> DataFrame:
     """One row per order id: the first in the order of `lead`, then of the remaining columns.
 
-    An aggregate rather than a window, so rows of a hot id are merged before the shuffle.
+    An aggregate rather than a window, so rows of a hot id are merged before the shuffle, at the price of a sort in
+    each task, as the least of several columns has no hash aggregate.
     """
     rest = [c for c in rows.columns if c not in lead and c != "order_id"]
     lead = tuple(c for c in lead if c in rows.columns)
@@ -218,12 +193,5 @@ def first_per_order(rows: DataFrame, lead: tuple[str, ...] = ("gap", *RATE_ORDER
 
 def unrated_orders(orders: DataFrame, rates: DataFrame) -> DataFrame:
     """Orders without any rate for their lane and weight."""
-    return lookup(
-        orders,
-        _rate_side(rates),
-        LANE,
-        small=fits(rates),
-        how="left_anti",
-        also=_band_holds_weight,
-        spread_by=["order_id"],
-    ).select(*orders.columns)
+    card = _rate_side(rates)
+    return lookup(orders, card, LANE, how="left_anti", also=_band_holds_weight).select(*orders.columns)

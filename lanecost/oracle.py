@@ -64,18 +64,13 @@ WITH lines AS (
          base * (1 + n_nationkey % 4) / 10 AS rate,
          CAST(20 + dest AS DOUBLE) AS minimum_cost
   FROM nation, range(0, 5) AS d(dest), (VALUES ('DTD'), ('DTP')) AS s(svc_cd), bands
-), rates_in_use AS (
-  SELECT * FROM freight_rates r WHERE EXISTS (
-    SELECT 1 FROM order_list o
-    WHERE o.carrier = r.carrier AND o.origin_port = r.orig_port_cd
-      AND o.destination_port = r.dest_port_cd AND o.service_level = r.svc_cd)
 ), clean_rates AS (
   SELECT DISTINCT * FROM freight_rates
 ), wh_costs AS (
   SELECT 'PLANT' || lpad(CAST(n_nationkey + 1 AS VARCHAR), 2, '0') AS wh,
          CAST(0.4 AS DOUBLE) + CAST(0.05 AS DOUBLE) * n_nationkey AS cost_unit,
          2013 AS year, 5 AS month
-  FROM nation WHERE n_nationkey < 24
+  FROM nation
 ), wh_capacities AS (
   SELECT 'PLANT' || lpad(CAST(n_nationkey + 1 AS VARCHAR), 2, '0') AS plant_id,
          CAST(200 + 50 * n_nationkey AS DOUBLE) AS daily_capacity,
@@ -135,8 +130,13 @@ WITH lines AS (
                {_strict('sum', 'unit_quantity')} AS total_units
         FROM order_list GROUP BY plant_code) p
   LEFT JOIN wh_costs ON plant_code = wh
-), known_costs AS (
-  SELECT * FROM costs WHERE storage_cost IS NOT NULL
+), missing_costs AS (
+  SELECT plant_code, total_orders, total_weight, total_units, year, month,
+         CASE WHEN plant_code <> 'PLANT25' THEN cost_unit END AS cost_unit,
+         CASE WHEN plant_code <> 'PLANT25' THEN storage_cost END AS storage_cost,
+         CASE WHEN plant_code <> 'PLANT25' THEN cost_per_unit END AS cost_per_unit,
+         CASE WHEN plant_code <> 'PLANT25' THEN cost_per_kg END AS cost_per_kg
+  FROM costs
 ), capacity AS (
   SELECT plant_code, n, daily_capacity, region, type, status,
          n / nullif(daily_capacity, 0) AS capacity_utilization
@@ -161,8 +161,10 @@ WITH lines AS (
 ), repeated_first_costed AS (
   SELECT * FROM (SELECT * REPLACE (product_id AS order_id) FROM first_costed)
   QUALIFY row_number() OVER (PARTITION BY order_id
-    ORDER BY service_level NULLS FIRST, weight NULLS FIRST, carrier NULLS FIRST,
-             origin_port NULLS FIRST, destination_port NULLS FIRST, shipping_cost NULLS FIRST) = 1
+    ORDER BY order_date NULLS FIRST, minm_wgh_qty NULLS FIRST, max_wgh_qty NULLS FIRST, mode_dsc NULLS FIRST,
+             rate NULLS FIRST, minimum_cost NULLS FIRST, service_level NULLS FIRST, weight NULLS FIRST,
+             carrier NULLS FIRST, origin_port NULLS FIRST, destination_port NULLS FIRST,
+             shipping_cost NULLS FIRST) = 1
 )
 """
 
@@ -259,14 +261,14 @@ SUMMARY_DOUBLES = (
 )
 
 
-def _breakdown_chart(where: str) -> str:
+def _breakdown_chart(source: str) -> str:
     return f"""
       WITH wide AS (
         SELECT replace(origin_port, 'PORT', 'PLANT') AS plant_code,
                {_strict('sum', 'total_shipping_cost')} AS transport, any_value(storage_cost) AS storage
-        FROM shipping LEFT JOIN (SELECT plant_code, storage_cost FROM costs) c
+        FROM shipping LEFT JOIN (SELECT plant_code, storage_cost FROM {source}) c
           ON c.plant_code = replace(origin_port, 'PORT', 'PLANT')
-        {where} GROUP BY 1
+        GROUP BY 1
       ), long AS (
         SELECT plant_code, transport + storage AS total_cost, 'Transport Cost' AS cost_type,
                transport AS amount FROM wide
@@ -402,6 +404,23 @@ OVERVIEW = ("total_cost_text, avg_cost_kg_text, warehouse_util_text, otd_rate_te
 COST_FIGURES = ("total_storage_cost_text, avg_cost_unit_text, ground_pct_text, top_route",
                 "total_storage_cost, avg_cost_unit, ground_pct")
 
+# The tables with bad and missing values by a fixed rule.
+SEEDED_ORDERS = """(SELECT * REPLACE (
+    CASE WHEN order_id % 61 = 0 THEN -order_id ELSE order_id END AS order_id,
+    CASE WHEN order_id % 97 = 0 THEN 0 ELSE weight END AS weight,
+    CASE WHEN order_id % 89 = 0 THEN -1 ELSE unit_quantity END AS unit_quantity,
+    CASE WHEN order_id % 83 = 0 THEN -2 ELSE ship_ahead_day_count END AS ship_ahead_day_count,
+    CASE WHEN order_id % 79 = 0 THEN -1 ELSE ship_late_day_count END AS ship_late_day_count,
+    CASE WHEN order_id % 73 <> 0 THEN service_level END AS service_level,
+    CASE WHEN order_id % 71 <> 0 THEN origin_port END AS origin_port,
+    CASE WHEN order_id % 67 <> 0 THEN order_date END AS order_date) FROM order_list)"""
+SEEDED_RATES = """(SELECT * REPLACE (
+    CASE WHEN orig_port_cd = 'PORT02' THEN -rate ELSE rate END AS rate,
+    CASE WHEN orig_port_cd = 'PORT03' THEN -1 ELSE minimum_cost END AS minimum_cost,
+    CASE WHEN orig_port_cd = 'PORT04' THEN minm_wgh_qty - 1 ELSE max_wgh_qty END AS max_wgh_qty,
+    CASE WHEN orig_port_cd = 'PORT05' THEN 'RAIL' ELSE mode_dsc END AS mode_dsc,
+    CASE WHEN orig_port_cd <> 'PORT06' THEN svc_cd END AS svc_cd) FROM freight_rates)"""
+
 CHECK_KEYS = '"check", severity, "column", n_bad, detail'
 
 
@@ -435,7 +454,6 @@ def _nulls(check: str, columns: tuple[str, ...], source: str) -> list[str]:
     return [_check(check, "WARN", c, f"count(*) FILTER ({c} IS NULL)", source) for c in columns]
 
 
-_COSTS_IN_USE = "(SELECT * FROM wh_costs WHERE wh IN (SELECT plant_code FROM order_list))"
 
 
 def statements() -> dict[str, str]:
@@ -444,13 +462,13 @@ def statements() -> dict[str, str]:
     # sources
     s["order_list"] = _select("SELECT * FROM order_list", ORDER_KEYS, ORDER_DOUBLES)
     s["freight_rate_card"] = _select(
-        "SELECT DISTINCT * FROM rates_in_use",
+        "SELECT DISTINCT * FROM freight_rates",
         "orig_port_cd, dest_port_cd, carrier, svc_cd, mode_dsc",
         "minm_wgh_qty, max_wgh_qty, rate, minimum_cost",
     )
-    s["warehouse_cost_table"] = _select(f"SELECT * FROM {_COSTS_IN_USE}", "wh, year, month", "cost_unit")
+    s["warehouse_cost_table"] = _select("SELECT * FROM wh_costs", "wh, year, month", "cost_unit")
     s["warehouse_capacity_table"] = _select(
-        "SELECT * FROM wh_capacities WHERE plant_id IN (SELECT plant_code FROM order_list)",
+        "SELECT * FROM wh_capacities",
         "plant_id, region, type, status",
         "daily_capacity",
     )
@@ -481,7 +499,14 @@ def statements() -> dict[str, str]:
     ):
         s[name] = _select(f"SELECT * FROM priced WHERE kind = '{kind}'", MART_KEYS, MART_DOUBLES)
     s["warehouse_costs"] = _select("SELECT * FROM costs", COST_KEYS, COST_DOUBLES)
-    s["warehouse_costs_in_period"] = _select("SELECT * FROM costs", COST_KEYS, COST_DOUBLES)
+    s["warehouse_costs_in_period"] = _select(
+        """SELECT plant_code, total_orders, total_weight, total_units, 2014 AS year, 1 AS month,
+                  cost_unit * 1.5::DOUBLE AS cost_unit, total_units * (cost_unit * 1.5::DOUBLE) AS storage_cost,
+                  total_units * (cost_unit * 1.5::DOUBLE) / total_units AS cost_per_unit,
+                  total_units * (cost_unit * 1.5::DOUBLE) / total_weight AS cost_per_kg FROM costs""",
+        COST_KEYS,
+        COST_DOUBLES,
+    )
     s["warehouse_costs_per_order"] = _select(
         "SELECT *, storage_cost / total_orders AS cost_per_order FROM costs",
         COST_KEYS,
@@ -687,6 +712,26 @@ def statements() -> dict[str, str]:
         "origin_port, destination_port, service_level, orders, route",
         "total_weight, total_cost, avg_cost_per_kg, pct_cost",
     )
+    s["carrier_service_repeated_ids"] = _select(
+        f"""SELECT *, {_UNIT_COST.format('total_weight')} AS avg_cost_per_kg,
+                   orders / sum(orders) OVER (PARTITION BY carrier) * 100 AS pct_carrier_orders,
+                   total_weight / sum(total_weight) OVER (PARTITION BY carrier) * 100 AS pct_carrier_weight,
+                   CASE WHEN service_level = 'CRF' THEN 0 ELSE total_cost / nullif(sum(
+                     CASE WHEN service_level <> 'CRF' THEN total_cost END)
+                     OVER (PARTITION BY carrier), 0) * 100 END AS pct_carrier_cost
+            FROM ({_levels('repeated_first_costed', 'carrier, service_level')})""",
+        "carrier, service_level, orders",
+        "total_weight, total_cost, avg_cost_per_kg, pct_carrier_orders, pct_carrier_weight, pct_carrier_cost",
+    )
+    s["route_service_repeated_ids"] = _select(
+        f"""SELECT *, origin_port || ' → ' || destination_port AS route,
+                   {_UNIT_COST.format('total_weight')} AS avg_cost_per_kg,
+                   CASE WHEN service_level = 'CRF' THEN 0 ELSE total_cost / nullif(sum(
+                     CASE WHEN service_level <> 'CRF' THEN total_cost END) OVER (), 0) * 100 END AS pct_cost
+            FROM ({_levels('repeated_first_costed', 'origin_port, destination_port, service_level')})""",
+        "origin_port, destination_port, service_level, orders, route",
+        "total_weight, total_cost, avg_cost_per_kg, pct_cost",
+    )
     s["service_cost_efficiency"] = _select(
         f"SELECT * FROM ({_service_summary('first_costed')}) WHERE service_level <> 'CRF'",
         "service_level",
@@ -702,7 +747,7 @@ def statements() -> dict[str, str]:
     )
     s["storage_ranking_of_all"] = _select(
         """SELECT * FROM (SELECT *, storage_cost / sum(storage_cost) OVER () * 100 AS pct_of_total,
-                                 total_units / storage_cost AS efficiency_score FROM known_costs)
+                                 total_units / storage_cost AS efficiency_score FROM costs)
            QUALIFY rank() OVER (ORDER BY storage_cost DESC NULLS LAST) <= 10""",
         COST_KEYS,
         COST_DOUBLES + ", pct_of_total, efficiency_score",
@@ -711,23 +756,22 @@ def statements() -> dict[str, str]:
         "SELECT * FROM costs", "plant_code", "storage_cost, total_units, cost_per_unit"
     )
     chart = ("plant_code, cost_type", "total_cost, amount, pct_of_total")
-    s["cost_breakdown_chart"] = _select(_breakdown_chart(""), *chart)
-    s["cost_breakdown_chart_known"] = _select(
-        _breakdown_chart("WHERE origin_port <> 'PORT25'"), *chart
-    )
+    s["cost_breakdown_chart"] = _select(_breakdown_chart("costs"), *chart)
+    s["cost_breakdown_chart_known"] = _select(_breakdown_chart("costs"), *chart)
+    s["cost_breakdown_chart_missing"] = _select(_breakdown_chart("missing_costs"), *chart)
     wide = ("origin_port", "transport_cost, storage_cost, total_cost, pct_transport, pct_storage")
     s["cost_breakdown_export"] = _select(
         _breakdown_export("replace(origin_port, 'PORT', 'PLANT')"), *wide
     )
     s["cost_breakdown_export_raw_keys"] = _select(_breakdown_export("origin_port"), *wide)
     s["unit_cost_quadrants_chart"] = _select(
-        _quadrants("(SELECT * FROM costs WHERE plant_code = 'PLANT03')", "known_costs"), *QUADRANT
+        _quadrants("(SELECT * FROM costs WHERE plant_code = 'PLANT03')", "costs"), *QUADRANT
     )
-    s["unit_cost_quadrants_export"] = _select(_quadrants("known_costs", "known_costs"), *QUADRANT)
-    s["unit_cost_quadrants_missing"] = _select(_quadrants("costs", "costs"), *QUADRANT)
+    s["unit_cost_quadrants_export"] = _select(_quadrants("costs", "costs"), *QUADRANT)
+    s["unit_cost_quadrants_missing"] = _select(_quadrants("missing_costs", "missing_costs"), *QUADRANT)
     long = ("plant_code, metric, performance", "score")
-    s["efficiency_matrix_chart"] = _select(_scores_long("known_costs"), *long)
-    s["efficiency_matrix_chart_missing"] = _select(_scores_long("costs"), *long)
+    s["efficiency_matrix_chart"] = _select(_scores_long("costs"), *long)
+    s["efficiency_matrix_chart_missing"] = _select(_scores_long("missing_costs"), *long)
     s["efficiency_matrix_export"] = _select(
         _scores("costs", strict=False),
         "plant_code",
@@ -754,7 +798,7 @@ def statements() -> dict[str, str]:
     s["costliest_route"] = _select(_where(_TOP_ROUTE, ""), "top_route", "total_cost")
     s["script_figures"] = _select(
         f"""SELECT (SELECT {_strict('sum', 'total_shipping_cost')} FROM shipping) AS total_transport_cost,
-                   (SELECT {_strict('avg', 'cost_per_unit')} FROM known_costs) AS avg_cost_per_unit,
+                   (SELECT {_strict('avg', 'cost_per_unit')} FROM costs) AS avg_cost_per_unit,
                    (SELECT sum(total_shipping_cost) FILTER (mode_dsc = 'AIR')
                          / sum(total_shipping_cost) FILTER (mode_dsc = 'GROUND') FROM shipping)
                      AS air_ground_ratio""",
@@ -802,7 +846,37 @@ def statements() -> dict[str, str]:
     s["check_freight_rates"] = _select(
         _rules(
             "freight_rates",
-            "rates_in_use",
+            "freight_rates",
+            {
+                "rate": "rate > 0",
+                "minimum_cost": "minimum_cost >= 0",
+                "max_wgh_qty": "max_wgh_qty > minm_wgh_qty",
+                "mode_dsc": "mode_dsc IN ('AIR', 'GROUND')",
+                "svc_cd": f"svc_cd IN {levels}",
+            },
+        ),
+        CHECK_KEYS,
+    )
+    s["check_order_list_seeded"] = _select(
+        _rules(
+            "order_list",
+            SEEDED_ORDERS,
+            {
+                "order_id": "order_id > 0",
+                "order_date": "order_date IS NOT NULL",
+                "weight": "weight > 0",
+                "unit_quantity": "unit_quantity > 0",
+                "ship_ahead_day_count": "ship_ahead_day_count >= 0",
+                "ship_late_day_count": "ship_late_day_count >= 0",
+                "service_level": f"service_level IN {levels}",
+            },
+        ),
+        CHECK_KEYS,
+    )
+    s["check_freight_rates_seeded"] = _select(
+        _rules(
+            "freight_rates",
+            SEEDED_RATES,
             {
                 "rate": "rate > 0",
                 "minimum_cost": "minimum_cost >= 0",
@@ -869,6 +943,27 @@ def statements() -> dict[str, str]:
         ),
         CHECK_KEYS,
     )
+    s["check_service_levels_seeded"] = _select(
+        _check(
+            "invalid service level",
+            "ERROR",
+            "service_level",
+            f"count(*) FILTER (service_level IS NULL OR service_level NOT IN {levels})",
+            SEEDED_ORDERS,
+        )
+        + " UNION ALL "
+        + _check(
+            "missing port",
+            "ERROR",
+            "origin_port, destination_port",
+            "count(*) FILTER (origin_port IS NULL OR destination_port IS NULL)",
+            SEEDED_ORDERS,
+        ),
+        CHECK_KEYS,
+    )
+    s["mart_checks"] = " UNION ALL ".join(
+        f"SELECT * FROM ({s[name]})" for name in ("check_shipping_metrics", "check_duplicate_lanes", "check_weight_bands")
+    )
     plotted = ("storage_cost", "cost_per_unit", "cost_per_kg", "total_units")
     s["check_plot_data"] = _select(
         " UNION ALL ".join(
@@ -903,5 +998,5 @@ def statements() -> dict[str, str]:
         CHECK_KEYS,
     )
     s["order_id_duplicates"] = _select(_duplicates("order_id", "order_list"), CHECK_KEYS)
-    s["warehouse_duplicates"] = _select(_duplicates("wh", _COSTS_IN_USE), CHECK_KEYS)
+    s["warehouse_duplicates"] = _select(_duplicates("wh", "wh_costs"), CHECK_KEYS)
     return s

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.missing import lenient_sum, percent, ratio, strict_sum
 from ..functions.text import route_text
-from ..operators.lookup import fits, lookup
+from ..operators.lookup import lookup
 from ..operators.rating import (
     LANE,
     RATE_ORDER,
@@ -33,6 +33,16 @@ SERVICE_COLUMNS = (
     "shipping_cost",
 )
 
+# Which row of an order id counts: the first by order date, then by rate, then by the remaining columns. Rows of a
+# table have no order in Spark, so whoever wants another first row names its columns.
+ROW_ORDER = ("order_date", *RATE_ORDER, *SERVICE_COLUMNS[1:])
+
+
+def first_row(rows: DataFrame, row_order: tuple[str, ...] = ROW_ORDER) -> DataFrame:
+    """The row of each order id that comes first by those columns of `row_order` that the rows have."""
+    lead = tuple(c for c in row_order if c in rows.columns)
+    return first_per_order(rows.select("order_id", *lead), lead)
+
 
 def _service_cost() -> Column:
     """Null for CRF and for an unknown level, 0 without a rate, else the freight cost."""
@@ -51,16 +61,19 @@ def cost_by_first_rate(
     *,
     unique_ids: bool = False,
     rate_order: tuple[str, ...] = RATE_ORDER,
+    row_order: tuple[str, ...] = ROW_ORDER,
 ) -> DataFrame:
     """One row per order, costed with the first rate of its lane (no band test).
 
-    Rows of a table have no order in Spark, so "first" follows rate_order; pass an ordinal column of
-    the rate card to follow its file order. The orders meet one row per lane and never fan out.
+    Rows of a table have no order in Spark, so "first" follows rate_order within a lane and row_order within an
+    order id; pass an ordinal column to follow file order. The orders meet one row per lane and never fan out.
     """
     first = first_rates(rates, rate_order)
-    joined = lookup(orders, first, LANE, small=fits(rates), how="left", spread_by=["order_id"])
-    costed = joined.withColumn("shipping_cost", _service_cost()).select(*SERVICE_COLUMNS)
-    return costed if unique_ids else first_per_order(costed)
+    joined = lookup(orders, first, LANE, how="left")
+    costed = joined.withColumn("shipping_cost", _service_cost())
+    if not unique_ids:
+        costed = first_row(costed, row_order)
+    return costed.select(*SERVICE_COLUMNS)
 
 
 def service_lanes(costed: DataFrame) -> DataFrame:
@@ -165,11 +178,13 @@ def service_cost_efficiency(summary: DataFrame) -> DataFrame:
     )
 
 
-def analyze_service_levels(rows: DataFrame, *, one_row_per_order: bool = False) -> dict[str, DataFrame]:
-    """The three summaries of costed order rows; the first row of each order counts."""
+def analyze_service_levels(
+    rows: DataFrame, *, one_row_per_order: bool = False, row_order: tuple[str, ...] = ROW_ORDER
+) -> dict[str, DataFrame]:
+    """The three summaries of costed order rows; the first row of each order counts, by `row_order`."""
     require_columns(rows, SERVICE_COLUMNS, "service level analysis")
     if not one_row_per_order:
-        rows = first_per_order(rows)
+        rows = first_row(rows, row_order)
     lanes = service_lanes(rows)
     return {
         "service_summary": service_summary(lanes),

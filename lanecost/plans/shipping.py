@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.missing import choose, percent, ratio, strict_mean, strict_sum
 from ..functions.text import ARROW, band_label, band_text, comma_text, dollar_text, route_text
 from ..operators.bands import band_position
-from ..operators.lookup import fits, lookup
+from ..operators.lookup import lookup
 from ..operators.rating import LANE, clean_rates
 from ..operators.totals import with_totals
 
@@ -169,14 +169,7 @@ def weight_band_service_mix(orders: DataFrame, rates: DataFrame) -> DataFrame:
     card = clean_rates(rates).withColumnRenamed("carrier", "rate_carrier")
     band = band_label(band_text("minm_wgh_qty", "max_wgh_qty"))
     mix = (
-        lookup(
-            lanes,
-            card,
-            LANE,
-            small=fits(rates),
-            how="left",
-            spread_by=["origin_port", "destination_port"],
-        )
+        lookup(lanes, card, LANE, how="left")
         .groupBy("carrier", band.alias("weight_band"), "service_level")
         .agg(
             strict_sum("lane_weight").alias("total_weight"),

@@ -134,14 +134,14 @@ def freight_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wh_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Storage cost per unit of every plant but PLANT25."""
+    """Storage cost per unit of every plant."""
     made = {
         "wh": _code("PLANT", "n_nationkey"),
         "cost_unit": "0.4D + 0.05D * n_nationkey",
         "year": "2013",
         "month": "5",
     }
-    nations = _read(spark, sf_dir, "nation").where("n_nationkey < 24")
+    nations = _read(spark, sf_dir, "nation")
     return nations.selectExpr(*[f"{made[c]} AS {c}" for c in WH_COSTS.names])
 
 

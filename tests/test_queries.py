@@ -63,14 +63,22 @@ def test_scans_read_only_the_needed_columns(spark):
     assert "l_quantity" not in scan and "l_partkey" not in scan
 
 
-def test_a_filter_reaches_the_rows_below_the_mart(spark):
+def test_a_filter_stays_above_the_checks_of_the_mart(spark):
     text = plan(entry.queries()["shipping_of_plant"](spark, SF))
-    below = text[text.rindex("HashAggregate(keys=[origin_port") :]
-    assert "PORT03" in below
+    below = text[text.index("HashAggregate(keys=[origin_port") :]
+    assert "PORT03" in text and "PORT03" not in below
 
 
-def test_the_branch_for_hot_ids_is_dropped_when_there_are_none(spark):
-    df = entry.queries()["best_rates_repeated_ids"](spark, SF)
-    df.collect()
-    final = plan(df).split("== Initial Plan ==")[0]
-    assert "Window" in final and "Union" not in final
+def test_repeated_ids_read_the_orders_twice_at_most(spark):
+    text = plan(entry.queries()["shipping_costs_repeated_ids"](spark, SF))
+    assert text.count("lineitem.parquet") <= 2
+
+
+def test_seeded_rows_break_every_rule(spark):
+    for name in ("check_order_list_seeded", "check_freight_rates_seeded", "check_service_levels_seeded"):
+        found = entry.queries()[name](spark, "/root/testdata/sf0.01").collect()
+        assert all(r["n_bad"] > 0 for r in found), name
+
+
+def test_repeated_ids_need_no_window(spark):
+    assert "Window" not in plan(entry.queries()["best_rates_repeated_ids"](spark, SF))

@@ -72,13 +72,14 @@ def rates(spark):
 
 
 @pytest.fixture(params=["broadcast", "shuffle"])
-def path(request, monkeypatch):
+def path(request, spark):
     """Both ways to join the rate card, whatever its size."""
-    for module in (rating, shipping, service):
-        monkeypatch.setattr(module, "fits", lambda df: request.param == "broadcast")
-    if request.param == "shuffle":
-        monkeypatch.setattr(rating, "short_groups", lambda *args: False)
-    return request.param
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for name in names:
+        spark.conf.set(name, "-1" if request.param == "shuffle" else "1g")
+    yield request.param
+    for name in names:
+        spark.conf.unset(name)
 
 
 def test_unique_ids(spark, rates, path):
@@ -100,7 +101,7 @@ def test_one_id_holding_a_third_of_all_rows(spark, rates):
     orders = spark.createDataFrame(rows, ORDER).repartition(6)
     found = rating.in_band(orders, rates)
     want = brute_force(rows, made_rates())
-    kept = rating.smallest_gap_per_order(found, orders, hot_rows=5)
+    kept = rating.smallest_gap_per_order(found)
     kept = kept.withColumn("shipping_cost", rating.freight_cost())
     assert result(kept) == want
 
@@ -167,7 +168,7 @@ def test_unknown_band_stops_the_job(spark, rates):
         [("PORT01", "PORT09", "A", "DTD", "AIR", 0.0, 123.0, 1.0, 1.0)], FREIGHT_RATES
     )
     orders = spark.createDataFrame([(1, "A", "PORT01", "PORT09", "DTD", 5.0)], ORDER)
-    with pytest.raises(PySparkException, match="Invalid weight bands found: 0 - 123"):
+    with pytest.raises(PySparkException, match="outside the known ones: 0 - 123"):
         marts.shipping_costs(orders, odd).collect()
 
 
@@ -180,6 +181,23 @@ def test_zero_weight_stops_the_job(spark, rates):
         marts.shipping_costs(orders, card).collect()
 
 
+def test_a_filter_does_not_switch_the_checks_off(spark):
+    card = [(p, "PORT09", "A", "DTD", "AIR", 0.0, 99.99, 1.0, 1.0) for p in ("PORT01", "PORT02")]
+    rows = [(1, "A", "PORT01", "PORT09", "DTD", 5.0), (2, "A", "PORT02", "PORT09", "DTD", 0.0)]
+    mart = marts.shipping_costs(spark.createDataFrame(rows, ORDER), spark.createDataFrame(card, FREIGHT_RATES))
+    with pytest.raises(PySparkException, match="zero or negative weight"):
+        mart.where("origin_port = 'PORT01'").collect()
+
+
+def test_both_ways_to_a_first_row_agree(spark):
+    card = [("PORT01", "PORT09", "A", "DTD", "AIR", 0.0, 9.0, 1.0, 5.0), ("PORT02", "PORT09", "A", "DTP", "AIR", 2.0, 9.0, 1.0, 500.0)]
+    rows = [(1, "A", "PORT02", "PORT09", "DTP", 1.0), (1, "A", "PORT01", "PORT09", "DTD", 3.0)]
+    orders, rates = spark.createDataFrame(rows, ORDER), spark.createDataFrame(card, FREIGHT_RATES)
+    direct = service.service_lanes(service.cost_by_first_rate(orders, rates))
+    through = service.analyze_service_levels(service.service_costing(orders, rates))
+    assert service.service_summary(direct).collect() == through["service_summary"].collect()
+
+
 def test_missing_minimum_cost_makes_the_total_missing(spark):
     card = spark.createDataFrame(
         [("PORT01", "PORT09", "A", "DTD", "AIR", 0.0, 99.99, 1.0, None)], FREIGHT_RATES
@@ -194,13 +212,22 @@ def test_missing_columns_are_named(spark, rates):
         marts.shipping_costs(spark.range(1), rates)
 
 
-def test_a_long_lane_is_not_listed(spark, rates):
-    card = rating._rate_side(rates)
-    keys = rating._lane_keys()
-    assert rating.short_groups(card, keys, 1000)
-    assert not rating.short_groups(card, keys, 2)
-    assert not rating.short_groups(card, keys, 1000, max_rows=3)
-    assert rating.short_groups(card.limit(0), keys, 1)
+def test_ids_stated_as_unique_decide_alone_on_both_paths(spark, path):
+    card = spark.createDataFrame([("PORT01", "PORT09", "A", "DTD", "AIR", 0.0, 99.99, 1.0, 1.0)], FREIGHT_RATES)
+    orders = spark.createDataFrame([(1, "A", "PORT01", "PORT09", "DTD", w) for w in (5.0, 7.0)], ORDER)
+    for ties in ("all", "first"):
+        assert rating.rate_orders(orders, card, ties=ties, unique_ids=True).count() == 2
+        assert rating.rate_orders(orders, card, ties=ties).count() == 1
+
+
+def test_tied_and_nested_bands_do_not_multiply(spark):
+    lane = ("PORT01", "PORT09", "A", "DTD")
+    tied = [(*lane, f"M{i}", 0.0, 10_000.0 + i, 1.0, 1.0) for i in range(450)]
+    nested = [(*lane, "AIR", 10.0 * i + 1, 10.0 * i + 5, 1.0, 1.0) for i in range(450)]
+    card = spark.createDataFrame(tied + nested, FREIGHT_RATES)
+    assert rating.winning_bounds(card).count() < 2_000
+    assert rating._rates_by_bound(card, "all").count() == 900
+    assert rating._rates_by_bound(card, "first").count() == 900
 
 
 @pytest.mark.parametrize("seed", range(4))
