@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
+import functools
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@functools.cache
+def _own() -> str:
+    return tempfile.mkdtemp(prefix="lanecost-")
+
+
 def folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir. The setting must name storage that every executor sees."""
+    """A new folder below spark.checkpoint.dir, which must name storage that every executor sees.
+
+    Where it is not set, a local session gets a temporary folder; a cluster has none that would be safe.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _own()
     return f"{base.rstrip('/')}/lanecost-{uuid.uuid4().hex}"
 
 
