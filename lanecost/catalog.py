@@ -11,7 +11,7 @@ from pyspark.sql.types import DoubleType
 from . import tpch
 from .operators import filters, rating
 from .operators.filters import FilterSpec
-from .plans import kpis, marts, quality, service, shipping, warehouse
+from .plans import kpis, labels, marts, quality, service, shipping, warehouse
 from .sources import export
 
 # o_orderkey is the primary key of orders and order_id is o_orderkey + 1, so ids are unique here;
@@ -349,6 +349,24 @@ QUERIES: dict[str, Query] = {
         _repeated_service_lanes(spark, d)
     ),
     "route_service_repeated_ids": lambda spark, d: service.route_service(_repeated_service_lanes(spark, d)),
+    # texts beside the figures
+    "storage_labels": lambda spark, d: labels.storage(warehouse.storage_ranking_of_all(_costs(spark, d))),
+    "service_mix_labels": lambda spark, d: labels.order_shares(_mix(spark, d), "pct_orders", "total_orders"),
+    "band_route_labels": lambda spark, d: labels.band_routes(
+        shipping.weight_band_routes(_shipping(spark, d))
+    ),
+    "service_labels": lambda spark, d: labels.service_summary(
+        service.service_summary(_service_lanes(spark, d))
+    ),
+    "carrier_service_labels": lambda spark, d: labels.order_shares(
+        service.carrier_service(_service_lanes(spark, d)), "pct_carrier_orders", "orders"
+    ),
+    "route_service_labels": lambda spark, d: labels.route_service(
+        service.route_service(_service_lanes(spark, d))
+    ),
+    "service_cost_labels": lambda spark, d: labels.service_costs(
+        service.service_cost_efficiency(service.service_summary(_service_lanes(spark, d)))
+    ),
     # warehouse summaries
     "storage_ranking": _on_costs(warehouse.storage_ranking),
     "storage_ranking_of_all": _on_costs(warehouse.storage_ranking_of_all),

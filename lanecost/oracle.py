@@ -998,5 +998,48 @@ def statements() -> dict[str, str]:
         CHECK_KEYS,
     )
     s["order_id_duplicates"] = _select(_duplicates("order_id", "order_list"), CHECK_KEYS)
+
+    def orders(share: str, count: str) -> str:
+        whole = f"CAST(CAST(round_even(round({share}, 6), 0) AS BIGINT) AS VARCHAR)"
+        return f"{whole} || '%' || chr(10) || {_COMMA.format(count)} || ' orders'"
+
+    def heavy(text: str) -> str:
+        return f"CASE WHEN total_weight > 1000 THEN {text} WHEN total_weight <= 1000 THEN '' END"
+
+    def kilos(digits: int) -> str:
+        return _COMMA.format(f"round_even(round(total_weight, 6), {digits})") + " || ' kg'"
+
+    texts = {
+        "service_mix_labels": ("weight_band_service_mix", "label", orders("pct_orders", "total_orders")),
+        "carrier_service_labels": ("carrier_service", "label", orders("pct_carrier_orders", "orders")),
+        "service_labels": (
+            "service_summary",
+            "label",
+            f"{_percent_text('pct_orders')} || chr(10) || {_COMMA.format('orders')} || ' orders'",
+        ),
+        "band_route_labels": (
+            "weight_band_routes",
+            "label",
+            heavy(f"{kilos(-1)} || chr(10) || {_COMMA.format('total_orders')} || ' orders'"),
+        ),
+        "route_service_labels": (
+            "route_service",
+            "label_text",
+            heavy(f"{kilos(0)} || chr(10) || '(' || {_COMMA.format('orders')} || ' orders)'"),
+        ),
+        "service_cost_labels": (
+            "service_cost_efficiency",
+            "label",
+            f"'$' || {_NUM.format('round_even(round(avg_cost_per_kg, 6), 2)')} || '/kg' || chr(10) || "
+            f"{kilos(0)} || ' total'",
+        ),
+    }
+    for name, (base, label, text) in texts.items():
+        s[name] = f"SELECT *, {text} AS {label} FROM ({s[base]})"
+    s["storage_labels"] = f"""
+        SELECT *, {_dollar_auto('storage_cost')} AS cost_label,
+               {_COMMA.format('round_even(round(total_units, 6), 0)')} AS units_label,
+               {_DOLLAR.format('cost_per_unit')} AS efficiency_label
+        FROM ({s['storage_ranking_of_all']})"""
     s["warehouse_duplicates"] = _select(_duplicates("wh", "wh_costs"), CHECK_KEYS)
     return s

@@ -13,11 +13,14 @@ from ..plans.quality import enforce
 def log_checks(results: DataFrame, path: str) -> list[str]:
     """Append the failed checks with a time stamp, then raise on ERROR and warn on WARN.
 
-    The stored rows are read back for the verdict, so the checks run once.
+    The stored rows are read back for the verdict, so the checks run once. The log is partitioned by day, so a run
+    reads the rows of its own day only.
     """
     spark = results.sparkSession
     now = datetime.now()
-    failed = results.where(F.col("n_bad") > 0).withColumn("logged_at", F.lit(now))
-    failed.write.mode("append").partitionBy("severity").parquet(path)
-    stored = spark.read.schema(failed.schema).parquet(path).where(F.col("logged_at") == F.lit(now))
+    failed = results.where(F.col("n_bad") > 0)
+    failed = failed.withColumns({"logged_at": F.lit(now), "logged_on": F.lit(now.date())})
+    failed.write.mode("append").partitionBy("logged_on").parquet(path)
+    stored = spark.read.schema(failed.schema).parquet(path)
+    stored = stored.where((F.col("logged_on") == F.lit(now.date())) & (F.col("logged_at") == F.lit(now)))
     return enforce(stored)

@@ -26,12 +26,18 @@ def export_csv(df: DataFrame | None, path: str) -> None:
     earlier export of the same name.
     """
     if df is None:
-        raise ExportError("Export failed: No data available for export. Please ensure data is loaded.")
+        raise ExportError("Export failed: No data available, nothing was loaded.")
     if not isinstance(df, DataFrame):
-        raise ExportError("Export failed: Invalid data format. Expected a data frame.")
-    if df.isEmpty():
-        raise ExportError("Export failed: No records to export. Try adjusting your filters.")
-    _write(df, path, missing="")
+        raise ExportError("Export failed: Expected a data frame.")
+    # The plan runs once: the test for rows and the write share what it gave. An earlier export is replaced only
+    # by one with rows.
+    df = df.persist()
+    try:
+        if df.isEmpty():
+            raise ExportError("Export failed: No records were left by the filters.")
+        _write(df, path, missing="")
+    finally:
+        df.unpersist()
 
 
 def export_csv_plain(df: DataFrame, path: str) -> None:
@@ -47,9 +53,9 @@ def validate_export_data(df: DataFrame, required_cols: list[str]) -> bool | str:
     """True, or the reason why the frame cannot be exported."""
     missing = [c for c in required_cols if c not in df.columns]
     if df.isEmpty():
-        return "No data available for export"
+        return "There is no row to export"
     if missing:
-        return f"Missing required columns: {', '.join(missing)}"
+        return f"Required columns are not there: {', '.join(missing)}"
     return True
 
 

@@ -138,8 +138,8 @@ def test_plain_export_writes_missing_values_as_na(spark, tmp_path):
 def test_export_validation_and_stamp(spark):
     df = spark.createDataFrame([("a", -2.0), ("b", None)], "k string, cost_x double")
     assert export.validate_export_data(df, ["k"]) is True
-    assert export.validate_export_data(df, ["k", "z"]) == "Missing required columns: z"
-    assert export.validate_export_data(df.limit(0), ["k"]) == "No data available for export"
+    assert export.validate_export_data(df, ["k", "z"]) == "Required columns are not there: z"
+    assert export.validate_export_data(df.limit(0), ["k"]) == "There is no row to export"
     stamped = export.stamp_export(df, "warehouse=All")
     assert stamped.columns == ["k", "cost_x", "timestamp", "filters_applied"]
     assert [r["cost_x"] for r in export.clip_negative_costs(df).collect()] == [0.0, None]
