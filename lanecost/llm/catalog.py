@@ -19,7 +19,7 @@ from lanecost.llm import (
     token_files,
     topk,
 )
-from lanecost.llm.scratch import folder
+from lanecost.llm.scratch import folder, stored
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
@@ -63,7 +63,8 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mix = mixing.mixed(_documents(spark, sf_dir), MIX_FRACTION)
+    marked = mixing.keyed(_documents(spark, sf_dir)).select("doc_id", "_cell", "_tokens")
+    mix = mixing.drawn(stored(marked), MIX_FRACTION)  # without the texts, which are read once
     return mix.select(
         "doc_id",
         "mix.source",

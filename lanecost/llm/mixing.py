@@ -131,11 +131,23 @@ def mixed(
 ) -> DataFrame:
     """`docs` with a struct column `mix`: source, lang, topic, tokens, weight, prob and sampled.
 
-    Without `targets` each margin's token shares are tempered. Null sources and languages are a class of their own;
+    Texts are read once for the cells and once for the rows. Without `targets` each margin's token shares are tempered. Null sources and languages are a class of their own;
     null texts have the topic `empty` and one token. Repeated rows share a draw. Other columns pass through, but for
     columns called mix, _cell, _tokens or _fit.
     """
-    marked = keyed(docs, **columns)
+    rest = [c for c in docs.columns if c != "mix"]
+    return drawn(keyed(docs, **columns), fraction, doc_id, targets, temper, seed).select(*rest, "mix")
+
+
+def drawn(
+    marked: DataFrame,
+    fraction: float,
+    doc_id: str = "doc_id",
+    targets: dict[str, DataFrame] | None = None,
+    temper: float = TEMPER,
+    seed: int = 0,
+) -> DataFrame:
+    """`mixed` for a frame that `keyed` has marked, which may have lost its texts since."""
     cells = stored(cells_of(marked))
     targets = targets or {m: tempered(cells, m, temper) for m in MARGINS}
     fitted = stored(probabilities(raked(cells, targets), fraction)).select(
@@ -150,4 +162,4 @@ def mixed(
         "_fit.*",
         (draw(F.col(doc_id), seed) < F.col("_fit.prob")).alias("sampled"),
     )
-    return joined.withColumn("mix", mix).select(*[c for c in docs.columns if c != "mix"], "mix")
+    return joined.withColumn("mix", mix).drop("_cell", "_tokens", "_fit")
