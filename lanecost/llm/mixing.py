@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lanecost.llm.scratch import stored
 
-ROUNDS = 30
+ROUNDS = 10
 TOLERANCE = 1e-10
 TEMPER = 0.5
 NONE = "\u0000"  # stands for a null source or language, a class of its own

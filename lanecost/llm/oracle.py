@@ -165,7 +165,7 @@ FROM t LEFT JOIN cut USING (doc_id)
 """
 
 
-def _mixing(rounds: int = 30, fraction: float = 0.5) -> str:
+def _mixing(rounds: int = 10, fraction: float = 0.5) -> str:
     """Every scaling step is a CTE of its own."""
     parts = [
         r"""d AS (

@@ -72,7 +72,7 @@ def test_raked_margins_meet_their_targets(spark):
     frame = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
     shares = {"source": {f"s{i}": 0.2 for i in range(5)}, "lang": {"a": 0.7, "b": 0.3}, "topic": {"x": 0.5, "y": 0.25, "z": 0.25}}
     targets = {m: spark.createDataFrame(list(t.items()), f"{m} string, target double") for m, t in shares.items()}
-    fitted = mixing.raked(frame, targets)
+    fitted = mixing.raked(frame, targets, rounds=40)
     for margin, want in shares.items():
         got = {r[0]: r[1] for r in fitted.groupBy(margin).agg(F.sum("weight")).collect()}
         assert got == pytest.approx(want, abs=1e-9)
