@@ -26,12 +26,14 @@ WINDOW = 20
 # Perfect difference sets, by period.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9)}
 SLICE_CHARS = 4_000_000
-BUCKETS_PER_PARTITION = 4
 NO_ID = -(2**63)  # stands for a null id, before all others
 
 ENTRIES = "bucket int, kind int, low binary, high binary, extra binary, docs binary, starts binary"
 PLACES = "bucket int, docs binary, starts binary"
-RESULT = "doc_id bigint, n_words bigint, removed array<struct<begin:bigint,end:bigint>>, n_removed bigint, kept_text string"
+RESULT = (
+    "doc_id bigint, n_words bigint, removed array<struct<begin:bigint,end:bigint>>, n_removed bigint, "
+    "kept_text string"
+)
 HASHED, KNOWN = 0, 1
 
 
@@ -77,7 +79,7 @@ def _entries(hashes: np.ndarray, extra: np.ndarray, docs: np.ndarray, starts: np
     high = (hashes >> np.uint64(32)).astype(np.uint16)[order]
     extra, docs, starts = extra[order] if len(extra) else extra, docs[order], starts[order]
     rows = [
-        (k, HASHED, low[b:e].tobytes(), high[b:e].tobytes(), extra[b:e].tobytes(), docs[b:e].tobytes(), starts[b:e].tobytes())
+        (k, HASHED, *(x[b:e].tobytes() for x in (low, high, extra, docs, starts)))
         for k, b, e in _runs(buckets[order])
     ]
     rows += [(k, KNOWN, b"", b"", b"", d, s) for k, d, s in _by_document(*known, n_buckets)]
@@ -134,7 +136,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     cover = np.isin(np.arange(period), COVERS.get(period, (0,)))
     anchor = window - period + 1
     spark = docs.sparkSession
-    n_buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a bucket is what one task gets
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,7 +217,8 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
             removed.append([{"begin": b, "end": e} for b, e in ranges])
             kept.append(b" ".join(left_over).decode())
         spans = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-        columns = [(keys, pa.int64()), (n_words, pa.int64()), (removed, spans), (n_removed, pa.int64()), (kept, pa.string())]
+        n = pa.int64()
+        columns = [(keys, n), (n_words, n), (removed, spans), (n_removed, n), (kept, pa.string())]
         names = ["doc_id", "n_words", "removed", "n_removed", "kept_text"]
         return pa.table([pa.array(v, k) for v, k in columns], names=names)
 
