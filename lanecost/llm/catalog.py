@@ -44,14 +44,16 @@ def vocabulary(name: str) -> str:
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
-    labelled = docs.where(~held_out & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    known = F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()
+    labelled = docs.where(~held_out & known)
     model = language_id.fitted(labelled.select(F.col("doc_id").alias("id"), "lang", "text"))
     return language_id.predicted(docs, model, keep=(held_out.alias("held_out"),))
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sentence_pieces.segmented(_documents(spark, sf_dir), vocabulary(PIECES), keep=("doc_id",))
-    return out.select("doc_id", F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long").alias("n_pieces"), "lossless", "piece_ids")
+    n_pieces = F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long")
+    return out.select("doc_id", n_pieces.alias("n_pieces"), "lossless", "piece_ids")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -163,7 +163,9 @@ def fitted(labelled: DataFrame, per_language: int = SAMPLE_DOCS) -> Model:
     return Model(languages, prior, tuple(tables), scores)
 
 
-def predicted(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:
+def predicted(
+    docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", keep: tuple[Column, ...] = ()
+) -> DataFrame:
     """doc_id, the columns of `keep`, lang_pred and score (0 to 1) of every row; nothing but the text decides.
 
     A text that is null or has no letter gets UNKNOWN and score 0, and so does every text if nothing was learned. A

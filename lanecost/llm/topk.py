@@ -129,7 +129,12 @@ def _merged(lists: Column, k: int) -> Column:
 
 
 def top_k(
-    rows: DataFrame, is_query: Column, k: int = 5, id_column: str = "vec_id", vector: str = "embedding", scale: int = 256
+    rows: DataFrame,
+    is_query: Column,
+    k: int = 5,
+    id_column: str = "vec_id",
+    vector: str = "embedding",
+    scale: int = 256,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best partners of each query among all other ids.
 
@@ -138,7 +143,11 @@ def top_k(
     least vector counts. Scores must fit a 64-bit integer. Other columns take no part.
     """
     usable = (
-        rows.select(F.col(id_column).cast("bigint").alias("id"), quantized(F.col(vector), scale).alias("v"), is_query.alias("q"))
+        rows.select(
+            F.col(id_column).cast("bigint").alias("id"),
+            quantized(F.col(vector), scale).alias("v"),
+            is_query.alias("q"),
+        )
         .where(F.col("id").isNotNull() & F.col("v").isNotNull())
         .groupBy("id")
         .agg(F.min("v").alias("v"), F.max("q").alias("q"))
