@@ -30,10 +30,11 @@ SPACE = "▁"  # the sign of a space in pieces
 RANK_SHIFT = 3.0
 SHARPNESS = 1.0
 BYTE_WEIGHT = -40.0  # logarithm; bytes are for characters that no piece has
+FLAGS = np.uint64(0x0101010101010101)
 LITERAL = 0x110000  # past all characters
 TABLE_BITS = 20
 SLICE_CHARS = 600_000
-MOST_CHARS = 1_000_000  # of words whose lattice a worker keeps
+MOST_CHARS = 1_500_000  # of words whose lattice a worker keeps
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -58,6 +59,7 @@ class Pieces:
         if any(SPACE in names[i].lstrip(SPACE) for i in plain):
             raise ValueError("a piece spans words")
         self.longest = max(len(names[i]) for i in plain)
+        self.width = -(-self.longest // 8) * 8
         order = sorted(plain, key=lambda i: (-model.get_score(i), i))
         rank = {i: r for r, i in enumerate(order)}
         self.weights = np.full(size + 2, -np.inf, np.float32)
@@ -82,7 +84,7 @@ class Pieces:
         self.chars = 0
         self.codes = np.empty(0, np.uint32)
         self.lattice = np.empty((0, self.longest), np.int32)
-        self.share = np.empty((0, self.longest), np.float32)
+        self.share = np.empty((0, self.width), np.float32)
 
     @staticmethod
     def hashed(codes: np.ndarray) -> np.uint64:
@@ -159,24 +161,28 @@ class Pieces:
         ids = self._lattice(codes, ends)
         # alpha[i] is the logarithm of all paths' weight up to and with position i
         alpha = np.full(len(codes), -np.inf)
-        share = np.full(ids.shape, 2, np.float32)
+        share = np.full((len(codes), self.width), 2, np.float32)
         order = np.argsort(-sizes, kind="stable")
         longest = int(sizes.max(initial=0))
         alive = np.searchsorted(-sizes[order], -np.arange(1, longest + 1), side="right")
         for k in range(longest):
             at = starts[order[: alive[k]]] + k
             few = min(k + 1, self.longest)
-            back = at[:, None] - np.arange(1, few + 1)
-            before = alpha[np.maximum(back, 0)]
+            # a row for each length, so that the sums run over long rows
+            back = at - np.arange(1, few + 1)[:, None]
+            paths = alpha[np.maximum(back, 0)]
             if few == k + 1:
-                before[:, -1] = 0.0  # the word's begin
-            paths = before + self.weights[ids[at, :few]]
-            top = paths.max(axis=1)
-            scaled = np.exp(paths - top[:, None])
-            sums = scaled.sum(axis=1)
+                paths[-1] = 0.0  # the word's begin
+            paths += self.weights[ids[at, :few]].T
+            top = paths.max(axis=0)
+            paths -= top
+            scaled = np.exp(paths, out=paths)
+            sums = scaled.sum(axis=0)
             alpha[at] = top + np.log(sums)
-            upto = np.cumsum(scaled, axis=1) / sums[:, None]
-            share[at, :few] = np.where(upto > 1 - 1e-6, 2, upto)
+            upto = np.cumsum(scaled, axis=0)
+            upto /= sums
+            upto[upto > 1 - 1e-6] = 2
+            share[at, :few] = upto.T
         self.known.update(zip(words, range(len(self.starts), len(self.starts) + len(words)), strict=True))
         self.starts = np.concatenate([self.starts, self.chars + starts])
         self.sizes = np.concatenate([self.sizes, sizes])
@@ -214,7 +220,8 @@ class Pieces:
         while len(left):
             state = mixed(state + BASE)
             draws = (state >> np.uint64(11)).astype(np.float64) / float(1 << 53)
-            length = (share[at] <= draws[:, None]).sum(axis=1)
+            below = (share[at] <= draws[:, None]).view(np.uint64)  # eight flags in a number, which a product adds up
+            length = ((below * FLAGS) >> np.uint64(56)).sum(axis=1).astype(np.int64)
             length = np.minimum(length, np.minimum(at - first, self.longest - 1))
             steps.append((left, ids[at, length], at))
             at = at - length - 1
@@ -311,9 +318,9 @@ def segmented(
     texts have null piece_ids and count as lossless; empty texts have none. Other columns take no part.
     """
     kept = docs.select(*keep)
-    schema = T.StructType(
-        [*kept.schema.fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType(), False)), T.StructField("lossless", T.BooleanType())]
-    )
+    ids_type = T.ArrayType(T.IntegerType(), False)
+    new = [T.StructField("piece_ids", ids_type), T.StructField("lossless", T.BooleanType())]
+    schema = T.StructType([*kept.schema.fields, *new])
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(vocabulary, sharpness)
@@ -323,9 +330,8 @@ def segmented(
                 ids, counts = encoded(own, run, [f"{seed}:{s}" for s in seeds[begin : begin + len(run)]])
                 ends = np.cumsum(counts)
                 flat = ids.tolist()
-                good = [
-                    own.decoded(flat[e - n : e]) == t for n, e, t in zip(counts.tolist(), ends.tolist(), run, strict=True)
-                ]
+                bounds = zip(counts.tolist(), ends.tolist(), run, strict=True)
+                good = [own.decoded(flat[e - n : e]) == t for n, e, t in bounds]
                 offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
                 null = pa.array([t is None for t in texts[begin : begin + len(run)]], pa.bool_())
                 lists = pa.ListArray.from_arrays(offsets, pa.array(ids), mask=null)
