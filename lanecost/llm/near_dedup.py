@@ -7,9 +7,10 @@ collections; at the threshold 0.75 a link is missed with a probability of 5e-6,
 
 Documents of equal shingle sets are one document first. Collections' values that one document alone has are left out
 before keys are formed, so a document without any likeness makes no keys. Candidates of a table are compared on
-their whole shingle sets, star by star: first all with the smallest document of the table; then, in tables whose
+their whole shingle sets, star by star: first all with the document of the table that shares most; then, in tables whose
 members still lie in different classes, with the next few, more of them in each round, until all have been a centre
-or are in one class. Members of one class are never compared, so a large group of copies costs a star.
+or are in one class. Members of one class are never compared, so a large group of copies costs a star. Members that
+have too many shingles of their own for any link are left out before the later rounds; this loses nothing.
 """
 
 from __future__ import annotations
@@ -124,13 +125,8 @@ def _could_link(left: str, right: str) -> Column:
     return (100 * low >= PERCENT * high) & (_agreeing(left, right) >= LEAST_AGREEING)
 
 
-def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets are similar enough. `docs` has doc and text; of rows that repeat a
-    doc, those of equal sets are one."""
-    pairs = stored(pairs)
-    asked = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
-    texts = docs.join(asked, "doc", "left_semi").select("doc", "text")
-    sets = stored(texts.mapInArrow(_sets, "doc bigint, shingles array<bigint>"))
+def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole shingle sets are similar enough."""
     one = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
@@ -140,22 +136,40 @@ def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return with_centres.join(one, "a").where((100 * both >= PERCENT * whole) & (whole > 0)).select("a", "b").distinct()
 
 
+def _supported(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """doc and `common` of those of `docs` that can have a link among them.
+
+    `common` counts a document's shingles that another one of `docs` has as well. No intersection is larger, so a
+    document of which too few shingles are common is left out: a copy with many edits of its own, for one, or a
+    document that shares one passage with very many.
+    """
+    each = sets.join(docs.select("doc").distinct(), "doc", "left_semi").select("doc", F.explode("shingles").alias("s"))
+    common = each.groupBy("s").agg(F.count("*").alias("n")).where("n > 1").select("s")
+    counts = each.join(common, "s", "left_semi").groupBy("doc").agg(F.count("*").alias("common"))
+    sizes = sets.select("doc", F.size("shingles").alias("n"))
+    return counts.join(sizes, "doc").where(100 * F.col("common") >= PERCENT * F.col("n")).select("doc", "common")
+
+
 def _tables(members: DataFrame) -> DataFrame:
-    """key, doc and least (the smallest document of the key): a row for each document and table, tables of one
-    document left out."""
+    """key, doc and place (from 1) in the table of the key; tables of one document are left out.
+
+    Places go by how many documents share the values of a document, the most first: in a group of copies, the one
+    with the fewest edits of its own is the best centre.
+    """
     values = members.select(F.col("doc_id").alias("doc"), F.explode("collections").alias("value"))
-    shared = values.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").select("value")
-    left = values.join(shared, "value").groupBy("doc").agg(F.sort_array(F.collect_list("value")).alias("v"))
+    shared = values.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
+    listed = values.join(shared, "value").groupBy("doc")
+    listed = listed.agg(F.sort_array(F.collect_list("value")).alias("v"), F.sum("n").alias("score"))
     pairs = F.flatten(
         F.transform(
             "v", lambda x, i: F.transform(F.slice("v", i + 2, F.size("v")), lambda y: F.xxhash64(x, y))
         )
     )
-    keys = left.select("doc", F.explode(pairs).alias("key"))
+    keys = listed.select("doc", "score", F.explode(pairs).alias("key"))
     by_key = Window.partitionBy("key")
-    keys = keys.select("doc", "key", F.min("doc").over(by_key).alias("least"), F.max("doc").over(by_key).alias("most"))
-    keys = keys.where("least < most").select("key", "doc", "least")
-    return stored(keys)
+    place = F.row_number().over(by_key.orderBy(F.desc("score"), "doc"))
+    keys = keys.select("key", "doc", place.alias("place"), F.count("*").over(by_key).alias("size"))
+    return stored(keys.where("size > 1").drop("size"))
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -176,7 +190,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     )
     sketches = members.select(F.col("doc_id").alias("doc"), "n_shingles", *[f"s{i}" for i in range(LANES)])
     found = _stars(_tables(members), sketches, whole)
-    exact = known.join(firsts, same).where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    exact = known.join(firsts, same).where("doc_id <> first")
+    exact = exact.select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     roots = components(found.union(exact))
     sized = signed.select(F.col("doc_id").alias("doc"), "n_shingles")
     bare = whole.where(F.length(F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\f\r"))) == 0)
@@ -189,36 +204,50 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 def _stars(tables: DataFrame, sketches: DataFrame, whole: DataFrame) -> DataFrame:
     """Links (a, b) between documents that share a table, enough of them to hold each class together."""
     left, right = sketches.alias("l"), sketches.alias("r")
+    texts = whole.join(tables.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc", "text"])
+    sets = stored(texts.select("doc", "text").mapInArrow(_sets, "doc bigint, shingles array<bigint>"))
 
     def checked(pairs: DataFrame) -> DataFrame:
         near = pairs.distinct().alias("p").join(left, F.col("p.a") == F.col("l.doc"))
         near = near.join(right, F.col("p.b") == F.col("r.doc")).where(_could_link("l", "r"))
-        return _linked(near.select("p.a", "p.b"), whole)
+        return _linked(near.select("p.a", "p.b"), sets)
 
-    first = tables.where("doc > least").select(F.col("doc").alias("a"), F.col("least").alias("b"))
+    centre = tables.where("place = 1").select("key", F.col("doc").alias("b"))
+    first = tables.where("place > 1").join(centre, "key").select(F.col("doc").alias("a"), "b")
     links = stored(checked(first))
-    done, upto = 1, 1 + GROWTH
-    place = Window.partitionBy("key").orderBy("doc")
     by_key = Window.partitionBy("key")
-    still = tables.select("key", "doc", F.row_number().over(place).alias("place"))
-    while True:
+
+    def open_tables(rows: DataFrame) -> DataFrame:
+        """Of rows with key, doc and place, those in tables with two classes and more left than one centre."""
         roots = components(links)
-        placed = still.join(roots, still["doc"] == roots["node"], "left").select(
-            "key", "doc", "place", F.coalesce("root", "doc").alias("root")
-        )
-        ends = {"low": F.min("root"), "high": F.max("root"), "size": F.max("place")}
+        placed = rows.join(roots, rows["doc"] == roots["node"], "left")
+        placed = placed.select(*[rows[c] for c in rows.columns], F.coalesce("root", "doc").alias("root"))
+        ends = {"low": F.min("root"), "high": F.max("root"), "last": F.max("place")}
         judged = placed.select("*", *[end.over(by_key).alias(name) for name, end in ends.items()])
-        open_tables = judged.where((F.col("low") < F.col("high")) & (F.col("size") > done + 1))
-        still = stored(open_tables.select("key", "doc", "place", "root"))
+        return judged.where((F.col("low") < F.col("high")) & (F.col("last") > done + 1)).drop(*ends)
+
+    done, upto = 1, 1 + GROWTH
+    still = stored(open_tables(tables))
+    still = still.drop("root").join(stored(_supported(still, sets)), "doc")
+    n_of = sets.select("doc", F.size("shingles").alias("n"))
+    still = still.join(n_of, "doc")
+    # places anew, without the documents that are out
+    order = by_key.orderBy("place")
+    still = still.select("key", "doc", "common", "n", F.row_number().over(order).alias("place"))
+    done, upto = 0, GROWTH
+    while True:
+        still = stored(open_tables(still))
         if still.isEmpty():
             return links
         centres = still.where((F.col("place") > done) & (F.col("place") <= upto)).alias("c")
+        both = F.least("m.common", "c.common")
         pairs = (
             still.alias("m")
             .join(centres, F.col("m.key") == F.col("c.key"))
             .where((F.col("m.place") > F.col("c.place")) & (F.col("m.root") != F.col("c.root")))
+            .where(100 * both >= PERCENT * (F.col("m.n") + F.col("c.n") - both))
             .select(F.col("m.doc").alias("a"), F.col("c.doc").alias("b"))
         )
         links = stored(links.union(checked(pairs)))
-        still = still.select("key", "doc", "place")
+        still = still.drop("root")
         done, upto = upto, upto * GROWTH
