@@ -7,13 +7,17 @@ and a hash of its id decides, so a rerun takes the same sample.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import warnings
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanecost.llm.scratch import stored
 
-ROUNDS = 10
+ROUNDS = 10_000  # beyond this fitting is an error, never a result
 TOLERANCE = 1e-10
+NOTHING = 1e-15  # a weight that falls below this share of all is on its way to 0
+MET = 1e-8  # a margin further than this from its target is reported
 TEMPER = 0.5
 NONE = "\u0000"  # stands for a null source or language, a class of its own
 BROADCAST_CELLS = 100_000
@@ -71,12 +75,34 @@ def raked(
     """Cells with `weight`, which adds up to 1 and meets the target share of every margin.
 
     A target is a frame of a margin's value and its `target`; cells of values without a target get weight 0. Fitting
-    ends when no weight moves by more than `tolerance` of itself, or after `rounds`. Where targets contradict each
-    other, the margin that comes last is met.
+    ends when no weight moves by more than `tolerance` of itself, those below NOTHING aside; if `rounds` do not
+    suffice, it raises. Where targets contradict each other, the margin that comes last is met, and a warning names
+    the others.
     """
-    total = cells.agg(F.sum("tokens")).first()[0] or 1  # one number
-    fitted = stored(cells.withColumn("weight", F.col("tokens") / F.lit(float(total))).withColumn("moved", F.lit(0.0)))
     targets = {m: stored(t) for m, t in targets.items()}
+    total = cells.agg(F.sum("tokens")).first()[0] or 1  # one number
+    begun = stored(cells.withColumn("weight", F.col("tokens") / F.lit(float(total))))
+    n_cells = begun.count()
+    if not n_cells:
+        return begun
+    fit = _fitted_in_a_row if n_cells <= BROADCAST_CELLS else _fitted_in_frames
+    fitted, moved = fit(begun, targets, rounds, tolerance)
+    if not moved <= tolerance:
+        raise RuntimeError(f"weights did not settle in {rounds} rounds: one still moves by {moved:.1e} of itself")
+    for margin, target in targets.items():
+        sums = fitted.groupBy(margin).agg(F.sum("weight").alias("s")).join(target, margin, "full")
+        gap = F.abs(F.coalesce("s", F.lit(0.0)) - F.coalesce("target", F.lit(0.0)))
+        far = sums.agg(F.max(gap)).first()[0]  # one number
+        if far > MET:
+            warnings.warn(f"targets contradict each other: shares of {margin} are up to {far:.1e} off", stacklevel=2)
+    return fitted
+
+
+def _fitted_in_frames(
+    begun: DataFrame, targets: dict[str, DataFrame], rounds: int, tolerance: float
+) -> tuple[DataFrame, float]:
+    """Fitted cells and the last move, by a job for each round."""
+    fitted, moved = begun.withColumn("moved", F.lit(0.0)), float("inf")
     for _ in range(rounds):
         step = fitted.withColumn("moved", F.col("weight"))
         for margin, target in targets.items():
@@ -87,10 +113,53 @@ def raked(
             )
             step = step.select(*fitted.columns)
         move = F.coalesce(F.abs(F.try_divide("weight", F.col("moved")) - 1), F.lit(0.0))
+        move = F.when(F.greatest("weight", "moved") > NOTHING, move).otherwise(0.0)
         fitted = stored(step.withColumn("moved", move))
-        if (fitted.agg(F.max("moved")).first()[0] or 0.0) <= tolerance:  # one number
+        moved = fitted.agg(F.max("moved")).first()[0]  # one number
+        if moved <= tolerance:
             break
-    return fitted.drop("moved")
+    return fitted.drop("moved"), moved
+
+
+def _fitted_in_a_row(
+    begun: DataFrame, targets: dict[str, DataFrame], rounds: int, tolerance: float
+) -> tuple[DataFrame, float]:
+    """`_fitted_in_frames` in one job, for cells that fit in a row: sparse cells can take hundreds of rounds."""
+    margins = list(targets)
+    placed = begun
+    for m in margins:
+        placed = placed.join(targets[m].select(m, F.col("target").alias(f"_t_{m}")), m, "left")
+    # windows over all cells, of which there are BROADCAST_CELLS at most
+    ranks = {f"_at_{m}": F.dense_rank().over(Window.orderBy(m)) - 1 for m in margins}
+    placed = placed.withColumns({"_pos": F.row_number().over(Window.orderBy(*margins)) - 1} | ranks)
+    placed = stored(placed)
+    cell = F.struct("_pos", *ranks, *begun.columns)
+    row = placed.agg(F.sort_array(F.collect_list(cell)).alias("cells"))
+    row = row.selectExpr("cells", "cells.weight AS begun", *[f"cells.{r} AS at_{i}" for i, r in enumerate(ranks)])
+    for i, m in enumerate(margins):
+        each = placed.groupBy(f"_at_{m}").agg(
+            F.max(f"_t_{m}").alias("target"), F.sort_array(F.collect_list("_pos")).alias("own")
+        )
+        listed = F.sort_array(F.collect_list(F.struct(f"_at_{m}", "target", "own")))
+        row = row.crossJoin(each.agg(listed.alias(f"of_{i}")))  # a row with a row
+    # transform over a one-element array names a value, so it is worked out once
+    fit = "acc.w"
+    for i in range(len(margins)):
+        factors = f"transform(of_{i}, g -> try_divide(g.target, aggregate(g.own, 0D, (a, p) -> a + w{i}[p])))"
+        scaled = f"transform(w{i}, (x, k) -> x * coalesce(f{i}[at_{i}[k]], 0D))"
+        fit = f"transform(array({fit}), w{i} -> transform(array({factors}), f{i} -> {scaled})[0])[0]"
+    move = f"if(greatest(x, y) > {NOTHING!r}D, coalesce(abs(try_divide(x, y) - 1D), 0D), 0D)"
+    after = f"named_struct('w', v, 'moved', array_max(zip_with(v, acc.w, (x, y) -> {move})))"
+    row = stored(
+        row.selectExpr(
+            "cells",
+            f"""aggregate(sequence(1, {rounds}), named_struct('w', begun, 'moved', double('inf')), (acc, n) ->
+                if(acc.moved <= {tolerance!r}D, acc, transform(array({fit}), v -> {after})[0])) AS fit""",
+        )
+    )
+    columns = ", ".join(f"c.`{c}`" for c in begun.columns if c != "weight")
+    fitted = row.selectExpr(f"inline(zip_with(cells, fit.w, (c, w) -> struct({columns}, w AS weight)))")
+    return stored(fitted.select(*begun.columns)), row.select("fit.moved").first()[0]
 
 
 def probabilities(fitted: DataFrame, fraction: float) -> DataFrame:

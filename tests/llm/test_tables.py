@@ -11,7 +11,7 @@ import corpus_pipeline
 from lanecost.llm import mixing, near_dedup, secrets, topk
 from lanecost.llm.catalog import queries
 from lanecost.llm.components import components
-from lanecost.llm.oracle import statements
+from lanecost.llm.oracle import _mixing, statements
 
 SF = "/root/testdata/sf0.001"
 
@@ -81,6 +81,35 @@ def test_raked_margins_meet_their_targets(spark):
     assert all(0 <= r["prob"] <= 1 for r in probs)
 
 
+def test_raking_runs_until_nothing_moves(spark, con, monkeypatch):
+    """Sparse cells need more rounds; the statement is given enough of them."""
+    cells = mixing.cells_of(mixing.keyed(spark.read.parquet(f"{SF}/documents.parquet")))
+    targets = {m: mixing.tempered(cells, m) for m in mixing.MARGINS}
+    fitted = mixing.raked(cells, targets)
+    for margin, target in targets.items():
+        got = {r[0]: r[1] for r in fitted.groupBy(margin).agg(F.sum("weight")).collect()}
+        assert got == pytest.approx({r[0]: r[1] for r in target.collect()}, abs=1e-10)
+    want = duck_table(con, _mixing(rounds=40))
+    assert difference(spark_table(queries()["op4_mixing"](spark, SF)), want) is None
+    with pytest.raises(RuntimeError, match="did not settle"):
+        mixing.raked(cells, targets, rounds=10)
+    full = [(s, lang, "x", n) for s, lang, n in (("a", "e", 10), ("a", "f", 2), ("b", "e", 3), ("b", "f", 40))]
+    full = spark.createDataFrame(full, "source string, lang string, topic string, tokens long")
+    targets = {m: mixing.tempered(full, m) for m in mixing.MARGINS}
+    one = {r[:3]: r["weight"] for r in mixing.raked(full, targets).collect()}
+    monkeypatch.setattr(mixing, "BROADCAST_CELLS", 0)
+    assert {r[:3]: r["weight"] for r in mixing.raked(full, targets).collect()} == pytest.approx(one, abs=1e-12)
+
+
+def test_contradicting_targets_are_reported(spark):
+    cells = spark.createDataFrame([("a", "e", 3), ("b", "f", 1)], "source string, lang string, tokens long")
+    shares = {"source": {"a": 0.5, "b": 0.5}, "lang": {"e": 0.9, "f": 0.1}}
+    targets = {m: spark.createDataFrame(list(t.items()), f"{m} string, target double") for m, t in shares.items()}
+    with pytest.warns(UserWarning, match="shares of source"):
+        fitted = mixing.raked(cells, targets)
+    assert {r["lang"]: r["weight"] for r in fitted.collect()} == pytest.approx(shares["lang"])
+
+
 def test_mixing_awkward_rows(spark):
     rows = [(1, None, None, None, "own"), (1, None, None, None, "own"), (None, "a b", "en", "s", "own"), (2, "", "en", None, "own"), (3, "w " * 9000, None, "s", "own")]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, weight string")
