@@ -65,7 +65,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = mixing.keyed(_documents(spark, sf_dir)).select("doc_id", "_cell", "_tokens")
+    marked = mixing.keyed(_documents(spark, sf_dir)).select("doc_id", "_cell", "_tokens", "_key")
     mix = mixing.drawn(stored(marked), MIX_FRACTION)  # without the texts, which are read once
     return mix.select(
         "doc_id",

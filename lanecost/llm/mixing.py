@@ -2,7 +2,7 @@
 
 Documents are summed to cells of source, language and topic. The cells' token weights are scaled to the target of
 one margin after another until nothing moves. A document's probability follows from the fitted weight of its cell,
-and a hash of its id decides, so a rerun takes the same sample.
+and a hash of its id, or of its text where it has none, decides, so a rerun takes the same sample.
 """
 
 from __future__ import annotations
@@ -43,14 +43,19 @@ def tokens_of(text: Column) -> Column:
     return F.greatest(F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)), F.lit(1)).cast("long")
 
 
-def keyed(docs: DataFrame, source: str = "source", lang: str = "lang", text: str = "text") -> DataFrame:
-    """`docs` with a struct column `_cell` of source, lang and topic (null as NONE) and a column `_tokens`."""
+def keyed(
+    docs: DataFrame, source: str = "source", lang: str = "lang", text: str = "text", doc_id: str = "doc_id"
+) -> DataFrame:
+    """`docs` with a struct column `_cell` of source, lang and topic (null as NONE), a column `_tokens`, and a column
+    `_key` for the draw: the id, or where it is null a digest of source, language and text."""
     cell = F.struct(
         F.coalesce(F.col(source).cast("string"), F.lit(NONE)).alias("source"),
         F.coalesce(F.col(lang).cast("string"), F.lit(NONE)).alias("lang"),
         topic_of(F.col(text)).alias("topic"),
     )
-    return docs.withColumns({"_cell": cell, "_tokens": tokens_of(F.col(text))})
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit(NONE)) for c in (source, lang, text)]
+    key = F.when(F.col(doc_id).isNull(), F.md5(F.concat_ws(NONE, *parts))).otherwise(F.col(doc_id).cast("string"))
+    return docs.withColumns({"_cell": cell, "_tokens": tokens_of(F.col(text)), "_key": key})
 
 
 MARGINS = ("source", "lang", "topic")
@@ -183,9 +188,9 @@ def probabilities(fitted: DataFrame, fraction: float) -> DataFrame:
     return fitted.withColumn("prob", F.least(F.lit(1.0), ratio * F.lit(scale)))
 
 
-def draw(doc_id: Column, seed: int = 0) -> Column:
-    """A number in [0, 1) from a document's id: the first 32 bits of an MD5 digest."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))
+def draw(key: Column, seed: int = 0) -> Column:
+    """A number in [0, 1) from a document's `_key`: the first 32 bits of an MD5 digest."""
+    text = F.concat(F.lit(f"{seed}:"), key)
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
 
 
@@ -201,17 +206,17 @@ def mixed(
     """`docs` with a struct column `mix`: source, lang, topic, tokens, weight, prob and sampled.
 
     Texts are read once for the cells and once for the rows. Without `targets` each margin's token shares are tempered. Null sources and languages are a class of their own;
-    null texts have the topic `empty` and one token. Repeated rows share a draw. Other columns pass through, but for
-    columns called mix, _cell, _tokens or _fit.
+    null texts have the topic `empty` and one token. Rows that share an id share a draw; rows without an id draw by
+    source, language and text, so only those equal in all three share one. Other columns pass through, but for columns
+    called mix, _cell, _tokens, _key or _fit.
     """
     rest = [c for c in docs.columns if c != "mix"]
-    return drawn(keyed(docs, **columns), fraction, doc_id, targets, temper, seed).select(*rest, "mix")
+    return drawn(keyed(docs, doc_id=doc_id, **columns), fraction, targets, temper, seed).select(*rest, "mix")
 
 
 def drawn(
     marked: DataFrame,
     fraction: float,
-    doc_id: str = "doc_id",
     targets: dict[str, DataFrame] | None = None,
     temper: float = TEMPER,
     seed: int = 0,
@@ -229,6 +234,6 @@ def drawn(
         "_cell.*",
         F.col("_tokens").alias("tokens"),
         "_fit.*",
-        (draw(F.col(doc_id), seed) < F.col("_fit.prob")).alias("sampled"),
+        (draw(F.col("_key"), seed) < F.col("_fit.prob")).alias("sampled"),
     )
-    return joined.withColumn("mix", mix).drop("_cell", "_tokens", "_fit")
+    return joined.withColumn("mix", mix).drop("_cell", "_tokens", "_key", "_fit")

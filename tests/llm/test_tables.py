@@ -119,6 +119,16 @@ def test_mixing_awkward_rows(spark):
     assert mixing.mixed(frame.limit(0), 0.5).count() == 0
 
 
+def test_rows_without_an_id_draw_by_their_text(spark):
+    rows = [(None, f"text {i}", "en", "s") for i in range(400)] + [(None, "text 7", "en", "s")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    drawn = mixing.mixed(frame, 0.5).select("text", "mix.sampled").collect()
+    assert 150 < sum(r["sampled"] for r in drawn) < 250
+    assert len({r["sampled"] for r in drawn if r["text"] == "text 7"}) == 1
+    known = mixing.keyed(frame.withColumn("doc_id", F.lit(5)))
+    assert known.select("_key").distinct().collect() == [("5",)]
+
+
 def test_pipeline(spark):
     """Stages against the operators' own rules on plain Python."""
     import brute
