@@ -33,9 +33,9 @@ class Threshold:
     from_words: int = 0
 
 
-# The two base rules of the query are separate (see `base_failed`); these are the method's own.
+# The two base rules of the query are separate (see `base_failed`); these are the method's own. None bounds the length
+# of a text: the ratios judge long texts as well.
 THRESHOLDS = (
-    Threshold("n_words", high=1_000_000),
     Threshold("mean_word_length", low=1.5, high=25.0),
     Threshold("symbol_ratio", high=0.3),
     Threshold("stop_word_ratio", low=0.02, from_words=50),

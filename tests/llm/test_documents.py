@@ -123,3 +123,13 @@ def test_repeated_rows_count_in_ownership_once_for_each_owner(spark):
     data = spark.createDataFrame([(1, "token=abcdef123456", "en", "s", 0, "", "", 1)] * 5, SCHEMA)
     span = secrets.scanned(data).select(F.explode("secrets").alias("s")).select("s.n_owners").distinct().collect()
     assert [r[0] for r in span] == [1]
+
+
+def test_a_long_clean_text_is_kept(spark):
+    stops = quality.STOP_WORDS
+    letters = F.translate(F.hex("id"), "0123456789", "ghijklmnop")
+    words = spark.range(1_000_001).select(F.concat(F.lit("word"), letters).alias("w"), "id")
+    text = " ".join(stops[r["id"] % len(stops)] if r["id"] % 5 == 0 else r["w"] for r in words.collect())
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    judged = quality.judged(frame).select("quality.n_words", "quality.kept", "quality.failed").first()
+    assert tuple(judged) == (1_000_001, True, [])
