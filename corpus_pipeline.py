@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lanecost.llm import mixing, near_dedup, quality, secrets, sentence_pieces
 from lanecost.llm.catalog import PIECES, vocabulary
-from lanecost.llm.scratch import folder
+from lanecost.llm.scratch import folder, stored
 
 MIX_FRACTION = 0.8
 
@@ -22,14 +22,22 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class: the one with the smallest id; of rows that repeat an id, the first by text. Rows
-    without an id stay."""
-    found = near_dedup.classes(docs)
-    dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
-    alone = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    order = Window.partitionBy("doc_id", "_alone").orderBy("text", "source", "lang")
-    rest = docs.withColumn("_alone", alone).join(dropped, "doc_id", "left_anti")
-    return rest.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*docs.columns)
+    """One document of each class: the one with the smallest id; of rows that share this id, the first by text, source
+    and language.
+
+    Rows are judged by id and text, so texts that share an id but are not alike lie in classes of their own and stay.
+    Equal rows are one document. Rows without an id stay. An id and its text are told apart by a 64-bit hash.
+    """
+    key = F.xxhash64("doc_id", F.coalesce("text", F.lit("\u0000")))
+    keyed = docs.withColumn("_key", F.when(F.col("doc_id").isNotNull(), key))
+    known = keyed.where("_key IS NOT NULL")
+    found = near_dedup.classes(known, "_key").select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_class"))
+    named = stored(known.select("_key", "doc_id").distinct().join(found.distinct(), "_key"))
+    least = named.groupBy("_class").agg(F.min("doc_id").alias("doc_id"))
+    first = named.join(least, ["_class", "doc_id"]).select("_key", "_class")
+    order = Window.partitionBy("_class").orderBy("text", "source", "lang")
+    rest = known.join(first, "_key").withColumn("_n", F.row_number().over(order)).where("_n = 1")
+    return rest.select(*docs.columns).union(docs.where("doc_id IS NULL"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -167,6 +167,15 @@ def test_pipeline_awkward_rows(spark):
     assert sorted(str(r["doc_id"]) for r in stayed.collect()) == ["1", "None", "None"]
 
 
+def test_texts_that_share_an_id_are_judged_one_by_one(spark):
+    one, two, three, four = (" ".join(f"{w}{i}" for i in range(30)) for w in "abcd")
+    rows = [(1, one), (5, one), (5, two), (7, three), (7, four), (7, four), (None, one), (8, None), (8, ""), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source")
+    stayed = corpus_pipeline.near_duplicates(spark, docs, SF).select("doc_id", "text").collect()
+    want = [(1, one), (5, two), (7, three), (7, four), (None, one), (8, None), (8, "")]
+    assert sorted(map(str, map(tuple, stayed))) == sorted(map(str, want))
+
+
 def test_a_missing_text_is_its_own_class(spark):
     rows = [(1, None), (2, ""), (3, "a"), (4, "A")]
     got = near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string"))
