@@ -153,3 +153,10 @@ def test_texts_without_letters_and_without_a_model(spark):
     assert got == {1: "und", 2: "und", 3: "und", 4: "en", 5: "de", 6: "de"}
     nothing = language_id.fitted(spark.createDataFrame([], "id long, lang string, text string"))
     assert {r["lang_pred"] for r in language_id.predicted(frame, nothing).collect()} == {"und"}
+
+
+def test_escapes_pay_beside_values_of_16_bits():
+    values = np.array(([40] * 9 + [50_000]) * 30, np.uint64)
+    words, escapes = simple8b.packed(values)
+    assert len(escapes) >= 30 and words.nbytes + escapes.nbytes < 480  # what they take without escapes
+    assert (simple8b.unpacked(words, escapes, len(values)) == values).all()
