@@ -58,7 +58,9 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
-    counted = token_counts.counted(docs, vocabulary(TOKENIZER), TOKEN_LIMIT, keep=("n_bytes",), table=False)
+    path = folder(spark)
+    token_counts.write(docs, path, vocabulary(TOKENIZER), keep=("n_bytes",))
+    counted = token_counts.read(spark.read.parquet(path), TOKEN_LIMIT, keep=("n_bytes",))
     return counted.select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), "cut_chars"
     )

@@ -271,3 +271,37 @@ def counted(
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.select(F.col(doc_id).alias("doc_id"), *keep, F.col(text).alias("_text")).mapInArrow(count, schema)
+
+
+def write(
+    docs: DataFrame,
+    path: str,
+    vocabulary: str,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    keep: tuple[str, ...] = (),
+) -> None:
+    """Write doc_id, the columns of `keep` and prefix_counts of every whole text below `path`."""
+    whole = counted(docs, vocabulary, 0, doc_id, text, keep)
+    whole.select("doc_id", *keep, "prefix_counts").write.option("compression", "zstd").parquet(path)
+
+
+def read(table: DataFrame, budget: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns of `keep`, n_tokens and cut_chars (see `counted`) from the stored counts of a table that
+    `write` has made, without the texts."""
+    kept = table.select("doc_id", *keep)
+    new = [T.StructField(n, T.LongType()) for n in ("n_tokens", "cut_chars")]
+    schema = T.StructType(kept.schema.fields + new)
+
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = batch.column(batch.num_columns - 1)
+            lists = [loaded_counts(x.as_py()) for x in data]
+            columns = [
+                *batch.columns[:-1],
+                pa.array([int(x[-1]) if len(x) else 0 for x in lists], pa.int64()),
+                pa.array([cut(x, budget) for x in lists], pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return table.select("doc_id", *keep, "prefix_counts").mapInArrow(answered, schema)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lanecost.llm import bpe, language_id, sentence_pieces, simple8b, token_counts, token_files
-from lanecost.llm.catalog import op1_language_id
+from lanecost.llm.catalog import op1_language_id, op3_token_counts
 from lanecost.llm.scratch import folder
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -160,3 +160,16 @@ def test_escapes_pay_beside_values_of_16_bits():
     words, escapes = simple8b.packed(values)
     assert len(escapes) >= 30 and words.nbytes + escapes.nbytes < 480  # what they take without escapes
     assert (simple8b.unpacked(words, escapes, len(values)) == values).all()
+
+
+def test_token_counts_are_stored_at_every_prefix(spark, monkeypatch):
+    sf, path = "/root/testdata/sf0.001", folder(spark)
+    monkeypatch.setattr("lanecost.llm.catalog.folder", lambda _: path)
+    got = op3_token_counts(spark, sf)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.length("text").alias("n"))
+    table = spark.read.parquet(path).join(docs, "doc_id").collect()
+    assert len(table) == docs.count()
+    assert all(len(token_counts.loaded_counts(r["prefix_counts"])) == r["n"] for r in table)
+    whole = spark.read.parquet(f"{sf}/documents.parquet")
+    want = token_counts.counted(whole, VOCABULARY, 512, table=False).select("doc_id", "n_tokens", "cut_chars")
+    assert sorted(got.select("doc_id", "n_tokens", "cut_chars").collect()) == sorted(want.collect())
