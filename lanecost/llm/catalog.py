@@ -14,6 +14,8 @@ from lanecost.llm import (
     quality,
     secrets,
     sentence_pieces,
+    source_divergence,
+    spelling,
     substring_dedup,
     token_counts,
     token_files,
@@ -130,6 +132,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_documents(spark, sf_dir))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
             op1_language_id,
@@ -142,4 +152,6 @@ def queries() -> dict[str, Query]:
             op8_quality_rules,
             op9_token_files,
             op10_substring_dedup,
+            op11_spelling_variants,
+            op12_source_divergence,
         )}

@@ -220,6 +220,53 @@ FROM d JOIN f{step} USING (source, lang, topic), k
 
 STATEMENTS["op4_mixing"] = _mixing()
 
+STATEMENTS["op12_source_divergence"] = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text
+    FROM documents
+),
+t AS (
+    SELECT id, lang, source, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM d
+),
+kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= 30),
+sizes AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+cells AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (
+    SELECT lang, source, coalesce(any_value(total), 0) AS total
+    FROM (SELECT DISTINCT lang, source FROM d)
+    LEFT JOIN (SELECT lang, source, sum(n) AS total FROM cells GROUP BY ALL) USING (lang, source)
+    GROUP BY ALL
+),
+shares AS (
+    SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+        1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (g.total + 5 * s.v) AS p,
+        1 + (1000000000::HUGEINT * (k.n + 5)) // (s.total + 5 * s.v) AS q
+    FROM groups g JOIN kept k USING (lang) JOIN sizes s USING (lang)
+    LEFT JOIN cells c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+),
+sums AS (
+    SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value
+    FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source
+    GROUP BY ALL
+),
+pairs AS (
+    SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(s.value, 0) AS value
+    FROM groups x JOIN groups y ON x.lang = y.lang AND x.source <> y.source
+    LEFT JOIN sums s ON s.lang = x.lang AND s.source = x.source AND s.item = y.source
+),
+both_parts AS (
+    SELECT * FROM pairs
+    UNION ALL
+    SELECT lang, source, 'term', term, p - q FROM shares WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value::BIGINT AS value, pos::INTEGER AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS pos FROM both_parts)
+WHERE part = 'pair' OR pos <= 50
+"""
+
 
 def statements() -> dict[str, str]:
     return dict(STATEMENTS)
