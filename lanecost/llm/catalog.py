@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanecost.llm import (
+    byte_convolution,
     language_id,
     mixing,
     near_dedup,
@@ -28,6 +29,7 @@ END_ID = 0
 PIECES = "piece_bpe_32k.model"
 TOKEN_LIMIT = 512
 MIX_FRACTION = 0.5
+GOOD = 0.7
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -140,6 +142,17 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.audit(_documents(spark, sf_dir))
 
 
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality IN (0, 1)")
+    known = docs.where(~held_out).join(labels, "doc_id")
+    labelled = known.select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("label"), "text")
+    network = byte_convolution.fitted(labelled)
+    scored = byte_convolution.scored(docs, network, keep=("doc_id", held_out.alias("held_out")))
+    return scored.withColumn("predicted", (F.col("score") >= GOOD).cast("int"))
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
             op1_language_id,
@@ -154,4 +167,5 @@ def queries() -> dict[str, Query]:
             op10_substring_dedup,
             op11_spelling_variants,
             op12_source_divergence,
+            op13_quality_classifier,
         )}
