@@ -143,20 +143,21 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([labels.slice(first, len(out)), pa.array(out, pa.binary())], names=["label", "chunks"])
 
 
-def fitted(labelled: DataFrame, sample: int = SAMPLE) -> Network:
-    """A network for `labelled` (id bigint, label int of 0 or 1, text).
+def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
+    """A network for the rows of `docs` (id, text) that `labels` (id, label of 0 or 1) mark.
 
-    It learns from `sample` ids of each label, those of the smallest hashes; the texts of a repeated id count once.
-    At most 2 * sample * SAMPLE_CHUNKS * CHUNK_BYTES bytes reach the driver, where the fitting runs. With one label only,
-    or none, every score is that label, or EVEN_ODDS.
+    It learns from `sample` ids of each label, those of the smallest hashes; an id of both labels is left out, and of an
+    id's several texts the least counts. Only ids meet the labels; texts are read of the chosen ids alone. At most
+    2 * sample * SAMPLE_CHUNKS * CHUNK_BYTES bytes reach the driver, where the fitting runs. With one label only, or
+    none, every score is that label, or EVEN_ODDS.
     """
-    ids = labelled.where("id IS NOT NULL AND label IS NOT NULL").groupBy("id")
-    ids = ids.agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other")
+    known = docs.select("id").distinct().join(labels.where("label IN (0, 1)"), "id").groupBy("id")
+    ids = known.agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other")
     order = F.xxhash64("id"), F.col("id")
     chosen = [ids.where(F.col("label") == k).orderBy(*order).limit(sample) for k in (0, 1)]
-    chosen = chosen[0].union(chosen[1]).select("id")
-    # at most 2 * sample rows of one number
-    texts = labelled.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("label").alias("label"), F.min("text").alias("text"))
+    chosen = chosen[0].union(chosen[1]).select("id", F.col("label").cast("int").alias("label"))
+    # at most 2 * sample rows of two numbers
+    texts = docs.select("id", "text").join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
     rows = texts.select("id", "label", "text").repartition("id").select("label", "text")
     rows = rows.mapInArrow(_sampled, "label int, chunks binary").collect()
     rows = sorted((r["label"], bytes(r["chunks"])) for r in rows)

@@ -87,7 +87,8 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.classes(_documents(spark, sf_dir))
-    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    # a row without an id is linked with nothing
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,10 +146,8 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality IN (0, 1)")
-    known = docs.where(~held_out).join(labels, "doc_id")
-    labelled = known.select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("label"), "text")
-    network = byte_convolution.fitted(labelled)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").selectExpr("doc_id AS id", "quality AS label")
+    network = byte_convolution.fitted(docs.where(~held_out).withColumnRenamed("doc_id", "id"), labels)
     scored = byte_convolution.scored(docs, network, keep=("doc_id", held_out.alias("held_out")))
     return scored.withColumn("predicted", (F.col("score") >= GOOD).cast("int"))
 

@@ -174,7 +174,7 @@ def probabilities(fitted: DataFrame, fraction: float) -> DataFrame:
     total = fitted.agg(F.sum("tokens")).first()[0] or 0  # one number
     ratio = F.col("weight") / F.col("tokens")
     scale = 0.0
-    for _ in range(100):
+    while True:
         full = ratio * F.lit(scale) >= 1
         given, rest = fitted.agg(
             F.sum(F.when(full, F.col("tokens")).otherwise(0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight")))

@@ -91,13 +91,14 @@ def test_awkward_rows(spark):
     rows = [(k, k % 2, ("plain words of a quiet text. " if k % 2 else shout) * 3) for k in range(60)]
     rows += [(1, 0, "a label that contradicts"), (None, 1, "x"), (70, None, "y"), (71, 1, None), (72, 1, "")]
     frame = spark.createDataFrame(rows, "id long, label int, text string").withColumn("score", F.lit(9))
-    network = net.fitted(frame)
+    labels = frame.select("id", "label")
+    network = net.fitted(frame, labels)
     docs = spark.createDataFrame([(None, None, 1.0), (1, "", 2.0), (2, shout * 3000, 3.0), (2, shout * 3000, 3.0), (3, "word", None)], "doc_id long, text string, chunks double")
     got = [tuple(r) for r in net.scored(docs, network, keep=("doc_id", "chunks")).collect()]
     assert len(got) == 5 and all(0 <= r[-1] <= 1 for r in got)
     assert [r[-1] for r in got if r[0] is None] == [r[-1] for r in got if r[0] == 1]
     assert len({r[-1] for r in got if r[0] == 2}) == 1
     assert net.scored(docs.limit(0), network).count() == 0
-    assert net.fitted(frame.limit(0)).constant == net.EVEN_ODDS
-    assert net.fitted(frame.where("label = 1")).constant == 1
+    assert net.fitted(frame.limit(0), labels).constant == net.EVEN_ODDS
+    assert net.fitted(frame.where("label = 1"), labels.where("label = 1")).constant == 1
     assert {r["score"] for r in net.scored(docs, net.Network(None, 1.0)).collect()} == {1.0}

@@ -81,6 +81,20 @@ def test_raked_margins_meet_their_targets(spark):
     assert all(0 <= r["prob"] <= 1 for r in probs)
 
 
+def test_probabilities_of_many_halving_weights(spark):
+    """Cells that give all they have are found one after the other, in more than a hundred passes."""
+    rows = [(i, 1000, 0.5 ** min(i + 1, 1000)) for i in range(2000)]
+    probs = mixing.probabilities(spark.createDataFrame(rows, "source int, tokens long, weight double").coalesce(1), 0.05).collect()
+    assert sum(r["tokens"] * r["prob"] for r in probs) == pytest.approx(0.05 * 2_000_000, rel=1e-6)
+
+
+def test_a_document_without_an_id_is_kept(spark, tmp_path):
+    rows = [(None, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries()["op5_minhash_near_dedup"](spark, str(tmp_path)).collect()
+    assert sorted((str(r["doc_id"]), r["kept"]) for r in got) == [("1", True), ("2", False), ("None", True)]
+
+
 def test_raking_runs_until_nothing_moves(spark, con, monkeypatch):
     """Sparse cells need more rounds; the statement is given enough of them."""
     cells = mixing.cells_of(mixing.keyed(spark.read.parquet(f"{SF}/documents.parquet")))
