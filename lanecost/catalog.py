@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from pyspark.sql.types import DoubleType
 from . import tpch
 from .operators import filters, rating
 from .operators.filters import FilterSpec
-from .plans import kpis, labels, marts, quality, service, shipping, warehouse
+from .plans import exports, kpis, labels, marts, quality, service, shipping, states, warehouse
 from .sources import export
 
 # o_orderkey is the primary key of orders and order_id is o_orderkey + 1, so ids are unique here;
@@ -153,6 +155,28 @@ def _repeated_service_lanes(spark, d):
     return service.service_lanes(service.cost_by_first_rate(_repeated(spark, d), rates))
 
 
+def _shipping_days(spark, d):
+    """The shipping state by day."""
+    orders = _orders(spark, d, [*RATING, "order_date"])
+    return states.shipping_state(orders, tpch.freight_rates(spark, d), unique_ids=UNIQUE_IDS)
+
+
+def _plant_days(spark, d):
+    return states.plant_state(_orders(spark, d, [*STORAGE, "order_date"]))
+
+
+def _halves(state):
+    """A state as two of its own, by days, merged again."""
+    early = F.day(states.DAY) < 16
+    return states.merge(state.where(early), state.where(~early))
+
+
+def _day_sums(spark, d):
+    sums = [F.col(f"{m}_sum").cast("double").alias(f"{m}_sum") for m in states.SHIPPING_MEASURES]
+    known = [f"{m}_known" for m in states.SHIPPING_MEASURES]
+    return _shipping_days(spark, d).select(*states.SHIPPING_KEY, states.DAY, "n_rows", *known, *sums)
+
+
 def _on_shipping(plan) -> Query:
     return lambda spark, d: plan(_shipping(spark, d))
 
@@ -183,6 +207,11 @@ def _service_costing(spark, d):
     )
 
 
+def _service_costing_by_level(spark, d):
+    """Service costing summed: orders times rates of their lane, rows without a cost, and the cost."""
+    return service.service_costing_by_level(_orders(spark, d, RATING), tpch.freight_rates(spark, d))
+
+
 def _unrated(spark, d):
     rates = tpch.freight_rates(spark, d)
     return rating.unrated_orders(_orders(spark, d, RATING), rates).select("order_id", "carrier", "weight")
@@ -234,11 +263,8 @@ def _quadrants_chart(spark, d):
 def _overview_kpis(spec) -> Query:
     def query(spark, d):
         orders = _orders(spark, d, ["plant_code", "carrier", "service_level"])
-        return kpis.overview_kpis(
-            filters.filter_shipping(_shipping(spark, d), spec),
-            filters.filter_plants(_capacity(spark, d), spec, orders),
-            filters.filter_orders(orders, spec),
-        )
+        shown = filters.filter_shipping(_shipping(spark, d), spec)
+        return kpis.overview_kpis_of_orders(shown, orders, tpch.wh_capacities(spark, d), spec)
 
     return query
 
@@ -273,6 +299,53 @@ def _route_export(spark, d):
     return stamped.drop("timestamp")
 
 
+EXPORTED_AT = datetime(2024, 1, 5, 7, 8, 9)
+
+
+def _exports(spec) -> Query:
+    def query(spark, d):
+        built = {"shipping_costs": _shipping(spark, d), "warehouse_costs": _costs(spark, d)}
+        orders = _orders(spark, d, ["plant_code", "carrier", "service_level"])
+        return exports.export_sizes(exports.exports_of(built, orders, spec), EXPORTED_AT)
+
+    return query
+
+
+def _overview_storage(spark, d):
+    """The storage export under a plant and a carrier, as `exports_of` has it."""
+    orders = _orders(spark, d, ["plant_code", "carrier", "service_level"])
+    built = {"shipping_costs": _shipping(spark, d), "warehouse_costs": _costs(spark, d)}
+    return next(e.frame for e in exports.exports_of(built, orders, CARRIER) if e.name == "storage_costs")
+
+
+def _clipped(spark, d):
+    """Plant costs, those of every third plant negative, clipped for display."""
+    costs = _costs(spark, d)
+    third = F.substring("plant_code", 6, 2).cast("int") % 3 == 0
+    signed = {c: F.when(third, -F.col(c)).otherwise(F.col(c)) for c in ("storage_cost", "cost_unit", "cost_per_unit", "cost_per_kg")}
+    return export.clip_negative_costs(costs.withColumns(signed)).select("plant_code", *signed)
+
+
+def _required(spark, d):
+    """Required columns of the rate choice and the service levels on tables that lack some of them."""
+    orders = _orders(spark, d, [*RATING, "order_date"]).drop("weight")
+    rates = tpch.freight_rates(spark, d).drop("rate", "svc_cd")
+    costed = service.cost_by_first_rate(_orders(spark, d, RATING), tpch.freight_rates(spark, d), unique_ids=UNIQUE_IDS)
+    found = quality.check_required_columns(orders, marts.ORDER_COLUMNS, "shipping costs")
+    found = found.unionByName(quality.check_required_columns(rates, marts.RATE_COLUMNS, "shipping costs"))
+    costed = costed.drop("shipping_cost")
+    return found.unionByName(quality.check_required_columns(costed, service.SERVICE_COLUMNS, "service levels"))
+
+
+def _structure(spark, d):
+    """The shipping mart's structure as it is, and with a column gone, a measure as text and no row."""
+    mart = _shipping(spark, d, check=False)
+    broken = mart.drop("carrier").withColumn("total_weight", F.col("total_weight").cast("string"))
+    frames = {"whole": mart, "broken": broken, "empty": mart.where("n_orders < 0")}
+    found = [quality.structure_checks(f, LANE_KEY).select(F.lit(n).alias("frame"), "*") for n, f in frames.items()]
+    return reduce(DataFrame.unionAll, found)
+
+
 LANE_KEY = ["origin_port", "destination_port", "carrier"]
 
 QUERIES: dict[str, Query] = {
@@ -304,6 +377,16 @@ QUERIES: dict[str, Query] = {
     "warehouse_costs_per_order": _on_costs(marts.warehouse_costs_per_order),
     "warehouse_capacity": _capacity,
     "capacity_status": lambda spark, d: warehouse.capacity_status(_capacity(spark, d)),
+    # marts from states by day
+    "shipping_state_by_day": _day_sums,
+    "shipping_costs_of_days": lambda spark, d: states.shipping_costs(_shipping_days(spark, d)),
+    "shipping_costs_of_merged_days": lambda spark, d: states.shipping_costs(_halves(_shipping_days(spark, d))),
+    "warehouse_costs_of_days": lambda spark, d: states.warehouse_costs(
+        _plant_days(spark, d), tpch.wh_costs(spark, d)
+    ),
+    "warehouse_capacity_of_days": lambda spark, d: states.warehouse_capacity(
+        _plant_days(spark, d), tpch.wh_capacities(spark, d)
+    ),
     # filters
     "shipping_of_plant": _filtered_shipping(PLANT),
     "shipping_of_plant_and_carrier": _filtered_shipping(PLANT_AND_CARRIER),
@@ -405,7 +488,15 @@ QUERIES: dict[str, Query] = {
     "overview_kpis_without_rates": _overview_kpis(UNRATED_CARRIER),
     "cost_kpis": _cost_kpis(FilterSpec()),
     "cost_kpis_without_rates": _cost_kpis(UNRATED_CARRIER),
+    # exports of a filter
+    "filter_exports": _exports(FilterSpec()),
+    "filter_exports_of_plant": _exports(PLANT_AND_CARRIER),
+    "storage_export_of_carrier": _overview_storage,
+    "clipped_costs": _clipped,
     # quality checks
+    "check_required_columns_seeded": _required,
+    "check_structure_seeded": _structure,
+    "service_costing_by_level": _service_costing_by_level,
     "check_order_list": lambda spark, d: quality.check_order_list(_orders(spark, d)),
     "check_freight_rates": lambda spark, d: quality.check_freight_rates(tpch.freight_rates(spark, d)),
     "check_order_list_seeded": lambda spark, d: quality.check_order_list(_seeded_orders(spark, d)),

@@ -39,13 +39,13 @@ class FilterSpec:
         )
 
 
-def _chosen(value: str | None) -> bool:
+def is_chosen(value: str | None) -> bool:
     return value is not None and value != ALL
 
 
 def _keep(df: DataFrame, **wanted: str | None) -> DataFrame:
     for column, value in wanted.items():
-        if _chosen(value):
+        if is_chosen(value):
             df = df.where(F.col(column) == value)
     return df
 
@@ -71,7 +71,7 @@ def plants_served(orders: DataFrame, carrier: str) -> DataFrame:
 def filter_plants(df: DataFrame, spec: FilterSpec, orders: DataFrame | None = None) -> DataFrame:
     """Filter a plant-level mart by plant and, when orders are given, by the plants a carrier serves."""
     df = _keep(df, plant_code=spec.warehouse)
-    if orders is not None and _chosen(spec.carrier):
+    if orders is not None and is_chosen(spec.carrier):
         served = plants_served(orders, spec.carrier).withColumnRenamed("plant_code", "served_plant")
         df = df.join(served, F.col("plant_code").eqNullSafe(F.col("served_plant")), "left_semi")
     return df

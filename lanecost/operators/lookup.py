@@ -27,9 +27,12 @@ def lookup(
 ) -> DataFrame:
     """Join big with a reference table and drop the reference's key columns.
 
-    `also` builds a further condition from the two frames.
+    `also` builds a further condition from the two frames, from columns that are no keys of the reference.
     """
-    on = match(big, reference, pairs)
+    # keys under names of their own, as several references of one join may come from the same table
+    names = {b: f"_{i}_{b}" for i, (_, b) in enumerate(pairs)}
+    reference = reference.withColumnsRenamed(names)
+    on = match(big, reference, [(a, names[b]) for a, b in pairs])
     if also is not None:
         on = on & also(big, reference)
-    return big.join(reference, on, how).drop(*[reference[b] for _, b in pairs])
+    return big.join(reference, on, how).drop(*names.values())

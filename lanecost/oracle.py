@@ -513,6 +513,19 @@ def statements() -> dict[str, str]:
         "total_weight, total_units, cost_unit, storage_cost, cost_per_order, cost_per_kg",
     )
     s["warehouse_capacity"] = _select("SELECT * FROM capacity", CAPACITY_KEYS, CAPACITY_DOUBLES)
+    s["shipping_state_by_day"] = f"""{BASE}
+        SELECT origin_port, destination_port, carrier, weight_band, mode_dsc, order_date, count(*) AS n_rows,
+               count(shipping_cost) AS shipping_cost_known, count(weight) AS weight_known,
+               round(sum(shipping_cost) + {NUDGE}::DOUBLE, 8) AS shipping_cost_sum,
+               round(sum(weight) + {NUDGE}::DOUBLE, 8) AS weight_sum
+        FROM best GROUP BY ALL"""
+    for days, whole in (
+        ("shipping_costs_of_days", "shipping_costs"),
+        ("shipping_costs_of_merged_days", "shipping_costs"),
+        ("warehouse_costs_of_days", "warehouse_costs"),
+        ("warehouse_capacity_of_days", "warehouse_capacity"),
+    ):
+        s[days] = s[whole]
     share = "format('{:,.1f}', round_even(round(capacity_utilization * 100, 6), 1)) || '%'"
     s["capacity_status"] = _select(
         f"""SELECT * REPLACE (CASE WHEN capacity_utilization >= 1 THEN 'Over Capacity'
@@ -999,6 +1012,98 @@ def statements() -> dict[str, str]:
     )
     s["order_id_duplicates"] = _select(_duplicates("order_id", "order_list"), CHECK_KEYS)
 
+    s["clipped_costs"] = _select(
+        """SELECT plant_code, CASE WHEN third THEN -storage_cost ELSE storage_cost END AS storage_cost,
+                  CASE WHEN third THEN least(cost_unit, 0) ELSE cost_unit END AS cost_unit,
+                  CASE WHEN third THEN least(cost_per_unit, 0) ELSE cost_per_unit END AS cost_per_unit,
+                  CASE WHEN third THEN least(cost_per_kg, 0) ELSE cost_per_kg END AS cost_per_kg
+           FROM (SELECT *, CAST(substr(plant_code, 6, 2) AS INTEGER) % 3 = 0 AS third FROM costs)""",
+        "plant_code",
+        "storage_cost, cost_unit, cost_per_unit, cost_per_kg",
+    )
+    s["storage_export_of_carrier"] = _select(
+        f"SELECT * FROM costs WHERE {_BY_CARRIER.format('V44_2')}", "plant_code", "storage_cost, total_units, cost_per_unit"
+    )
+    s["service_costing_by_level"] = _select(
+        """SELECT service_level, mode_dsc, count(*) AS n_rows, count(*) FILTER (shipping_cost IS NULL) AS n_uncosted,
+                  sum(shipping_cost) AS total_cost FROM costed GROUP BY ALL""",
+        "service_level, mode_dsc, n_rows, n_uncosted",
+        "total_cost",
+    )
+
+    def required(purpose: str, columns: str, lacking: str, source: str) -> list[str]:
+        return [
+            _check(f"required for {purpose}", "ERROR", c, "count(*)", source, "'column is not there'")
+            if c in lacking.split()
+            else _check(f"required for {purpose}", "ERROR", c, "0", f"(SELECT 1 FROM {source} LIMIT 1)")
+            for c in columns.split()
+        ]
+
+    needed = "carrier origin_port destination_port service_level weight"
+    card = "orig_port_cd dest_port_cd svc_cd minm_wgh_qty max_wgh_qty rate"
+    levels = "order_id service_level weight carrier origin_port destination_port shipping_cost"
+    s["check_required_columns_seeded"] = _select(
+        " UNION ALL ".join(
+            required("shipping costs", needed, "weight", "order_list")
+            + required("shipping costs", card, "rate svc_cd", "freight_rates")
+            + required("service levels", levels, "shipping_cost", "first_costed")
+        ),
+        CHECK_KEYS,
+    )
+
+    def structure(frame: str, lost: str, text: str, empty: bool) -> list[str]:
+        source = "shipping" if frame == "broken" else "(SELECT 1)"
+        rows = [
+            _check("required for grouping", "ERROR", c, *(("count(*)", source, "'column is not there'") if c == lost else ("0", "(SELECT 1)")))
+            for c in ("origin_port", "destination_port", "carrier")
+        ]
+        rows += [
+            _check("not numeric", "ERROR", c, *(("count(*)", source, "'measure must be numeric'") if c == text else ("0", "(SELECT 1)")))
+            for c in ("total_weight", "total_shipping_cost")
+        ]
+        rows.append(_check("no rows", "ERROR", "*", *(("1", "(SELECT 1)", "'there is no row'") if empty else ("0", "(SELECT 1)"))))
+        return [f"SELECT '{frame}' AS frame, * FROM ({r})" for r in rows]
+
+    s["check_structure_seeded"] = _select(
+        " UNION ALL ".join(
+            structure("whole", "", "", False)
+            + structure("broken", "carrier", "total_weight", False)
+            + structure("empty", "", "", True)
+        ),
+        f"frame, {CHECK_KEYS}",
+    )
+
+    def sizes(shown: str, plants: str, served: str, levels: str) -> str:
+        rows = (
+            ("routes_data", "", "origin_port, destination_port, carrier, mode_dsc, total_shipping_cost, n_orders",
+             f"(SELECT DISTINCT origin_port, destination_port, carrier, mode_dsc FROM shipping {shown})"),
+            ("storage_costs", "", "plant_code, storage_cost, total_units, cost_per_unit", f"costs {served}"),
+            ("transport_mode", "", "mode_dsc, total_cost, total_orders, total_weight, avg_cost_per_order",
+             f"(SELECT DISTINCT mode_dsc FROM shipping {shown})"),
+            ("service_level", "", "service_level, n, percentage", f"(SELECT DISTINCT service_level FROM order_list {levels})"),
+            ("cost_breakdown", "_070809", "origin_port, transport_cost, storage_cost, total_cost, pct_transport, pct_storage",
+             f"(SELECT DISTINCT origin_port FROM shipping {shown})"),
+            ("unit_cost_analysis", "_070809", "plant_code, cost_per_unit, cost_per_kg, total_units, total_orders, quadrant", f"costs {plants}"),
+            ("efficiency_matrix", "_070809", "plant_code, storage_efficiency, unit_cost_efficiency, kg_cost_efficiency, volume_efficiency",
+             f"costs {plants}"),
+        )
+        return " UNION ALL ".join(
+            f"SELECT '{name}' AS name, '{name}_20240105{time}.csv' AS file, '{columns}' AS columns, count(*) AS n_rows FROM {source}"
+            for name, time, columns, source in rows
+        )
+
+    s["filter_exports"] = _select(sizes("", "", "", ""), "name, file, columns, n_rows")
+    one = "plant_code = 'PLANT03'"
+    s["filter_exports_of_plant"] = _select(
+        sizes(
+            "WHERE origin_port = 'PORT03' AND carrier = 'V44_1'",
+            f"WHERE {one}",
+            f"WHERE {one} AND {_BY_CARRIER.format('V44_1')}",
+            f"WHERE {one} AND carrier = 'V44_1'",
+        ),
+        "name, file, columns, n_rows",
+    )
+
     def orders(share: str, count: str) -> str:
         whole = f"CAST(CAST(round_even(round({share}, 6), 0) AS BIGINT) AS VARCHAR)"
         return f"{whole} || '%' || chr(10) || {_COMMA.format(count)} || ' orders'"

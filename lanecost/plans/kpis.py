@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.missing import lenient_sum, percent, ratio, strict_mean, strict_sum
 from ..functions.text import dollar_text, dollar_text_auto, percent_text, route_text
+from ..operators.filters import FilterSpec, is_chosen
 
 NO_DATA = "No data"
 ON_TIME_SHARE = 0.942  # fixed value of the on-time key figure
@@ -29,8 +32,8 @@ def _utilisation() -> Column:
     return (F.avg("capacity_utilization") * 100).alias("warehouse_util")
 
 
-def _on_time() -> Column:
-    n = F.count(F.lit(1))
+def _on_time(n: Column | None = None) -> Column:
+    n = F.count(F.lit(1)) if n is None else n
     return (ratio(F.bround(n * F.lit(ON_TIME_SHARE), 0), n) * 100).alias("otd_rate")
 
 
@@ -144,8 +147,49 @@ def overview_kpis(shipping: DataFrame, capacity: DataFrame, orders: DataFrame) -
     return _with_texts(_beside(df, orders.agg(_on_time())))
 
 
+def overview_kpis_of_orders(
+    shipping: DataFrame, orders: DataFrame, wh_capacities: DataFrame, spec: FilterSpec
+) -> DataFrame:
+    """The same figures under a filter, from one tally of the orders by plant, carrier and service level.
+
+    Orders, capacity use and the plants that a carrier serves all come from the tally, so the orders are read once for
+    them and once for their rates. `shipping` is filtered already.
+    """
+    tally = orders.groupBy("plant_code", "carrier", "service_level").agg(F.count(F.lit(1)).alias("n"))
+    chosen = {"plant_code": spec.warehouse, "carrier": spec.carrier, "service_level": spec.service_level}
+    chosen = {c: F.col(c) == v for c, v in chosen.items() if is_chosen(v)}
+    matching = reduce(lambda a, b: a & b, chosen.values(), F.lit(True))
+    plants = tally.groupBy("plant_code").agg(
+        F.sum("n").alias("orders"),
+        F.sum(F.when(matching, F.col("n"))).alias("matching"),
+        F.coalesce(F.bool_or(chosen.get("carrier", F.lit(True))), F.lit(False)).alias("served"),
+    )
+    sizes = wh_capacities.groupBy("plant_id").agg(F.collect_list("daily_capacity").alias("sizes"))
+    plants = plants.join(sizes, plants["plant_code"].eqNullSafe(sizes["plant_id"]), "left")
+    shown = F.col("served") & chosen.get("plant_code", F.lit(True))
+    used = F.filter(F.transform("sizes", lambda size: ratio(F.col("orders"), size)), lambda u: u.isNotNull())
+    used = F.when(shown, used)
+    total = F.sum(F.aggregate(used, F.lit(0.0), lambda a, u: a + u))
+    n = F.coalesce(F.sum("matching"), F.lit(0))
+    figures = plants.agg(
+        (ratio(total, F.sum(F.size(used))) * 100).alias("warehouse_util"), _on_time(n)
+    )
+    return _with_texts(_beside(shipping.agg(_total_cost(), _cost_per_kg()), figures))
+
+
 def cost_kpis(shipping: DataFrame, costs: DataFrame) -> DataFrame:
-    df = costs.agg(_storage_cost(), _unit_cost())
-    df = _beside(df, shipping.agg(_ground_share()))
-    df = _beside(df, costliest_route(shipping).select("top_route"))
+    """The cost figures and the costliest route; the mart is summed by route once for both."""
+    cost, ground = F.col("total_shipping_cost"), F.col("mode_dsc") == "GROUND"
+    by_route = shipping.groupBy("origin_port", "destination_port").agg(
+        lenient_sum(cost).alias("cost"),
+        F.count_if(ground).alias("ground_rows"),
+        lenient_sum(F.when(ground, cost)).alias("ground_cost"),
+    )
+    ends = [e for c in ("origin_port", "destination_port") for e in (F.isnull(c).alias(f"no_{c}"), F.col(c))]
+    first = F.min(F.struct((-F.col("cost")).alias("cost"), *ends))
+    ground_cost = F.when(F.sum("ground_rows") > 0, F.sum("ground_cost"))
+    figures = by_route.agg(percent(ground_cost, lenient_sum("cost")).alias("ground_pct"), first.alias("first"))
+    route = F.when(F.col("first.cost") != 0, route_text("first.origin_port", "first.destination_port"))
+    figures = figures.select("ground_pct", route.alias("top_route"))
+    df = _beside(costs.agg(_storage_cost(), _unit_cost()), figures)
     return _with_texts(df).withColumn("top_route", _shown(F.col("top_route")))

@@ -55,6 +55,22 @@ def service_costing(orders: DataFrame, rates: DataFrame) -> DataFrame:
     return candidates(orders, rates, how="left").withColumn("shipping_cost", _service_cost())
 
 
+def service_costing_by_level(orders: DataFrame, rates: DataFrame) -> DataFrame:
+    """The rows of `service_costing` counted and summed by level and mode, without making them.
+
+    Orders are first summed by lane and weight, and then meet the rates of their lane: rows are as many as weights, not
+    as orders.
+    """
+    lane = [left for left, _ in LANE]
+    alike = orders.groupBy(*lane, "weight").agg(F.count(F.lit(1)).alias("orders"))
+    costed = candidates(alike, rates, how="left").withColumn("cost", _service_cost())
+    return costed.groupBy("service_level", "mode_dsc").agg(
+        F.sum("orders").alias("n_rows"),
+        F.coalesce(F.sum(F.when(F.col("cost").isNull(), F.col("orders"))), F.lit(0)).alias("n_uncosted"),
+        F.sum(F.col("cost") * F.col("orders")).alias("total_cost"),
+    )
+
+
 def cost_by_first_rate(
     orders: DataFrame,
     rates: DataFrame,

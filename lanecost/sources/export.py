@@ -26,15 +26,15 @@ def export_csv(df: DataFrame | None, path: str) -> None:
     earlier export of the same name.
     """
     if df is None:
-        raise ExportError("Export failed: No data available, nothing was loaded.")
+        raise ExportError("Export failed: there is no frame to write.")
     if not isinstance(df, DataFrame):
-        raise ExportError("Export failed: Expected a data frame.")
+        raise ExportError("Export failed: this is not a frame.")
     # The plan runs once: the test for rows and the write share what it gave. An earlier export is replaced only
     # by one with rows.
     df = df.persist()
     try:
         if df.isEmpty():
-            raise ExportError("Export failed: No records were left by the filters.")
+            raise ExportError("Export failed: the filters left nothing.")
         _write(df, path, missing="")
     finally:
         df.unpersist()

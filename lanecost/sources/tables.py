@@ -1,4 +1,4 @@
-"""Load the four source tables; write and read back the marts."""
+"""Load the four source tables."""
 
 from __future__ import annotations
 
@@ -105,13 +105,3 @@ def from_catalog(spark: SparkSession, database: str) -> SupplyTables:
     by_clean_name = dict(zip(snake_all(names), names))
     require_tables(by_clean_name)
     return from_frames({t: spark.table(f"`{database}`.`{by_clean_name[t]}`") for t in SCHEMAS})
-
-
-def write_marts(marts: Mapping[str, DataFrame], path: str, mode: str = "overwrite") -> None:
-    """Write each mart as Parquet so that every summary reads it instead of pricing orders again."""
-    for name, df in marts.items():
-        df.write.mode(mode).parquet(f"{path}/{name}")
-
-
-def read_marts(spark: SparkSession, path: str, names: Iterable[str]) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{path}/{name}") for name in names}

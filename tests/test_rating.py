@@ -226,8 +226,8 @@ def test_tied_and_nested_bands_do_not_multiply(spark):
     nested = [(*lane, "AIR", 10.0 * i + 1, 10.0 * i + 5, 1.0, 1.0) for i in range(450)]
     card = spark.createDataFrame(tied + nested, FREIGHT_RATES)
     assert rating.winning_bounds(card).count() < 2_000
-    assert rating._rates_by_bound(card, "all").count() == 900
-    assert rating._rates_by_bound(card, "first").count() == 900
+    assert rating.rates_by_bound(card, "all").count() == 900
+    assert rating.rates_by_bound(card, "first").count() == 900
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -250,3 +250,55 @@ def test_any_mix_of_overlapping_touching_and_empty_bands(spark, seed):
     assert set(first) <= set(want)
     assert {k[0] for k in first} == {k[0] for k in want} and len(first) == sum(first.values())
     assert len(first) == len({k[0] for k in first})
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_a_lane_cut_into_ranges_gives_the_same_rates(spark, monkeypatch, seed):
+    """Bands that nest, touch, cross whole ranges or have no end, with ranges of a few bounds."""
+    monkeypatch.setattr(rating, "RANGE_BOUNDS", 3)
+    rnd = random.Random(seed)
+    card = []
+    for lane in ("PORT01", "PORT02", None):
+        for _ in range(rnd.choice([1, 4, 40])):
+            low = rnd.choice([float(rnd.randrange(60)), rnd.uniform(0, 60)])
+            high = rnd.choice([low, low + rnd.randrange(1, 6), low + rnd.randrange(1, 60), float("inf")])
+            card.append((lane, "PORT09", "A", "DTD", rnd.choice(["AIR", "GROUND"]), low, high, 1.0, 0.0))
+    weights = sorted({w / 2 for w in range(-2, 140)} | {r[5] for r in card} | {r[6] for r in card})
+    weights = [None, *[w for w in weights if w < float("inf")]]
+    rows = [(i, "A", lane, "PORT09", "DTD", w) for i, (lane, w) in enumerate((x, w) for x in ("PORT01", "PORT02", None) for w in weights)]
+    orders = spark.createDataFrame(rows, ORDER)
+    rates = spark.createDataFrame(card, FREIGHT_RATES)
+    want = brute_force(rows, card)
+    assert result(rating.rate_orders(orders, rates, unique_ids=True)) == want
+    all_fitting = Counter(
+        (r[0], c[5], c[6]) for r in rows for c in set(card) if r[2] == c[0] and r[5] is not None and c[5] <= r[5] <= c[6]
+    )
+    got = rating.in_band(orders, rates).select("order_id", "minm_wgh_qty", "max_wgh_qty")
+    assert Counter(map(tuple, got.collect())) == all_fitting
+    unrated = {r["order_id"] for r in rating.unrated_orders(orders, rates).collect()}
+    assert unrated == {r[0] for r in rows} - {k[0] for k in want}
+
+
+def test_a_lane_of_very_many_bounds(spark):
+    """20,000 lower bounds in one lane, many nested: the winner at each probed weight, and few segments."""
+    n = 20_000
+    lane = ("PORT01", "PORT09", "A", "DTD")
+    rnd = random.Random(9)
+    spans = [(float(i), float(i) + rnd.choice([0.25, 0.5, 3.0, 700.0, 9000.0])) for i in range(n)]
+    card = spark.createDataFrame([(*lane, "AIR", low, high, 1.0, 1.0) for low, high in spans], FREIGHT_RATES)
+    segments = rating.winning_bounds(card)
+    assert segments.count() < 2 * n
+    weights = [rnd.uniform(-5, n + 100) for _ in range(300)] + [float(rnd.randrange(n)) for _ in range(100)]
+    orders = spark.createDataFrame([(i, "A", "PORT01", "PORT09", "DTD", w) for i, w in enumerate(weights)], ORDER)
+    got = {r["order_id"]: r["minm_wgh_qty"] for r in rating.rate_orders(orders, card, unique_ids=True).collect()}
+    want = {i: max((low for low, high in spans if low <= w <= high), default=None) for i, w in enumerate(weights)}
+    assert got == {i: low for i, low in want.items() if low is not None}
+
+
+def test_no_row_and_no_window_holds_a_long_lane(spark):
+    card = [("PORT01", "PORT09", "A", "DTD", "AIR", float(i), i + 2.5, 1.0, 1.0) for i in range(3000)]
+    segments = rating.winning_bounds(spark.createDataFrame(card, FREIGHT_RATES))
+    sizes = [r["count"] for r in segments.groupBy("range").count().collect()]
+    assert len(sizes) > 40 and max(sizes) < 200
+    text = segments._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in text and "collect_set" not in text
