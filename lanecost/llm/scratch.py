@@ -5,9 +5,13 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: list[str] = []
+
 
 @functools.cache
 def _own() -> str:
@@ -25,7 +29,23 @@ def folder(spark: SparkSession) -> str:
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = _own()
-    return f"{base.rstrip('/')}/lanecost-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/lanecost-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Remove the folders that were made within the block when it ends. What it computes must be written by then, to a
+    folder made before; a frame that still reads one of these folders fails afterwards."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        for path in _made[before:]:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        del _made[before:]
 
 
 def stored(frame: DataFrame) -> DataFrame:

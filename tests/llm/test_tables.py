@@ -1,5 +1,6 @@
 """Mixing, top-k, components, the queries with SQL, and the pipeline."""
 
+import os
 import random
 
 import numpy as np
@@ -164,7 +165,10 @@ def test_pipeline(spark):
         assert brute.spans(out["text"])[:3] == (0, 0, 0)
         assert (out["text"] == r["text"]) or found[3]
         assert out["n_chars"] == len(out["text"])
+    base = spark.conf.get("spark.checkpoint.dir")
+    there = len(os.listdir(base))
     out = corpus_pipeline.run(spark, SF)
+    assert len(os.listdir(base)) == there + 1  # the stages' tables, and nothing of what they stored on the way
     assert out.count() > 0 and out.where("not lossless").count() == 0
     assert out.join(one, "doc_id", "left_anti").count() == 0
 
@@ -181,6 +185,21 @@ def test_pipeline_awkward_rows(spark):
     assert sorted(str(r["doc_id"]) for r in stayed.collect()) == ["1", "None", "None"]
 
 
+def test_pipeline_stages_keep_columns_of_any_name(spark):
+    """Names that a stage might use itself, on rows that every stage keeps or redacts."""
+    names = ["_key", "_n", "_class", "_text", "_cell", "_tokens", "_fit", "mix", "row", "key", "place", "quality", "doc", "a"]
+    text = "the quick brown fox and the lazy dog of this house were here for a while, token=abcdef12345 "
+    rows = [(k, f"{text} {k} is {'ab' * k}", "en", f"s{k % 3}", 9) for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("*", *[F.concat(F.lit(f"{n} of "), F.col("doc_id").cast("string")).alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert got and all(r[n] == f"{n} of {r['doc_id']}" for r in got for n in names), name
+    assert corpus_pipeline.segmentation(spark, docs, SF).count() == 12
+
+
 def test_texts_that_share_an_id_are_judged_one_by_one(spark):
     one, two, three, four = (" ".join(f"{w}{i}" for i in range(30)) for w in "abcd")
     rows = [(1, one), (5, one), (5, two), (7, three), (7, four), (7, four), (None, one), (8, None), (8, ""), (8, None)]
