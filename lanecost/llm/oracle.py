@@ -220,6 +220,95 @@ FROM d JOIN f{step} USING (source, lang, topic), k
 # sparse cells of the small tables settle within 28 rounds, those of the larger ones within 12
 STATEMENTS["op4_mixing"] = _mixing(rounds=60)
 
+STATEMENTS["op5_minhash_near_dedup"] = r"""
+WITH RECURSIVE t AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+),
+shingles AS (
+    SELECT DISTINCT doc_id, array_to_string(t.w[g.i : g.i + 4], ' ') AS shingle
+    FROM t, unnest(range(1, greatest(len(t.w) - 3, 2))) AS g(i) WHERE len(t.w) > 0
+),
+each AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM shingles),
+sizes AS (SELECT doc_id, count(shingle) AS n FROM t LEFT JOIN shingles USING (doc_id) GROUP BY doc_id),
+links AS (
+    SELECT a.doc_id AS a, b.doc_id AS b
+    FROM each a JOIN each b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n
+    HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+),
+reached AS (
+    SELECT doc_id, doc_id AS root FROM sizes
+    UNION SELECT l.b, r.root FROM reached r JOIN links l ON l.a = r.doc_id
+),
+classes AS (SELECT doc_id, min(root) AS component_id FROM reached GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM sizes JOIN classes USING (doc_id)
+"""
+
+
+def _crc32_step(c: str, byte: str) -> str:
+    """A byte's step of crc32 in SQL, four bits at a time."""
+    table = []
+    for k in range(16):
+        for _ in range(4):
+            k = k >> 1 ^ 0xEDB88320 * (k & 1)
+        table.append(k)
+    x = f"xor({c}, {byte})"
+    for _ in range(2):
+        x = f"xor(({x}) >> 4, list_extract({table}, (({x}) & 15) + 1))"
+    return x
+
+
+STATEMENTS["op11_spelling_variants"] = r"""
+WITH d AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, coalesce(text, '') AS text FROM documents),
+t AS (
+    SELECT id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run
+    FROM d
+),
+runs AS (SELECT id, run, count(*) AS n, hex(encode(id || ':' || run)) AS h FROM t WHERE length(run) >= 6 GROUP BY ALL),
+bytes AS (
+    SELECT run, n, [4294967295] || list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) AS b
+    FROM runs
+),
+sums AS (SELECT run, n, xor(list_reduce(b, lambda c, x: {step}), 4294967295) AS h FROM bytes),
+slipped AS (
+    SELECT n, CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word
+    FROM sums
+),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM slipped WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+cuts AS (
+    SELECT word, g.i AS i, substr(word, 1, g.i - 1) || substr(word, g.i + 1) AS cut
+    FROM words, unnest(range(1, length(word) + 1)) AS g(i)
+),
+near AS (
+    SELECT a.word, b.word AS other FROM cuts a JOIN cuts b ON a.i = b.i AND a.cut = b.cut AND a.word <> b.word
+    UNION SELECT w.word, c.word FROM words w JOIN cuts c ON w.word = c.cut
+    UNION SELECT c.word, w.word FROM words w JOIN cuts c ON w.word = c.cut
+),
+best AS (
+    SELECT near.word, count(*) OVER (PARTITION BY near.word) AS n_near, other, o.n AS other_n
+    FROM near JOIN words o ON o.word = near.other
+    QUALIFY row_number() OVER (PARTITION BY near.word ORDER BY o.n DESC, other) = 1
+),
+judged AS (
+    SELECT w.word, w.n, coalesce(n_near, 0) AS n_near,
+        CASE WHEN other_n >= 5 * w.n THEN other END AS form, CASE WHEN other_n >= 5 * w.n THEN other_n END AS form_n
+    FROM words w LEFT JOIN best ON best.word = w.word
+),
+chain AS (
+    SELECT word, form AS root, 1 AS step FROM judged WHERE form IS NOT NULL
+    UNION ALL
+    SELECT c.word, j.form, step + 1 FROM chain c JOIN judged j ON j.word = c.root WHERE j.form IS NOT NULL
+),
+roots AS (SELECT word, arg_max(root, step) AS root FROM chain GROUP BY word)
+SELECT word, form, coalesce(root, word) AS root, n, n_near::BIGINT AS n_near, form_n
+FROM judged LEFT JOIN roots USING (word)
+""".replace("WITH d AS", "WITH RECURSIVE d AS").replace("{step}", _crc32_step("c", "x"))
+
 STATEMENTS["op12_source_divergence"] = r"""
 WITH d AS (
     SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text
