@@ -7,10 +7,15 @@ collections; at the threshold 0.75 a link is missed with a probability of 5e-6,
 
 Documents of equal shingle sets are one document first. Collections' values that one document alone has are left out
 before keys are formed, so a document without any likeness makes no keys. Candidates of a table are compared on
-their whole shingle sets, star by star: first all with the document of the table that shares most; then, in tables whose
-members still lie in different classes, with the next few, more of them in each round, until all have been a centre
-or are in one class. Members of one class are never compared, so a large group of copies costs a star. Members that
-have too many shingles of their own for any link are left out before the later rounds; this loses nothing.
+their whole shingle sets with the document of the table that shares most, so a large group of copies costs a star.
+
+Tables that still hold several classes are joined to groups, and every link within a group is found by what its
+members differ in. Let C be the shingles that most members have, lack what a member misses of C and own what it has
+beyond. For any two members |A and B| = |C| - |lack A| - |lack B| + |D(A) and D(B)|, where D is lack and own together,
+so a link asks for a known overlap of the differences: bar(A) + bar(B) <= 2 * (100 + PERCENT) * |D(A) and D(B)|. Where
+the bars sum to nothing or less, sizes alone decide, and one star around the least bar joins all such members. All
+others meet by the rarest of their differences: of a member that needs an overlap of t, all but the last t - 1. Only
+members of different classes that can still reach the overlap make a pair, whose whole sets are compared.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ LANES = 6  # 64-bit numbers of a sketch; a lane has four bits of each of 16 mini
 # 84 hashes agree in 4 bits with a probability of 0.766 or more for linked documents; fewer than 40 agreements has
 # a probability below 1e-8.
 LEAST_AGREEING = 40
-GROWTH = 8
+SALT_DOCS = 256  # members of a group that meet one copy of its common shingles
 
 SIGNED = (
     "doc_id bigint, n_shingles bigint, set1 bigint, set2 bigint, collections array<bigint>, "
@@ -136,18 +141,79 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return with_centres.join(one, "a").where((100 * both >= PERCENT * whole) & (whole > 0)).select("a", "b").distinct()
 
 
-def _supported(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """doc and `common` of those of `docs` that can have a link among them.
-
-    `common` counts a document's shingles that another one of `docs` has as well. No intersection is larger, so a
-    document of which too few shingles are common is left out: a copy with many edits of its own, for one, or a
-    document that shares one passage with very many.
-    """
-    each = sets.join(docs.select("doc").distinct(), "doc", "left_semi").select("doc", F.explode("shingles").alias("s"))
-    common = each.groupBy("s").agg(F.count("*").alias("n")).where("n > 1").select("s")
-    counts = each.join(common, "s", "left_semi").groupBy("doc").agg(F.count("*").alias("common"))
-    sizes = sets.select("doc", F.size("shingles").alias("n"))
-    return counts.join(sizes, "doc").where(100 * F.col("common") >= PERCENT * F.col("n")).select("doc", "common")
+def _groups(tables: DataFrame, links: DataFrame) -> DataFrame:
+    """doc, root (its class by `links`) and cluster of the documents of tables with several classes and more than one
+    pair; documents that such tables join share a cluster."""
+    roots = components(links)
+    rows = tables.join(roots, tables["doc"] == roots["node"], "left")
+    rows = stored(rows.select("key", "doc", F.coalesce("root", "doc").alias("root")))
+    sides = [F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.min("doc").alias("least")]
+    still = rows.groupBy("key").agg(*sides).where("low < high AND n > 2").select("key", "least")
+    met = stored(rows.join(still, "key").select("doc", "root", "least").distinct())
+    clusters = components(met.select(F.col("doc").alias("a"), F.col("least").alias("b")))
+    docs = met.select("doc", "root").distinct()
+    clusters = clusters.withColumnRenamed("root", "cluster")
+    return stored(docs.join(clusters, docs["doc"] == clusters["node"]).drop("node"))
+
+
+def _differences(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """`groups` with bar and diff: what each document differs in from the shingles that most of its cluster have."""
+    sizes = stored(groups.groupBy("cluster").agg(F.count("*").alias("size")))
+    each = groups.select("doc", "cluster").join(sets, "doc").select("cluster", F.explode("shingles").alias("s"))
+    most = each.groupBy("cluster", "s").agg(F.count("*").alias("n")).join(sizes, "cluster").where("2 * n > size")
+    most = most.groupBy("cluster").agg(F.collect_list("s").alias("c"))
+    # a large cluster meets copies of its shingles, so its documents stay spread
+    parts = F.ceil(F.col("size") / SALT_DOCS)
+    centres = sizes.join(most, "cluster", "left").select(
+        "cluster",
+        F.coalesce("c", F.array().cast("array<bigint>")).alias("c"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("salt"),
+    )
+    salted = groups.join(sizes, "cluster").withColumn("salt", F.pmod(F.xxhash64("doc"), parts)).drop("size")
+    met = salted.join(sets, "doc").join(centres, ["cluster", "salt"])
+    met = met.withColumn("lack", F.array_except("c", "shingles")).withColumn("own", F.array_except("shingles", "c"))
+    bar = 200 * F.size("lack") + 2 * PERCENT * F.size("own") - (100 - PERCENT) * F.size("c")
+    return met.select("doc", "root", "cluster", bar.cast("bigint").alias("bar"), F.concat("lack", "own").alias("diff"))
+
+
+def _by_differences(tables: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that join the classes of each cluster as far as any of its links do."""
+    scale = 2 * (100 + PERCENT)
+    told = stored(_differences(_groups(tables, links), sets))
+    hubs = told.groupBy("cluster").agg(F.min(F.struct("bar", "doc", "root")).alias("hub"))
+    near = told.join(hubs, "cluster").where("doc <> hub.doc AND bar + hub.bar <= 0")
+    near = stored(near.select("cluster", "root", "doc", "hub"))
+    # classes that the star joins are one class in their cluster
+    joined = near.select("cluster", "root", F.col("hub.root").alias("one")).distinct()
+    told = told.join(joined, ["cluster", "root"], "left")
+    told = stored(told.select("doc", "cluster", F.coalesce("one", "root").alias("root"), "bar", "diff"))
+    least = told.groupBy("cluster", "root").agg(F.min("bar").alias("bar"))
+    first = least.groupBy("cluster").agg(F.min(F.struct("bar", "root")).alias("first"))
+    other = least.join(first, "cluster").where("root <> first.root")
+    other = other.groupBy("cluster").agg(F.min("first").alias("first"), F.min("bar").alias("next"))
+    # the least overlap that a link to any other class asks for
+    facing = F.when(F.col("root") == F.col("first.root"), F.col("next")).otherwise(F.col("first.bar"))
+    need = F.greatest(F.lit(1), F.ceil((F.col("bar") + facing) / scale)).cast("int")
+    able = told.join(other, "cluster").withColumn("need", need).drop("first", "next")
+    able = stored(able.where(F.size("diff") >= F.col("need")))
+    held = able.select("doc", "cluster", F.explode("diff").alias("s"))
+    shared = held.groupBy("cluster", "s").agg(F.count("*").alias("n")).where("n > 1")
+    listed = held.join(shared, ["cluster", "s"]).groupBy("doc")
+    listed = listed.agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("rare"))
+    known = able.drop("diff").join(listed, "doc").where(F.size("rare") >= F.col("need"))
+    begun = F.slice("rare", 1, F.size("rare") - F.col("need") + 1)
+    known = known.select("*", F.size("rare").alias("all"), F.posexplode(begun).alias("at", "r"))
+    # `upto`: the overlap from this shingle on is no larger
+    known = stored(known.select("cluster", "doc", "root", "bar", "r.s", (F.col("all") - F.col("at")).alias("upto")))
+    x, y = known.alias("x"), known.alias("y")
+    pairs = (
+        x.join(y, (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.s") == F.col("y.s")))
+        .where((F.col("x.doc") < F.col("y.doc")) & (F.col("x.root") != F.col("y.root")))
+        .where(scale * F.least("x.upto", "y.upto") >= F.col("x.bar") + F.col("y.bar"))
+        .select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
+    )
+    by_size = near.select(F.col("doc").alias("a"), F.col("hub.doc").alias("b"))
+    return by_size.union(_linked(stored(pairs.distinct()), sets))
 
 
 def _tables(members: DataFrame) -> DataFrame:
@@ -189,7 +255,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
         known.join(firsts, same).where("doc_id = first").dropDuplicates(["doc_id", *same]).drop("first", "set1", "set2")
     )
     sketches = members.select(F.col("doc_id").alias("doc"), "n_shingles", *[f"s{i}" for i in range(LANES)])
-    found = _stars(_tables(members), sketches, whole)
+    found = _links(_tables(members), sketches, whole)
     exact = known.join(firsts, same).where("doc_id <> first")
     exact = exact.select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     roots = components(found.union(exact))
@@ -201,53 +267,14 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     )
 
 
-def _stars(tables: DataFrame, sketches: DataFrame, whole: DataFrame) -> DataFrame:
+def _links(tables: DataFrame, sketches: DataFrame, whole: DataFrame) -> DataFrame:
     """Links (a, b) between documents that share a table, enough of them to hold each class together."""
     left, right = sketches.alias("l"), sketches.alias("r")
     texts = whole.join(tables.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc", "text"])
     sets = stored(texts.select("doc", "text").mapInArrow(_sets, "doc bigint, shingles array<bigint>"))
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        near = pairs.distinct().alias("p").join(left, F.col("p.a") == F.col("l.doc"))
-        near = near.join(right, F.col("p.b") == F.col("r.doc")).where(_could_link("l", "r"))
-        return _linked(near.select("p.a", "p.b"), sets)
-
     centre = tables.where("place = 1").select("key", F.col("doc").alias("b"))
-    first = tables.where("place > 1").join(centre, "key").select(F.col("doc").alias("a"), "b")
-    links = stored(checked(first))
-    by_key = Window.partitionBy("key")
-
-    def open_tables(rows: DataFrame) -> DataFrame:
-        """Of rows with key, doc and place, those in tables with two classes and more left than one centre."""
-        roots = components(links)
-        placed = rows.join(roots, rows["doc"] == roots["node"], "left")
-        placed = placed.select(*[rows[c] for c in rows.columns], F.coalesce("root", "doc").alias("root"))
-        ends = {"low": F.min("root"), "high": F.max("root"), "last": F.max("place")}
-        judged = placed.select("*", *[end.over(by_key).alias(name) for name, end in ends.items()])
-        return judged.where((F.col("low") < F.col("high")) & (F.col("last") > done + 1)).drop(*ends)
-
-    done, upto = 1, 1 + GROWTH
-    still = stored(open_tables(tables))
-    still = still.drop("root").join(stored(_supported(still, sets)), "doc")
-    n_of = sets.select("doc", F.size("shingles").alias("n"))
-    still = still.join(n_of, "doc")
-    # places anew, without the documents that are out
-    order = by_key.orderBy("place")
-    still = still.select("key", "doc", "common", "n", F.row_number().over(order).alias("place"))
-    done, upto = 0, GROWTH
-    while True:
-        still = stored(open_tables(still))
-        if still.isEmpty():
-            return links
-        centres = still.where((F.col("place") > done) & (F.col("place") <= upto)).alias("c")
-        both = F.least("m.common", "c.common")
-        pairs = (
-            still.alias("m")
-            .join(centres, F.col("m.key") == F.col("c.key"))
-            .where((F.col("m.place") > F.col("c.place")) & (F.col("m.root") != F.col("c.root")))
-            .where(100 * both >= PERCENT * (F.col("m.n") + F.col("c.n") - both))
-            .select(F.col("m.doc").alias("a"), F.col("c.doc").alias("b"))
-        )
-        links = stored(links.union(checked(pairs)))
-        still = still.drop("root")
-        done, upto = upto, upto * GROWTH
+    pairs = tables.where("place > 1").join(centre, "key").select(F.col("doc").alias("a"), "b")
+    near = pairs.distinct().alias("p").join(left, F.col("p.a") == F.col("l.doc"))
+    near = near.join(right, F.col("p.b") == F.col("r.doc")).where(_could_link("l", "r"))
+    links = stored(_linked(near.select("p.a", "p.b"), sets))
+    return links.union(_by_differences(tables, links, sets))

@@ -46,6 +46,36 @@ def test_near_classes(frame):
     assert got == brute.near_classes(rows())
 
 
+def edited_copies():
+    """Copies with up to 8 edits of a text that is not there itself, of one that is, and documents that share lines."""
+    pick = random.Random(11)
+    out = []
+    for group, (n, length, with_base) in enumerate([(110, 120, False), (90, 90, True), (60, 40, False)]):
+        base = [f"g{group}w{pick.randrange(400)}" for _ in range(length)]
+        out += [(group * 1000, " ".join(base))] if with_base else []
+        for i in range(1, n):
+            copy = list(base)
+            for _ in range(pick.randint(0 if group == 1 else 1, 8)):
+                # edits of the same few places meet again in other copies
+                copy[pick.randrange(length)] = f"e{pick.choice([pick.randrange(3), 100 + i])}"
+            out.append((group * 1000 + i, " ".join(copy)))
+    passage = " ".join(f"p{i}" for i in range(30))
+    for i in range(60):
+        own = " ".join(f"o{pick.randrange(10 ** 6)}" for _ in range(pick.randint(3, 25)))
+        out.append((5000 + i, f"{passage} {own}"))
+    pick.shuffle(out)
+    return out
+
+
+def test_near_classes_of_heavily_edited_copies(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SALT_DOCS", 16)
+    frame = spark.createDataFrame(edited_copies(), "doc_id long, text string")
+    got = sorted(map(tuple, near_dedup.classes(frame).select("doc_id", "n_shingles", "component_id").collect()), key=repr)
+    want = brute.near_classes(edited_copies())
+    assert 20 < len({c for _, _, c in want}) < 250
+    assert got == want
+
+
 def test_passages(frame):
     cut = substring_dedup.deduplicated(frame).select("doc_id", "n_words", "n_removed", "kept_text")
     assert sorted(map(tuple, cut.collect()), key=repr) == brute.cut_passages(rows())
