@@ -23,7 +23,7 @@ SHARD_TILE = 4096
 FAN_IN = 16
 EXACT = 2**53  # doubles hold all integers up to here
 TILE = "tile bigint, n int, ids binary, vectors binary"
-TOP = "query_id bigint, tile bigint, top array<struct<score:bigint,vec_id:bigint>>"
+TOP = "query_id bigint, tile bigint, asking bigint, top array<struct<score:bigint,vec_id:bigint>>"
 
 
 def quantized(vector: Column, scale: int = 256) -> Column:
@@ -85,15 +85,14 @@ def _products(queries: np.ndarray, shard: np.ndarray) -> np.ndarray:
 
 def _best(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> list[dict]:
     """The k highest scores, ties to the smaller id, without the query's own id. `ids` ascend."""
-    few = min(len(ids), k + 1)
-    if few < len(ids):
+    other = ids != own
+    scores, ids = scores[other], ids[other]
+    if k < len(ids):
         # every score above the least kept one, and of the equal ones the first few by id
-        least = np.partition(scores, len(ids) - few)[len(ids) - few]
-        above = np.flatnonzero(scores > least)
-        at = np.concatenate([above, np.flatnonzero(scores == least)[: few + 1]])
+        least = np.partition(scores, len(ids) - k)[len(ids) - k]
+        at = np.concatenate([np.flatnonzero(scores > least), np.flatnonzero(scores == least)[:k]])
     else:
         at = np.arange(len(ids))
-    at = at[ids[at] != own]
     at = at[np.lexsort((ids[at], -scores[at]))][:k]
     return [{"score": int(scores[i]), "vec_id": int(ids[i])} for i in at]
 
@@ -102,7 +101,7 @@ def _selected(k: int):
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                tile, n, ids, vectors, m, query_ids, query_vectors = (c[row].as_py() for c in batch.columns)
+                tile, n, ids, vectors, m, asking, query_ids, query_vectors = (c[row].as_py() for c in batch.columns)
                 ids, query_ids = np.frombuffer(ids, "<i8"), np.frombuffer(query_ids, "<i8")
                 shard = np.frombuffer(vectors, "<i8").reshape(n, -1)
                 queries = np.frombuffer(query_vectors, "<i8").reshape(m, -1)
@@ -114,8 +113,13 @@ def _selected(k: int):
                 top = [_best(scores[i], ids, int(q), k) for i, q in enumerate(query_ids)]
                 kind = pa.list_(pa.struct([("score", pa.int64()), ("vec_id", pa.int64())]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(query_ids, pa.int64()), pa.array([tile] * m, pa.int64()), pa.array(top, kind)],
-                    names=["query_id", "tile", "top"],
+                    [
+                        pa.array(query_ids, pa.int64()),
+                        pa.array([tile] * m, pa.int64()),
+                        pa.array([asking] * m, pa.int64()),
+                        pa.array(top, kind),
+                    ],
+                    names=["query_id", "tile", "asking", "top"],
                 )
 
     return select
@@ -136,40 +140,45 @@ def top_k(
     vector: str = "embedding",
     scale: int = 256,
 ) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the k best partners of each query among all other ids.
+    """query_id, rank (from 1), vec_id, score: the k best partners of each query id among the rows of all other ids.
 
     Vectors that are null, empty or hold a null or non-finite component take no part, nor do rows without an id.
-    Only vectors of equal length are compared. Repeated rows of an id count once; of differing rows of an id the
-    least vector counts. Scores must fit a 64-bit integer. Other columns take no part.
+    Only vectors of equal length are compared. Every row of a repeated id is a candidate, so an id may be listed more
+    than once; the query rows of an id are one query, whose list is the best of all their scores. Scores must fit a
+    64-bit integer. Other columns take no part.
     """
     usable = (
         rows.select(
             F.col(id_column).cast("bigint").alias("id"),
             quantized(F.col(vector), scale).alias("v"),
-            is_query.alias("q"),
+            F.coalesce(is_query, F.lit(False)).alias("q"),
         )
         .where(F.col("id").isNotNull() & F.col("v").isNotNull())
-        .groupBy("id")
-        .agg(F.min("v").alias("v"), F.max("q").alias("q"))
+        .groupBy("id", "v", "q")
+        .agg(F.count("*").alias("n"))
     )
+    # of equal rows, more than k cannot show in a list of k
+    usable = usable.select("id", "v", "q", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int"))).alias("c"))
     usable = stored(usable)
     shards = stored(usable.select("id", "v").mapInArrow(_packed(SHARD_TILE), TILE))
-    asking = usable.where("q").select("id", "v")
-    n_queries = asking.count()
-    n_tiles = max(1, math.ceil(n_queries / QUERY_TILE))
-    queries = asking.repartition(n_tiles, "id").mapInArrow(_packed(QUERY_TILE), TILE)
+    asking = usable.where("q").select("id", "v", "c")
+    n_queries, most = asking.groupBy("id").agg(F.count("*").alias("n")).agg(F.sum("n"), F.max("n")).first()
+    n_tiles = max(1, math.ceil((n_queries or 0) / QUERY_TILE))
+    queries = asking.repartition(n_tiles, "id", "v", "c").select("id", "v").mapInArrow(_packed(QUERY_TILE), TILE)
     # Every query tile meets every shard: shards are dealt to groups, and a query tile goes to each group.
     n_groups = max(1, shards.count())
     dealt = shards.withColumn("g", F.pmod(F.xxhash64("tile"), F.lit(n_groups)))
     copies = queries.select(
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_groups - 1).cast("bigint"))).alias("g"),
         F.col("n").alias("m"),
+        F.col("tile").alias("asking"),
         F.col("ids").alias("query_ids"),
         F.col("vectors").alias("query_vectors"),
     )
-    pairs = dealt.join(copies, "g").select("tile", "n", "ids", "vectors", "m", "query_ids", "query_vectors")
+    pairs = dealt.join(copies, "g").select("tile", "n", "ids", "vectors", "m", "asking", "query_ids", "query_vectors")
     lists = pairs.mapInArrow(_selected(k), TOP)
-    level, width = F.xxhash64("tile"), n_groups
+    # the rows of a repeated query id lie in several query tiles
+    level, width = F.xxhash64("tile", "asking"), n_groups * min(most or 1, n_tiles)
     while width > FAN_IN:
         width = math.ceil(width / FAN_IN)
         lists = (

@@ -45,18 +45,22 @@ def vectors():
     rows = [(i, [pick.choice([-0.5, 0.0, 0.25, 1.0, pick.uniform(-1, 1)]) for _ in range(4)], "own") for i in range(300)]
     rows += [(300, None, "own"), (301, [], "own"), (350, [1.0, float("nan"), 0.0, 0.0], "own"), (None, [1.0] * 4, "own")]
     rows += [(400, [1.0, None, 0.0, 0.0], "own"), (401, [float("inf")] * 4, "own"), (450, [1.0, 2.0], "own"), rows[50], rows[7]]
-    return rows
+    # ids with several vectors, among the candidates and among the queries
+    rows += [(9, [0.9, 0.9, 0.9, 0.9], "own"), (100, [-1.0, 1.0, 0.5, 0.0], "own"), (100, [1.0, 1.0, 1.0, 1.0], "own")]
+    return rows + [rows[11]] * 8
 
 
 def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(topk, "FAN_IN", 2)
+    monkeypatch.setattr(topk, "QUERY_TILE", 3)
+    monkeypatch.setattr(topk, "SHARD_TILE", 40)
     frame = spark.createDataFrame(vectors(), "vec_id long, embedding array<double>, score string").repartition(7)
-    good = {k: np.floor(256 * np.array(v)).astype(int) for k, v, _ in vectors() if k is not None and v and None not in v and np.isfinite(v).all()}
+    good = [(k, np.floor(256 * np.array(v)).astype(int)) for k, v, _ in vectors() if k is not None and v and None not in v and np.isfinite(v).all()]
     want = []
-    for q, v in good.items():
-        if q % 50 == 0:
-            scored = sorted((-int(v @ w), c) for c, w in good.items() if c != q and len(w) == len(v))[:5]
-            want += [(q, i + 1, c, -s) for i, (s, c) in enumerate(scored)]
+    for q in {k for k, _ in good if k % 50 == 0}:
+        pairs = [(v, c, w) for k, v in good for c, w in good if k == q and c != q and len(w) == len(v)]
+        scored = sorted((-int(v @ w), c) for v, c, w in pairs)[:5]
+        want += [(q, i + 1, c, -s) for i, (s, c) in enumerate(scored)]
     got = topk.top_k(frame, F.col("vec_id") % 50 == 0).select("query_id", "rank", "vec_id", "score")
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert topk.top_k(frame.limit(0), F.col("vec_id") % 50 == 0).count() == 0
