@@ -26,6 +26,7 @@ WINDOW = 20
 # Perfect difference sets, by period.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9)}
 SLICE_CHARS = 4_000_000
+BUCKET_BYTES = 64 << 20  # of text for each bucket of documents, on average
 NO_ID = -(2**63)  # stands for a null id, before all others
 
 ENTRIES = "bucket int, kind int, low binary, high binary, extra binary, docs binary, starts binary"
@@ -60,9 +61,26 @@ def _spread(hashes: np.ndarray, n_buckets: int) -> np.ndarray:
     return (((hashes >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)).astype(np.int32)
 
 
+def _document_buckets(docs: np.ndarray, n_buckets: int) -> np.ndarray:
+    """pmod(hash(id), n_buckets) as Spark's SQL gives it: 32-bit Murmur3 of a bigint with seed 42."""
+
+    def turned(x: np.ndarray, by: int) -> np.ndarray:
+        return (x << np.uint32(by)) | (x >> np.uint32(32 - by))
+
+    ids = docs.astype(np.int64).view(np.uint64)
+    state = np.full(len(ids), 42, np.uint32)
+    for half in (ids.astype(np.uint32), (ids >> np.uint64(32)).astype(np.uint32)):
+        state ^= turned(half * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+        state = turned(state, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    state ^= np.uint32(8)
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+        state = (state ^ (state >> np.uint32(shift))) * np.uint32(factor)
+    return np.mod(state.view(np.int32), n_buckets)
+
+
 def _by_document(docs: np.ndarray, starts: np.ndarray, n_buckets: int) -> list[tuple]:
     """Places packed by the bucket of their document."""
-    buckets = np.mod(docs, n_buckets)
+    buckets = _document_buckets(docs, n_buckets)
     order = np.lexsort((starts, docs, buckets))
     docs, starts, buckets = docs[order], starts[order], buckets[order]
     return [(k, docs[b:e].tobytes(), starts[b:e].tobytes()) for k, b, e in _runs(buckets)]
@@ -135,8 +153,11 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     period = period_for(window)
     cover = np.isin(np.arange(period), COVERS.get(period, (0,)))
     anchor = window - period + 1
-    spark = docs.sparkSession
-    n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a bucket is what one task gets
+    key = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID))
+    whole = docs.select(key.alias("k"), F.col(text).alias("t"))
+    # a bucket is what a task holds at once, so their number grows with the input
+    size = whole.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    n_buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,9 +243,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
         names = ["doc_id", "n_words", "removed", "n_removed", "kept_text"]
         return pa.table([pa.array(v, k) for v, k in columns], names=names)
 
-    key = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID))
-    whole = docs.select(key.alias("k"), F.col(text).alias("t"))
-    texts = whole.withColumn("bucket", F.pmod("k", F.lit(n_buckets)).cast("int")).groupBy("bucket")
+    texts = whole.withColumn("bucket", F.pmod(F.hash("k"), F.lit(n_buckets))).groupBy("bucket")
     near = whole.mapInArrow(anchors, ENTRIES).groupBy("bucket").applyInArrow(repeated, PLACES)
     entries = texts.cogroup(near.groupBy("bucket")).applyInArrow(windows, ENTRIES)
     late = entries.groupBy("bucket").applyInArrow(judged, PLACES)

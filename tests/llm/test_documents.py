@@ -3,6 +3,7 @@
 import random
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +88,20 @@ def test_passages_of_other_lengths(frame):
         assert sorted(map(tuple, cut.collect()), key=repr) == brute.cut_passages(rows(), window)
 
 
+def test_buckets_of_documents_are_those_of_the_engine(spark):
+    ids = [0, 1, -1, 7, 200, 2**31, -(2**31) - 5, 2**62 + 3, 2**63 - 1, substring_dedup.NO_ID]
+    want = spark.createDataFrame([(i,) for i in ids], "k long").select(F.pmod(F.hash("k"), F.lit(51))).collect()
+    assert substring_dedup._document_buckets(np.array(ids, np.int64), 51).tolist() == [r[0] for r in want]
+    multiples = substring_dedup._document_buckets(np.arange(0, 51 * 20_000, 51), 51)
+    assert np.bincount(multiples, minlength=51).max() < 2 * 20_000 / 51
+
+
+def test_passages_in_small_buckets(frame, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 4_000)
+    cut = substring_dedup.deduplicated(frame).select("doc_id", "n_words", "n_removed", "kept_text")
+    assert sorted(map(tuple, cut.collect()), key=repr) == brute.cut_passages(rows())
+
+
 def test_every_difference_has_a_pair_in_its_cover():
     for period, cover in substring_dedup.COVERS.items():
         assert {(a - b) % period for a in cover for b in cover} == set(range(period))
