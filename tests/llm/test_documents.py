@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lanecost.llm import near_dedup, quality, secrets, substring_dedup
-from lanecost.llm.catalog import op7_secret_scans
+from lanecost.llm.catalog import op4_mixing, op7_secret_scans, op8_quality_rules
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, quality string, mix string, k int"
 
@@ -159,7 +159,7 @@ def test_empty_tables(spark, frame):
 
 
 def test_native_operators_run_no_python(spark):
-    for query in (op7_secret_scans,):
+    for query in (op4_mixing, op7_secret_scans, op8_quality_rules):
         plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
         assert "Python" not in plan and "Arrow" not in plan
 
