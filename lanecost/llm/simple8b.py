@@ -23,7 +23,7 @@ def _without_escapes(values: np.ndarray) -> np.ndarray:
     n = len(values)
     need = np.zeros(n + 60, np.uint8)  # the first selector, counted from the narrowest, whose width holds the value
     for _, bits in LAYOUT[:-1]:
-        need[:n] += values >= np.uint64((1 << bits) - 1)
+        need[:n] += values >= np.uint32((1 << bits) - 1)
     best = np.full(n, len(LAYOUT) - 1, np.int8)
     most, have = need.copy(), 1  # the largest need among the `have` values from a position on
     for s in range(len(LAYOUT) - 2, -1, -1):
@@ -35,24 +35,39 @@ def _without_escapes(values: np.ndarray) -> np.ndarray:
         fits = most[:n] <= s
         if not fits.any():
             break  # nor will more values fit in fewer bits
-        best[fits] = s
+        np.copyto(best, s, where=fits)
     return best
 
 
+def _sums(flags: np.ndarray, count: int, n: int) -> np.ndarray:
+    """For each of the first n places, how many of `count` flags from there on are set: sums of 1, 2, 4, ... places."""
+    out, at, width = np.zeros(n, np.uint8), 0, 1
+    while True:
+        if count & width:
+            out += flags[at : at + n]
+            at += width
+        if 2 * width > count:
+            return out
+        flags = flags[:-width] + flags[width:]
+        width *= 2
+
+
 def _with_escapes(values: np.ndarray, best: np.ndarray) -> None:
     """Change selectors to those with fewer bytes per value, where escapes pay."""
     n = len(values)
     cost = (8.0 / COUNTS[best]).astype(np.float32)
+    wide = np.zeros(n + 60, np.uint8)
     for s, (count, bits) in enumerate(LAYOUT[:-1]):
-        wide = values >= np.uint64((1 << bits) - 1)
-        total = np.zeros(n + count + 1, np.int32)
-        np.cumsum(wide, out=total[1 : n + 1])
-        total[n + 1 :] = total[n]
-        mine = (8 + ESCAPE_BYTES * (total[count : n + count] - total[:n])).astype(np.float32)
+        wide[:n] = values >= np.uint32((1 << bits) - 1)
+        if not wide.any():
+            break  # nothing to escape here, nor in more bits
+        mine = _sums(wide, count, n).astype(np.float32)
+        mine *= ESCAPE_BYTES
+        mine += 8
         mine /= count
         better = mine < cost
-        best[better] = s
-        cost[better] = mine[better]
+        np.copyto(best, s, where=better)
+        np.minimum(cost, mine, out=cost)
 
 
 def packed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,14 +76,14 @@ def packed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(values)
     if not n:
         return np.empty(0, np.uint64), np.empty(0, np.uint32)
-    best = _without_escapes(values)
-    _with_escapes(values, best)
-    step = COUNTS[best].tolist()
-    at, starts = 0, []
+    narrow = values.astype(np.uint32)
+    best = _without_escapes(narrow)
+    _with_escapes(narrow, best)
+    step, begins, at = COUNTS.astype(np.uint8)[best].tobytes(), bytearray(n), 0
     while at < n:
-        starts.append(at)
+        begins[at] = 1
         at += step[at]
-    starts = np.array(starts, np.int64)
+    starts = np.flatnonzero(np.frombuffer(begins, bool))
     chosen = best[starts]
     padded = np.concatenate([values, np.zeros(60, np.uint64)])
     words = np.empty(len(starts), np.uint64)

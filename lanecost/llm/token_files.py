@@ -16,10 +16,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lanecost.llm.bpe import Encoder, slices
+from lanecost.llm.bpe import Encoder
 from lanecost.llm.simple8b import packed, unpacked
 
 BLOCK_IDS = 32_768
+SLICE_BYTES = 400_000  # of texts that are encoded together
 BLOCKS = (
     "part int, block int, part_start bigint, n_ids bigint, doc_ids array<bigint>, n_tokens array<bigint>, "
     "words binary, escapes binary"
@@ -34,16 +35,36 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _block(part: int, block: int, start: int, docs: list, ids: list[np.ndarray]) -> pa.RecordBatch:
-    flat = np.concatenate(ids)
-    words, escapes = packed(flat)
-    values = [part, block, start, len(flat), docs, [len(i) for i in ids], words.tobytes(), escapes.tobytes()]
+def _block(part: int, block: int, start: int, docs: list, sizes: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    words, escapes = packed(ids)
+    values = [part, block, start, len(ids), docs, sizes, words.tobytes(), escapes.tobytes()]
     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
     kinds += [pa.binary(), pa.binary()]
     names = [c.split()[0] for c in BLOCKS.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names)
 
 
+def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of texts end to end, null as empty, and where each text ends."""
+    column = column.cast(pa.large_string()).fill_null("")
+    _, offsets, data = column.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(data or b"", np.uint8)
+    return data[bounds[0] : bounds[-1]], bounds[1:] - bounds[0]
+
+
+def _encoded(batch: pa.RecordBatch, vocabulary: str, end_id: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """The documents of a batch by slices: their keys, token counts and ids, end ids included."""
+    data, ends = _texts(batch.column(1))
+    first = begin = 0
+    while first < len(ends):
+        last = max(int(np.searchsorted(ends, begin + SLICE_BYTES, "right")), first + 1)
+        own = ends[first:last]
+        ids, sizes = encoder(vocabulary).encoded_bytes(data[begin : own[-1]], own - begin)
+        yield batch.column(0)[first:last], sizes + 1, np.insert(ids, np.cumsum(sizes), end_id)
+        first, begin = last, int(own[-1])
+
+
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> None:
     """Encode every whole text, append `end_id` to each, and write the blocks below `path`.
 
@@ -54,21 +75,27 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, doc_id: str
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block, start, filled = TaskContext.get().partitionId(), 0, 0, 0
         docs: list = []
+        sizes: list[np.ndarray] = []
         ids: list[np.ndarray] = []
-        tail = np.array([end_id], np.int32)
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for begin, run in slices(texts):
-                values, counts = encoder(vocabulary).encoded(run)
-                for k, own in enumerate(np.split(values, np.cumsum(counts)[:-1])):
-                    docs.append(keys[begin + k])
-                    ids.append(np.concatenate([own, tail]))
-                    filled += len(own) + 1
+            for keys, own_sizes, own_ids in _encoded(batch, vocabulary, end_id):
+                ends = np.cumsum(own_sizes)
+                first = begin = 0
+                while first < len(ends):
+                    # a block ends with the document that fills it
+                    last = int(np.searchsorted(ends, begin + BLOCK_IDS - filled)) + 1
+                    own = slice(first, last)
+                    end = int(ends[own][-1])
+                    docs += keys[own].to_pylist()
+                    sizes.append(own_sizes[own])
+                    ids.append(own_ids[begin:end])
+                    filled += end - begin
                     if filled >= BLOCK_IDS:
-                        yield _block(part, block, start, docs, ids)
-                        block, start, filled, docs, ids = block + 1, start + filled, 0, [], []
+                        yield _block(part, block, start, docs, np.concatenate(sizes), np.concatenate(ids))
+                        block, start, filled, docs, sizes, ids = block + 1, start + filled, 0, [], [], []
+                    first, begin = last, end
         if docs:
-            yield _block(part, block, start, docs, ids)
+            yield _block(part, block, start, docs, np.concatenate(sizes), np.concatenate(ids))
 
     ordered = (
         docs.select(F.col(doc_id).cast("bigint").alias("k"), F.col(text).alias("t"))

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,3 +174,79 @@ def test_token_counts_are_stored_at_every_prefix(spark, monkeypatch):
     whole = spark.read.parquet(f"{sf}/documents.parquet")
     want = token_counts.counted(whole, VOCABULARY, 512, table=False).select("doc_id", "n_tokens", "cut_chars")
     assert sorted(got.select("doc_id", "n_tokens", "cut_chars").collect()) == sorted(want.collect())
+
+
+MORE_PARTS = [
+    *PARTS, "\r", "\x0b", "\x85", "\u00a0", "\u2003", "\u200b", "×", "ñ", "ñ.", " Ж", "҂", "ß", "\n\n", "—", "“q”", "\ufeff",
+    "؟", "١", "_", "99%", "a'", "'T", "'til", "don't", "日本 語", " (x)", "text|>", "a" * 70, " " + "b" * 90 + ".", " " * 70,
+]
+
+
+def assert_librarys(encoder, run):
+    library = bpe.library(VOCABULARY)
+    values, counts = encoder.encoded(run)
+    assert len(counts) == len(run)
+    for text, own in zip(run, np.split(values, np.cumsum(counts)[:-1]), strict=True):
+        assert own.tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+@pytest.mark.parametrize("bound", [None, "MOST_CHUNKS", "MOST_VALUES", "MOST_KEY_BYTES", "MOST_AT_ONCE", "BASE"])
+def test_cuts_within_words_and_chunks_of_one_hash(monkeypatch, bound):
+    if bound == "BASE":
+        monkeypatch.setattr(bpe, bound, np.uint64(0))  # all short chunks get the same hash
+    elif bound:
+        monkeypatch.setattr(bpe, bound, 30)
+    pick, encoder = random.Random(7), bpe.Encoder(VOCABULARY)
+    for _ in range(12):
+        assert_librarys(encoder, ["".join(pick.choices(MORE_PARTS, k=pick.randint(0, 14))) for _ in range(40)])
+    assert_librarys(encoder, ["<|endof", "text|>", "", "a<|endoftext|>b", "\n", "De"])
+    assert encoder.encoded([])[0].tolist() == encoder.encoded(["", ""])[0].tolist() == []
+
+
+def test_the_library_gets_a_word_once_whatever_stands_beside_it():
+    words = ["".join(chr(97 + (i * k) % 26) for k in range(1, 9)) for i in range(1, 60)]
+    texts = [f"{a}{sign}{b}." for a, b in zip(words, words[1:], strict=False) for sign in (" ", ", ", "&&& ", ".\n", "/", "\n")]
+
+    class Counting:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.chars = tokenizer, 0
+
+        def encode_batch_fast(self, texts, **options):
+            self.chars += sum(map(len, texts))
+            return self.tokenizer.encode_batch_fast(texts, **options)
+
+    encoder = bpe.Encoder(VOCABULARY)
+    assert_librarys(encoder, texts)
+    encoder = bpe.Encoder(VOCABULARY)
+    encoder.tokenizer = counting = Counting(encoder.tokenizer)
+    for text in texts:
+        encoder.encoded([text])
+    # each word once after a space and once without, with what parts it from the next
+    assert counting.chars < 3 * sum(map(len, words))
+
+
+def test_texts_are_taken_from_sliced_columns():
+    column = pa.array(["skipped", "é", None, "", "ab", "skipped"])
+    for kind in (pa.string(), pa.large_string()):
+        data, ends = token_files._texts(column.cast(kind)[1:5])
+        assert data.tobytes() == "éab".encode() and ends.tolist() == [2, 2, 2, 4]
+    data, ends = token_files._texts(pa.array([None, None], pa.string()))
+    assert data.tobytes() == b"" and ends.tolist() == [0, 0]
+
+
+def test_each_word_takes_the_selector_with_the_fewest_bytes_per_value():
+    pick = random.Random(2)
+    for high in (3, 40, 50_000, 2**21):
+        values = [pick.choice([13, 198, pick.randint(0, high), pick.randint(0, high)]) for _ in range(400)]
+        words, escapes = simple8b.packed(np.array(values))
+        at = n_escapes = 0
+        for word in words.tolist():
+            costs = []
+            for count, bits in simple8b.LAYOUT:
+                over = sum(v >= (1 << bits) - 1 for v in values[at : at + count])
+                costs.append((8 + simple8b.ESCAPE_BYTES * over) / count)
+            own, bits = simple8b.LAYOUT[word >> 60]
+            assert costs[word >> 60] == min(costs)
+            n_escapes += sum(v >= (1 << bits) - 1 for v in values[at : at + own])
+            at += own
+        assert at >= len(values) and n_escapes == len(escapes)
