@@ -66,6 +66,64 @@ def test_top_k(spark, monkeypatch):
     assert topk.top_k(frame.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def shuffled(node):
+    """Bytes of the rows that a finished plan's exchanges dealt out."""
+    kind = node.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return shuffled(node.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return shuffled(node.plan())
+    own = node.metrics().apply("dataSize").value() if kind == "ShuffleExchangeExec" else 0
+    return own + sum(shuffled(node.children().apply(i)) for i in range(node.children().size()))
+
+
+def test_top_k_deals_out_no_tile_for_each_pair_of_tiles(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_TILE", 10)
+    monkeypatch.setattr(topk, "SHARD_TILE", 50)
+    # 500 tiles of candidates and 50 of queries: 25,000 pairs, 5 KB of a query tile in each
+    component = F.pmod(F.xxhash64("vec_id", "i"), F.lit(1000)) / 1000.0
+    rows = spark.range(25_000, numPartitions=4).withColumnRenamed("id", "vec_id")
+    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(64)))).withColumn("x", component)
+    rows = rows.groupBy("vec_id").agg(F.array_sort(F.collect_list("x")).alias("embedding"))
+    got = topk.top_k(rows, F.col("vec_id") % 50 == 0)
+    assert len(got.collect()) == 2500
+    assert shuffled(got._jdf.queryExecution().executedPlan()) < 4 * 25_000 * 64 * 4
+
+
+def test_top_k_lists_over_blocks_and_ties():
+    pick = np.random.default_rng(5)
+    for high in (2, 2**14, 2**29):  # single and double floats, 64-bit integers
+        queries, tiles = pick.integers(-high, high, (9, 5)), pick.integers(-high, high, (3, topk.BLOCK * 2 + 70, 5))
+        # one vector is most of the last tile, and a query's own id comes many times
+        tiles[2, 300:] = queries[4]
+        ids = pick.permutation(tiles.shape[0] * tiles.shape[1]).reshape(tiles.shape[:2])
+        ids[1, :400] = 7
+        own = np.array([7, *range(10, 18)])
+        top, room = topk._Tops(0, own, queries, 5), {}
+        for numbers, tile in zip(ids, tiles, strict=True):
+            top.meet(numbers, tile, topk._length(tile), room)
+        got = top.lists(0).to_pydict()
+        for q, v in enumerate(queries):
+            scored = [(-sum(map(int.__mul__, v.tolist(), w)), i) for i, w in zip(ids.ravel().tolist(), tiles.reshape(-1, 5).tolist(), strict=True)]
+            want = sorted(x for x in scored if x[1] != own[q])[:5]
+            assert [(-t["score"], t["vec_id"]) for t in got["top"][q]] == want
+
+
+def test_top_k_grid():
+    # 6 GB of 64 floats, a row of 50 asks: no cell holds more than its part, and less than the input is dealt out twice
+    rows = 14_800_000
+    of = lambda n, tile: {"rows": n, "tiles": n // tile, "bytes": n * 128, "values": n * 64}
+    queries, shards = of(rows // 50, topk.QUERY_TILE), of(rows, topk.SHARD_TILE)
+    asking, groups = topk._grid(queries, shards, 5, 6)
+    assert queries["bytes"] / asking <= topk.QUERY_BYTES and shards["bytes"] / groups <= topk.SHARD_BYTES
+    assert asking * shards["bytes"] + groups * (queries["bytes"] + 80 * queries["rows"]) < 2 * 6e9
+    # small tables are one cell, and none has more groups than tiles
+    assert topk._grid(of(10, 1), of(500, 100), 5, 6) == (1, 1)
+    assert topk._grid(of(0, 1), of(0, 1), 5, 6) == (1, 1)
+    asking, groups = topk._grid(of(10**6, 10**6), of(10**8, 5 * 10**7), 5, 6)
+    assert (asking, groups) == (1, 2)
+
+
 def test_products_beyond_doubles():
     big = np.array([[2**31, 1]], np.int64)
     assert topk._products(big, big)[0, 0] == 2**62 + 1
